@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,22 @@ def sample_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
+def double_sql(value: float) -> str:
+    """A double literal in SQL text. Wide expressions are built as text: one call to the JVM each."""
+    value = float(value)
+    if math.isfinite(value):
+        return f"{value!r}D"
+    return f"double('{value}')"
+
+
+def doubles(values: Iterable[float]) -> Column:
+    return F.expr(f"array({', '.join(double_sql(v) for v in values)})")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sigmoid(margin: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import ratio, to_rows
+from churnlake.functions.expressions import doubles, ratio, to_rows
 from churnlake.operators.selection import SMALL, exact_quantiles
 
 
@@ -136,15 +136,10 @@ def partial_dependence(
     Grid points multiply rows inside the scan stage only; partial averages leave one row per grid
     point and task for the shuffle.
     """
-    points = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("value"))
-            for c, values in grids.items()
-            for v in values
-        ]
-    )
+    grid = F.array(*[F.struct(F.lit(c).alias("feature"), doubles(values).alias("grid")) for c, values in grids.items()])
     names = list(df.columns)
-    spread = df.select(*names, F.inline(points).alias("_feature", "_value"))
+    by_feature = df.select(*names, F.inline(grid).alias("_feature", "_grid"))
+    spread = by_feature.select(*names, "_feature", F.explode("_grid").alias("_value"))
     swapped = spread.withColumns(
         {
             c: F.when(F.col("_feature") == c, F.col("_value")).otherwise(F.col(c).cast("double"))

@@ -9,8 +9,9 @@ mask, and on the background only through how often each mask occurs, so
 3. rows look these up by (leaf, mask) and sum them, already reduced to one row per id before the
    shuffle.
 
-What is broadcast has the size of the model, not of the data, and is kept under ``PAIR_LIMIT``
-(leaf, mask) pairs: a larger ensemble is handled as several sets of leaves whose results add up.
+What is broadcast has the size of the model, not of the data. Leaves come in sets of at most
+``LEAF_LIMIT``; results of several sets add up. The contributions are broadcast while they are
+known to be at most ``PAIR_LIMIT`` rows, else they meet the rows in a shuffle join.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import to_rows
+from churnlake.functions.expressions import doubles, quoted, to_rows
 from churnlake.operators.models import Fitted
 from churnlake.session import new_path
 
+LEAF_LIMIT = 50_000
 PAIR_LIMIT = 200_000
 
 
@@ -101,44 +103,47 @@ def model_leaves(spark: SparkSession, learner) -> list[Leaf]:
     return leaves
 
 
-def _leaf_sets(leaves: Sequence[Leaf], limit: int) -> Iterator[list[Leaf]]:
-    group, size = [], 0
-    for leaf in leaves:
-        if group and size + leaf.pairs > limit:
-            yield group
-            group, size = [], 0
-        group.append(leaf)
-        size += leaf.pairs
-    if group:
-        yield group
+def _leaf_sets(leaves: Sequence[Leaf], limit: int) -> Iterator[Sequence[Leaf]]:
+    for start in range(0, len(leaves), limit):
+        yield leaves[start : start + limit]
 
 
 def _leaf_frame(spark: SparkSession, leaves: Sequence[Leaf], width: int) -> DataFrame:
-    bounds = ", ".join(f"lo_{i} double, hi_{i} double" for i in range(width))
+    """One row per leaf; the lower bound is the next double above the cut, so both ends are inclusive.
+
+    An open upper end is NaN, which orders above every number.
+    """
+    bounds = ", ".join(f"lo_{i} double not null, hi_{i} double not null" for i in range(width))
+    schema = f"leaf int not null, tree int not null, leaf_value double not null, path long not null, {bounds}"
     rows = [
         (
             n,
             leaf.tree,
             leaf.value,
             leaf.path,
-            *[b for i in range(width) for b in (leaf.low.get(i), leaf.high.get(i))],
+            *[
+                bound
+                for i in range(width)
+                for bound in (
+                    math.nextafter(leaf.low[i], math.inf) if i in leaf.low else -math.inf,
+                    leaf.high.get(i, math.nan),
+                )
+            ],
         )
         for n, leaf in enumerate(leaves)
     ]
-    return spark.createDataFrame(rows, f"leaf int, tree int, leaf_value double, path long, {bounds}")
+    return spark.createDataFrame(rows, schema)
 
 
 def _hits(rows: DataFrame, leaves: DataFrame, trees: Sequence[int], features: Sequence[str]) -> DataFrame:
     """Each row with each leaf and the mask of path features inside the leaf's box."""
-    mask: Column = F.lit(0).cast("bigint")
-    for i, name in enumerate(features):
-        x, low, high = F.col(name), F.col(f"lo_{i}"), F.col(f"hi_{i}")
-        bit = F.lit(1 << i).cast("bigint")
-        inside = (low.isNull() | (x > low)) & (high.isNull() | (x <= high))
-        on_path = F.col("path").bitwiseAND(bit) != 0
-        mask = mask + F.when(on_path & inside, bit).otherwise(F.lit(0).cast("bigint"))
-    spread = rows.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees])))
-    return spread.join(F.broadcast(leaves), "tree").select(*rows.columns, "leaf", "leaf_value", "path", mask.alias("hit"))
+    bits = [
+        f"IF({quoted(name)} BETWEEN lo_{i} AND hi_{i}, {1 << i}L, 0L)" for i, name in enumerate(features)
+    ]
+    spread = rows.withColumn("tree", F.explode(F.lit(list(trees))))
+    return spread.join(F.broadcast(leaves), "tree").select(
+        *rows.columns, "leaf", "leaf_value", "path", F.expr(f"({' + '.join(bits)}) & path").alias("hit")
+    )
 
 
 def feature_rows(fitted: Fitted, df: DataFrame, id_col: str) -> DataFrame:
@@ -149,17 +154,45 @@ def feature_rows(fitted: Fitted, df: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _weight(kind: str, size: int) -> Column:
-    """Shapley weights by the counts a (only the row inside) and b (only the background inside)."""
-    table = []
-    for a in range(size + 1):
-        for b in range(size + 1):
-            if kind == "gain":
-                w = math.factorial(a - 1) * math.factorial(b) / math.factorial(a + b) if a else 0.0
-            else:
-                w = -math.factorial(a) * math.factorial(b - 1) / math.factorial(a + b) if b else 0.0
-            table.append(F.lit(w))
-    return F.array(*table)[(F.col("a") * (size + 1) + F.col("b")).cast("int")]
+def _weights(size: int) -> tuple[Column, Column]:
+    """Shapley weights for a features where only the row is inside and b where only the background is:
+    for each of the former a gain of (a-1)! b! / (a+b)!, for each of the latter a loss of
+    a! (b-1)! / (a+b)!."""
+    counts = [(a, b) for a in range(size + 1) for b in range(size + 1)]
+    f = math.factorial
+    gain = [f(a - 1) * f(b) / f(a + b) if a else 0.0 for a, b in counts]
+    loss = [-f(a) * f(b - 1) / f(a + b) if b else 0.0 for a, b in counts]
+    place = F.expr(f"a * {size + 1} + b")
+    return doubles(gain)[place], doubles(loss)[place]
+
+
+def _contributions(
+    rows: DataFrame, background: DataFrame, n_background: int, leaves: Sequence[Leaf], features: Sequence[str]
+) -> DataFrame:
+    """Per (leaf, mask) that occurs in the rows: what each feature gets from the leaf."""
+    frame = _leaf_frame(rows.sparkSession, leaves, len(features))
+    trees = sorted({leaf.tree for leaf in leaves})
+    size = max(leaf.path.bit_count() for leaf in leaves)
+    seen = (
+        _hits(background, frame, trees, features)
+        .groupBy("leaf", F.col("hit").alias("seen"))
+        .agg((F.count("*") / F.lit(n_background)).alias("share"))
+    )
+    own = _hits(rows, frame, trees, features).select("leaf", "leaf_value", "path", "hit").distinct()
+    gain, loss = _weights(size)
+    amount = F.col("leaf_value") * F.col("share")
+    pairs = (
+        own.join(seen, "leaf")
+        .where("hit | seen = path")
+        .selectExpr("leaf", "hit", "leaf_value", "share", "hit & ~seen AS ours", "seen & ~hit AS theirs")
+        .selectExpr("*", "bit_count(ours) AS a", "bit_count(theirs) AS b")
+        .select("leaf", "hit", "ours", "theirs", (amount * gain).alias("gain"), (amount * loss).alias("loss"))
+    )
+    shares = [
+        F.expr(f"sum(CASE WHEN ours & {1 << i}L != 0 THEN gain WHEN theirs & {1 << i}L != 0 THEN loss ELSE 0.0D END)")
+        for i in range(len(features))
+    ]
+    return pairs.groupBy("leaf", "hit").agg(*[share.alias(f"phi_{i}") for i, share in enumerate(shares)])
 
 
 def forest_shap(
@@ -168,68 +201,46 @@ def forest_shap(
     leaves: Sequence[Leaf],
     id_col: str,
     features: Sequence[str],
+    leaf_limit: int = LEAF_LIMIT,
     pair_limit: int = PAIR_LIMIT,
 ) -> DataFrame:
     """Shapley values (id, feature, feature_value, shap_value) of every row against the background."""
     if len(features) > 62:
         raise ValueError("at most 62 features fit a mask")
-    spark = rows.sparkSession
     n_background = background.count()
     if n_background == 0:
         raise ValueError("the background is empty")
     names = [f"phi_{i}" for i in range(len(features))]
     rows, background = rows.select(id_col, *features), background.select(*features)
+    n_rows = None
     whole = None
-    for group in _leaf_sets(leaves, pair_limit):
-        frame = _leaf_frame(spark, group, len(features))
-        trees = sorted({leaf.tree for leaf in group})
-        size = max(leaf.path.bit_count() for leaf in group)
-        seen = (
-            _hits(background, frame, trees, features)
-            .groupBy("leaf", F.col("hit").alias("seen"))
-            .agg((F.count("*") / F.lit(n_background)).alias("share"))
-        )
-        own = _hits(rows, frame, trees, features).select("leaf", "leaf_value", "path", "hit").distinct()
-        only_row = F.col("hit").bitwiseAND(F.bitwise_not("seen"))
-        only_background = F.col("seen").bitwiseAND(F.bitwise_not("hit"))
-        pairs = (
-            own.join(seen, "leaf")
-            .where(F.col("hit").bitwiseOR(F.col("seen")) == F.col("path"))
-            .withColumns({"a": F.bit_count(only_row), "b": F.bit_count(only_background)})
-            .withColumns(
-                {
-                    "gain": F.col("leaf_value") * F.col("share") * _weight("gain", size),
-                    "loss": F.col("leaf_value") * F.col("share") * _weight("loss", size),
-                }
-            )
-        )
-        parts = []
-        for i, name in enumerate(names):
-            bit = F.lit(1 << i).cast("bigint")
-            mine = F.when(only_row.bitwiseAND(bit) != 0, F.col("gain"))
-            mine = mine.when(only_background.bitwiseAND(bit) != 0, F.col("loss")).otherwise(0.0)
-            parts.append(F.sum(mine).alias(name))
-        contributions = pairs.groupBy("leaf", "hit").agg(*parts)
-        if sum(leaf.pairs for leaf in group) <= pair_limit:
+    for group in _leaf_sets(leaves, leaf_limit):
+        contributions = _contributions(rows, background, n_background, group, features)
+        bound = sum(leaf.pairs for leaf in group)
+        if bound > pair_limit:
+            n_rows = rows.count() if n_rows is None else n_rows
+            bound = sum(min(leaf.pairs, n_rows) for leaf in group)
+        if bound <= pair_limit:
             contributions = F.broadcast(contributions)
+        frame = _leaf_frame(rows.sparkSession, group, len(features))
         found = (
-            _hits(rows, frame, trees, features)
-            .join(contributions, ["leaf", "hit"], "left")
+            _hits(rows, frame, sorted({leaf.tree for leaf in group}), features)
+            .select(id_col, "leaf", "hit")
+            .join(contributions, ["leaf", "hit"])
             .groupBy(id_col)
-            .agg(
-                *[F.first(c).alias(f"x_{i}") for i, c in enumerate(features)],
-                *[F.sum(F.coalesce(n, F.lit(0.0))).alias(n) for n in names],
-            )
+            .agg(*[F.sum(n).alias(n) for n in names])
         )
         whole = found if whole is None else whole.unionByName(found)
-    if len(leaves) and whole is not None and sum(leaf.pairs for leaf in leaves) > pair_limit:
-        whole = whole.groupBy(id_col).agg(
-            *[F.first(f"x_{i}").alias(f"x_{i}") for i in range(len(features))], *[F.sum(n).alias(n) for n in names]
-        )
+    if len(leaves) > leaf_limit:
+        whole = whole.groupBy(id_col).agg(*[F.sum(n).alias(n) for n in names])
     return to_rows(
-        whole,
+        rows.join(whole, id_col, "left"),
         [
-            {"feature": F.lit(c), "feature_value": F.col(f"x_{i}"), "shap_value": F.col(names[i])}
+            {
+                "feature": F.lit(c),
+                "feature_value": F.col(c),
+                "shap_value": F.coalesce(F.col(names[i]), F.lit(0.0)),
+            }
             for i, c in enumerate(features)
         ],
         [id_col],
@@ -237,11 +248,11 @@ def forest_shap(
 
 
 def forest_output(
-    rows: DataFrame, leaves: Sequence[Leaf], id_col: str, features: Sequence[str], pair_limit: int = PAIR_LIMIT
+    rows: DataFrame, leaves: Sequence[Leaf], id_col: str, features: Sequence[str], leaf_limit: int = LEAF_LIMIT
 ) -> DataFrame:
     """The ensemble output of every row, from the leaf boxes."""
     whole = None
-    for group in _leaf_sets(leaves, pair_limit):
+    for group in _leaf_sets(leaves, leaf_limit):
         frame = _leaf_frame(rows.sparkSession, group, len(features))
         hits = _hits(rows.select(id_col, *features), frame, sorted({leaf.tree for leaf in group}), features)
         part = hits.groupBy(id_col).agg(
@@ -252,11 +263,11 @@ def forest_output(
 
 
 def forest_base_value(
-    background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], pair_limit: int = PAIR_LIMIT
+    background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], leaf_limit: int = LEAF_LIMIT
 ) -> float:
     """The mean ensemble output over the background: the base value of ``forest_shap``."""
     total = 0.0
-    for group in _leaf_sets(leaves, pair_limit):
+    for group in _leaf_sets(leaves, leaf_limit):
         frame = _leaf_frame(background.sparkSession, group, len(features))
         hits = _hits(background.select(*features), frame, sorted({leaf.tree for leaf in group}), features)
         total += hits.where(F.col("hit") == F.col("path")).agg(F.sum("leaf_value")).first()[0] or 0.0
@@ -268,7 +279,7 @@ def forest_partial_dependence(
     leaves: Sequence[Leaf],
     features: Sequence[str],
     grids: Mapping[str, Sequence[float]],
-    pair_limit: int = PAIR_LIMIT,
+    leaf_limit: int = LEAF_LIMIT,
 ) -> DataFrame:
     """Exact partial dependence without copying rows per grid point.
 
@@ -278,32 +289,24 @@ def forest_partial_dependence(
     index = {f: i for i, f in enumerate(features)}
     total = rows.count()
     whole = None
-    for group in _leaf_sets(leaves, pair_limit):
+    for group in _leaf_sets(leaves, leaf_limit):
         frame = _leaf_frame(rows.sparkSession, group, len(features))
         hits = _hits(rows.select(*features), frame, sorted({leaf.tree for leaf in group}), features)
         counts = hits.groupBy("leaf").agg(
-            *[
-                F.count_if(
-                    F.col("hit").bitwiseOR(F.lit(1 << index[f]).cast("bigint")).bitwiseAND(F.col("path")) == F.col("path")
-                ).alias(f"n_{index[f]}")
-                for f in grids
-            ]
+            *[F.expr(f"count_if((hit | {1 << index[f]}L) & path = path)").alias(f"n_{index[f]}") for f in grids]
         )
-        rows_of = [
+        per_feature = [
             {
                 "feature": F.lit(f),
                 "low": F.col(f"lo_{index[f]}"),
                 "high": F.col(f"hi_{index[f]}"),
                 "weight": F.col("leaf_value") * F.col(f"n_{index[f]}"),
-                "value": F.lit(float(v)),
+                "grid": doubles(values),
             }
             for f, values in grids.items()
-            for v in values
         ]
-        met = to_rows(counts.join(F.broadcast(frame), "leaf"), rows_of)
-        inside = (F.col("low").isNull() | (F.col("value") > F.col("low"))) & (
-            F.col("high").isNull() | (F.col("value") <= F.col("high"))
-        )
+        met = to_rows(counts.join(F.broadcast(frame), "leaf"), per_feature).withColumn("value", F.explode("grid"))
+        inside = F.col("value").between(F.col("low"), F.col("high"))
         part = met.groupBy("feature", "value").agg(F.sum(F.when(inside, F.col("weight")).otherwise(0.0)).alias("w"))
         whole = part if whole is None else whole.unionByName(part)
     return whole.groupBy("feature", "value").agg((F.sum("w") / F.lit(total)).alias("average_score"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,6 +25,7 @@ from churnlake.operators.metrics import outcome_counts, with_rates
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
 from churnlake.operators.split import stratified_folds
 from churnlake.schema import CustomerTable
+from churnlake.session import staged, use_checkpoints
 
 MODEL_KINDS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "boosted_deep")
 
@@ -135,9 +138,10 @@ def fit_preparation(
 
 def training_rows(df: DataFrame, spec: CustomerTable) -> DataFrame:
     """Labelled rows in a layout that depends on ids only, so bootstrap samples repeat."""
+    label = F.col(spec.label).cast("double").alias("label")
     return (
         df.where(F.col(spec.label).isNotNull())
-        .withColumn("label", F.col(spec.label).cast("double"))
+        .select(spec.id, *spec.numeric, *spec.categorical, label)
         .repartitionByRange(F.col(spec.id))
         .sortWithinPartitions(spec.id)
     )
@@ -183,6 +187,7 @@ def fit_model(
     preparation = preparation or fit_preparation(
         train, spec, feature_set=feature_set, scaled=scaled, drop_constant=drop_constant
     )
+    use_checkpoints(train.sparkSession)
     rows = training_rows(train, spec)
     n_train = train.where(F.col(spec.label).isNotNull()).count() if kind == "logistic_regression" else 0
     learner = make_classifier(kind, max(n_train, 1), seed, **settings)
@@ -215,31 +220,67 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
     )
 
 
-def cross_validate(
+def _fold_accuracies(
     df: DataFrame,
     spec: CustomerTable,
-    kind: str = "logistic_regression",
-    folds: int = 5,
-    scaled: bool = True,
-    **settings,
+    kind: str,
+    settings: Sequence[Mapping[str, object]],
+    folds: int,
+    scaled: bool,
+    parallelism: int,
 ) -> DataFrame:
-    """Accuracy per stratified fold; every fold fits its own preparation on its own training rows."""
+    """Accuracy per setting and stratified fold; each fold learns its own preparation.
+
+    Folds run side by side, as independent Spark jobs.
+    """
+    use_checkpoints(df.sparkSession)
     folded = stratified_folds(df, spec.label, spec.id, folds)
     levels = fit_levels(df, spec.categorical)
-    parts = []
-    for fold in range(folds):
+
+    def one_fold(fold: int) -> list[DataFrame]:
         train = folded.where(F.col("fold") != fold)
         preparation = fit_preparation(train, spec, levels, scaled=scaled)
-        fitted = fit_model(train, spec, kind, preparation, **settings)
-        held_out = folded.where(F.col("fold") == fold)
-        parts.append(
-            fitted.score(held_out).select("fold", F.col(spec.label).cast("int").alias("label"), "prediction")
-        )
+        prepare = Pipeline(stages=preparation.stages()).fit(train)
+        vectors = prepare.transform(training_rows(train, spec)).select("label", "features")
+        if len(settings) > 1:
+            vectors = staged(vectors, "vectors")
+        n_train = train.where(F.col(spec.label).isNotNull()).count()
+        held_out = prepare.transform(folded.where(F.col("fold") == fold))
+        return [
+            make_classifier(kind, n_train, **setting)
+            .fit(vectors)
+            .transform(held_out)
+            .select(
+                F.lit(i).alias("setting"),
+                "fold",
+                F.col(spec.label).cast("int").alias("label"),
+                F.col("prediction").cast("int").alias("prediction"),
+            )
+            for i, setting in enumerate(settings)
+        ]
+
+    with ThreadPool(min(parallelism, folds)) as pool:
+        parts = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(one_fold), range(folds))))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    rates = with_rates(outcome_counts(whole, ["fold"]))
-    return rates.select("fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "accuracy")
+    rates = with_rates(outcome_counts(whole, ["setting", "fold"]))
+    return rates.select(
+        "setting", "fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "accuracy"
+    )
+
+
+def cross_validate(
+    df: DataFrame,
+    spec: CustomerTable,
+    kind: str = "logistic_regression",
+    folds: int = 5,
+    scaled: bool = True,
+    parallelism: int = 4,
+    **settings,
+) -> DataFrame:
+    """Held-out rows and accuracy of each stratified fold."""
+    return _fold_accuracies(df, spec, kind, [settings], folds, scaled, parallelism).drop("setting")
 
 
 def search(
@@ -248,15 +289,16 @@ def search(
     kind: str,
     grid: Iterable[Mapping[str, object]],
     folds: int = 3,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Mean and lowest fold accuracy per parameter setting, best first."""
-    table = None
-    for setting in grid:
-        text = ", ".join(f"{k}={v}" for k, v in sorted(setting.items()))
-        part = cross_validate(df, spec, kind, folds, **setting).withColumn("setting", F.lit(text))
-        table = part if table is None else table.unionByName(part)
-    if table is None:
+    settings = list(grid)
+    if not settings:
         raise ValueError("the grid is empty")
+    name = F.element_at(
+        F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in sorted(s.items()))) for s in settings]), F.col("setting") + 1
+    )
+    table = _fold_accuracies(df, spec, kind, settings, folds, True, parallelism).withColumn("setting", name)
     means = table.groupBy("setting").agg(
         F.avg("accuracy").alias("mean_accuracy"), F.min("accuracy").alias("lowest_accuracy")
     )

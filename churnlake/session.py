@@ -61,3 +61,15 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def slice_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let iterative learners cut their lineage: set the checkpoint folder where none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{work_folder(spark)}/checkpoints")
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
