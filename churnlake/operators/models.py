@@ -260,7 +260,7 @@ def _fold_accuracies(
         ]
 
     with ThreadPool(min(parallelism, folds)) as pool:
-        parts = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(one_fold), range(folds))))
+        parts = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(df.sparkSession)(one_fold), range(folds))))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -88,13 +88,22 @@ class Scaling:
 
 
 def fit_scaling(df: DataFrame, columns: Sequence[str]) -> Scaling:
+    """Learn the scaling in one pass. Equal minimum and maximum mark a constant column, whose
+    computed deviation may be rounding noise instead of zero."""
     row = df.agg(
-        *[F.avg(F.col(c)).cast("double").alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[
+            F.struct(
+                F.avg(F.col(c)).cast("double").alias("mean"),
+                F.stddev_pop(F.col(c).cast("double")).alias("deviation"),
+                (F.min(F.col(c)) < F.max(F.col(c))).alias("varies"),
+            ).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        ]
     ).first()
+    fitted = dict(zip(columns, row))
     return Scaling(
-        {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)},
-        {c: row[f"d{i}"] or 1.0 for i, c in enumerate(columns)},
+        {c: 0.0 if f["mean"] is None else f["mean"] for c, f in fitted.items()},
+        {c: f["deviation"] if f["varies"] else 1.0 for c, f in fitted.items()},
     )
 
 

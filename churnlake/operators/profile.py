@@ -235,24 +235,43 @@ def violin_density(df: DataFrame, column: str, label: str, bins: int = 512, grid
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregation; NULL for a constant column."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def both(a: str, b: str) -> tuple[Column, Column]:
-        known = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.when(known, F.col(a).cast("double")), F.when(known, F.col(b).cast("double"))
-
-    aggregates = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = both(a, b)
-        scale = F.stddev_pop(x) * F.stddev_pop(y)
-        aggregates.append(ratio(F.covar_pop(x, y), F.nullif(scale, F.lit(0.0))).alias(f"r{i}"))
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        rows.append({"x": F.lit(a), "y": F.lit(b), "r": F.col(f"r{i}")})
-        if a != b:
-            rows.append({"x": F.lit(b), "y": F.lit(a), "r": F.col(f"r{i}")})
-    return to_rows(df.agg(*aggregates), rows)
+    """Pearson correlation of every column pair in one aggregation; NULL for a constant column.
+
+    A first look at nulls and ranges tells constant columns apart from rounding noise, and leaves the
+    pairwise treatment of missing values to the pairs that need it.
+    """
+    look = df.agg(
+        *[
+            F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), (F.min(c) == F.max(c)).alias("constant")).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    value = [F.col(c).cast("double") for c in columns]
+    varying = [i for i in range(len(columns)) if look[i]["constant"] is False]
+    full = {i for i in varying if look[i]["nulls"] == 0}
+    aggregates = [F.stddev_pop(value[i]).alias(f"d{i}") for i in sorted(full)]
+    r: dict[tuple[int, int], Column] = {}
+    for i in varying:
+        for j in varying:
+            if i > j:
+                continue
+            aggregates.append(F.covar_pop(value[i], value[j]).alias(f"v{i}_{j}"))
+            if {i, j} <= full:
+                scale = F.col(f"d{i}") * F.col(f"d{j}")
+            else:
+                known = value[i].isNotNull() & value[j].isNotNull()
+                for name, x in (("x", F.when(known, value[i])), ("y", F.when(known, value[j]))):
+                    deviation = F.when(F.min(x) < F.max(x), F.stddev_pop(x))
+                    aggregates.append(deviation.alias(f"{name}{i}_{j}"))
+                scale = F.col(f"x{i}_{j}") * F.col(f"y{i}_{j}")
+            r[(i, j)] = ratio(F.col(f"v{i}_{j}"), F.nullif(scale, F.lit(0.0)))
+    none = F.lit(None).cast("double")
+    rows = [
+        {"x": F.lit(a), "y": F.lit(b), "r": r.get((min(i, j), max(i, j)), none)}
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+    ]
+    return to_rows(df.agg(F.count("*").alias("_n"), *aggregates), rows)
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

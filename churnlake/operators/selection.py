@@ -21,6 +21,7 @@ from churnlake.session import staged
 
 SMALL = 1_000_000
 ACCURACY = 10_000
+LONGS = (-(2**63), 2**63 - 1)
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,12 @@ class _Bracket:
     below: int
     count: int
 
+    @property
+    def anchor(self) -> Any:
+        """A known value near the hidden ones; long integers are sketched relative to it, because
+        the sketch holds doubles."""
+        return self.low if self.low is not None else self.high if self.high is not None else 0
+
     def inside(self) -> Column:
         value = F.col(self.column)
         test = value.isNotNull()
@@ -96,14 +103,21 @@ def order_statistics(
 def _narrow(data: DataFrame, brackets: list[_Bracket], small: int):
     big = [replace(b, ranks=(r,)) for b in brackets if b.count > small for r in b.ranks]
     kept = [b for b in brackets if b.count <= small]
+    wide = {f.name for f in data.schema.fields if f.dataType.simpleString() == "bigint"}
     sketches = []
     for i, b in enumerate(big):
         position = b.ranks[0] - b.below
         slack = 2 * b.count / ACCURACY + 1
         bounds = [max(0.0, (position - slack) / b.count), min(1.0, (position + slack + 1) / b.count)]
-        value = F.when(b.inside(), F.col(b.column))
-        sketches.append(F.percentile_approx(value, bounds, ACCURACY).alias(f"b{i}"))
-    limits = data.agg(*sketches).first()
+        value = F.col(b.column)
+        if b.column in wide:
+            value = F.coalesce(F.try_subtract(value, F.lit(b.anchor).cast("bigint")), F.lit(0).cast("bigint"))
+        sketches.append(F.percentile_approx(F.when(b.inside(), value), bounds, ACCURACY).alias(f"b{i}"))
+    row = data.agg(*sketches).first()
+    limits = [
+        [max(LONGS[0], min(LONGS[1], v + b.anchor)) for v in row[i]] if b.column in wide else row[i]
+        for i, b in enumerate(big)
+    ]
 
     tallies = []
     for i, b in enumerate(big):
