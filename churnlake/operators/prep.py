@@ -136,7 +136,8 @@ def impute(df: DataFrame, fills: Mapping[str, float | str | None]) -> DataFrame:
 
 
 def apply_threshold(score: Column, threshold: float) -> Column:
-    return flag(score > F.lit(threshold))
+    """1 strictly above the threshold, 0 otherwise; a missing score has no class."""
+    return (score > F.lit(threshold)).cast("int")
 
 
 def vector_to_columns(df: DataFrame, vector: str, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

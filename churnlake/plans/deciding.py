@@ -31,7 +31,8 @@ def _scored_profile(spark, folder) -> DataFrame:
     "b2_risk_bands",
     with_scored(
         """select customer_id, score, cast(round(score * 100) as int) as risk_score,
-  case when score < 0.3e0 then 'low' when score < 0.4e0 then 'medium' else 'high' end as band from scored"""
+  case when score < 0.3e0 then 'low' when score < 0.4e0 then 'medium'
+    when score >= 0.4e0 then 'high' end as band from scored"""
     ),
 )
 def risk_bands(spark, folder):
@@ -41,7 +42,8 @@ def risk_bands(spark, folder):
 @query(
     "b2_band_sizes",
     with_scored(
-        """select case when score < 0.3e0 then 'low' when score < 0.4e0 then 'medium' else 'high' end as band,
+        """select case when score < 0.3e0 then 'low' when score < 0.4e0 then 'medium'
+    when score >= 0.4e0 then 'high' end as band,
   count(*) as n, cast(sum(label) as bigint) as churned from scored group by 1"""
     ),
 )

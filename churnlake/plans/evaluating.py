@@ -59,7 +59,7 @@ def f1(spark, folder):
 
 _STEPS = """ties as (
   select model, score as threshold, cast(sum(label) as double) pos, cast(sum(1 - label) as double) neg
-  from scored group by model, score),
+  from scored where score is not null group by model, score),
 steps as (
   select *, sum(pos) over w cum_pos, sum(neg) over w cum_neg,
     sum(pos) over (partition by model) p, sum(neg) over (partition by model) n
@@ -80,7 +80,7 @@ _CELLS = "(values (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted)"
     "e6_confusion_matrix",
     with_models(
         f""", hits as (
-  select model, label, cast(case when score > {CUT}e0 then 1 else 0 end as int) pred, count(*) c from scored group by 1, 2, 3)
+  select model, label, cast(score > {CUT}e0 as int) pred, count(*) c from scored group by 1, 2, 3)
 select m.model, g.actual, g.predicted, coalesce(c, 0) as n
 from (select distinct model from scored) m cross join {_CELLS}
 left join hits on hits.model = m.model and label = actual and pred = predicted"""
@@ -243,9 +243,10 @@ def threshold_steps(spark, folder):
     "b7_gain_table",
     with_scored(
         """, tiles as (
-  select label, ntile(10) over (order by score desc, customer_id) as decile from scored),
+  select label, ntile(10) over (order by score desc, customer_id) as decile from scored
+  where score is not null),
 sums as (select decile, count(*) n, cast(sum(label) as bigint) churned from tiles group by decile),
-base as (select cast(sum(label) as double) c, count(*) t from scored)
+base as (select cast(sum(label) as double) c, count(*) t from scored where score is not null)
 select cast(decile as int) as decile, n, churned, round(cast(churned as double) / n, 6) as churn_rate,
   round((cast(churned as double) / n) / (c / t), 6) as lift,
   round(sum(churned) over (order by decile) / c, 6) as cumulative_gain

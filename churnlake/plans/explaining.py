@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from churnlake.operators import explain
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.models import fit_model
+from churnlake.operators.prep import align
 from churnlake.operators.split import uniform_sample
 from churnlake.plans.inputs import (
     ENGAGEMENT_MARGIN,
@@ -173,8 +174,8 @@ FIXED_LEAVES = (
 )
 
 _FIXED = """flags as (
-  select customer_id, num_products, is_active_member, balance, cast(num_products <= 3.5e0 as int) p,
-    cast(is_active_member <= 0.5e0 as int) a, cast(balance > 4500e0 as int) b from profile),
+  select customer_id, num_products, is_active_member, coalesce(balance, 0) as balance, cast(num_products <= 3.5e0 as int) p,
+    cast(is_active_member <= 0.5e0 as int) a, cast(coalesce(balance, 0) > 4500e0 as int) b from profile),
 e as (
   select avg(p) ep, avg(a) ea, avg(b) eb, avg(p * a) epa, avg(p * (1 - a)) epn from flags),
 parts as (
@@ -200,7 +201,7 @@ select customer_id, 'balance', balance, round(0.15e0 * (b - eb), 6) + 0e0 from p
 )
 def forest_shap_fixed(spark, folder):
     """Shapley values of a fixed two-tree ensemble: every customer against all customers."""
-    rows = held_profile(spark, folder).select(ID, *[F.col(c).cast("double").alias(c) for c in FIXED_FEATURES])
+    rows = align(held_profile(spark, folder), FIXED_FEATURES, [ID])
     return rounded(forest.forest_shap(rows, rows, FIXED_LEAVES, ID, FIXED_FEATURES), 6, "shap_value")
 
 
@@ -211,7 +212,7 @@ def forest_shap_fixed(spark, folder):
     ),
 )
 def forest_base_value(spark, folder):
-    rows = held_profile(spark, folder).select(ID, *[F.col(c).cast("double").alias(c) for c in FIXED_FEATURES])
+    rows = align(held_profile(spark, folder), FIXED_FEATURES, [ID])
     outputs = forest.forest_output(rows, FIXED_LEAVES, ID, FIXED_FEATURES)
     return rounded(outputs.agg(F.avg("output").alias("base_value"), F.count("*").alias("n")))
 
@@ -229,7 +230,7 @@ from parts, (values (0e0), (4000e0), (4500e0), (5000e0), (9000e0)) t(v) group by
     ),
 )
 def forest_dependence_fixed(spark, folder):
-    rows = held_profile(spark, folder).select(*[F.col(c).cast("double").alias(c) for c in FIXED_FEATURES])
+    rows = align(held_profile(spark, folder), FIXED_FEATURES)
     grids = explain.dependence_grid(rows, ["num_products"], points=100)
     grids["balance"] = [0.0, 4000.0, 4500.0, 5000.0, 9000.0]
     return rounded(forest.forest_partial_dependence(rows, FIXED_LEAVES, FIXED_FEATURES, grids))

@@ -142,7 +142,7 @@ def imputation(spark, folder):
 @query(
     "r10_threshold",
     with_scored(
-        "select customer_id, score, cast(case when score > 0.3e0 then 1 else 0 end as int) as prediction from scored"
+        "select customer_id, score, cast(score > 0.3e0 as int) as prediction from scored"
     ),
 )
 def threshold(spark, folder):

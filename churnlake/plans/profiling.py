@@ -255,7 +255,7 @@ _DENSITY_SQL = with_profile(
     """, e as (select min(balance) lo, max(balance) hi from profile),
 b as (
   select exited, cast(least(floor((balance - lo) / (hi - lo) * 512), 511) as int) bin, count(*) n, sum(balance) s,
-    sum(balance * balance) q from profile, e group by 1, 2),
+    sum(balance * balance) q from profile, e where balance is not null group by 1, 2),
 g as (
   select exited, cast(sum(n) as double) total,
     greatest(sqrt(greatest(sum(q) / sum(n) - pow(sum(s) / sum(n), 2), 0)) * pow(cast(sum(n) as double), -0.2e0),
@@ -283,7 +283,7 @@ _PAIRS = [(a, b) for a in NUMERIC for b in NUMERIC]
         union_all(
             *[
                 f"select '{a}' as x, '{b}' as y, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) "
-                "+ 0e0 as r from profile"
+                f"+ 0e0 as r from profile where {a} is not null and {b} is not null"
                 for a, b in _PAIRS
             ]
         )
