@@ -65,6 +65,26 @@ def double_sql(value: float) -> str:
     return f"double('{value}')"
 
 
+def literal_sql(value) -> str:
+    """A numeric literal in SQL text."""
+    if isinstance(value, float):
+        return double_sql(value)
+    if isinstance(value, int):
+        return f"{value}L"
+    return f"{value}BD"
+
+
+def text_sql(value: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def inline_sql(rows: Iterable[Mapping[str, str]]) -> Column:
+    """One output row per mapping from name to SQL text: the unpivot of ``to_rows`` for wide tables."""
+    structs = ("struct(" + ", ".join(f"{e} AS {quoted(n)}" for n, e in row.items()) + ")" for row in rows)
+    return F.expr(f"inline(array({', '.join(structs)}))")
+
+
 def doubles(values: Iterable[float]) -> Column:
     return F.expr(f"array({', '.join(double_sql(v) for v in values)})")
 

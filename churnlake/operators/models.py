@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import ratio
+from churnlake.functions.expressions import ratio, text_sql
 from churnlake.operators.metrics import outcome_counts, with_rates
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
 from churnlake.operators.split import stratified_folds
@@ -69,10 +69,6 @@ class Preparation:
         ]
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _raw_expressions(
     spec: CustomerTable, levels: Mapping[str, Sequence[str]], fills: Mapping[str, object], feature_set: str
 ) -> dict[str, str]:
@@ -83,9 +79,9 @@ def _raw_expressions(
     made = {c: number(c) for c in spec.numeric}
     for column, values in levels.items():
         fill = fills.get(column)
-        value = column if fill is None else f"COALESCE({column}, {_quoted(str(fill))})"
+        value = column if fill is None else f"COALESCE({column}, {text_sql(str(fill))})"
         for level in values[1:]:
-            made[dummy_name(column, level)] = f"CASE WHEN {value} = {_quoted(str(level))} THEN 1.0D ELSE 0.0D END"
+            made[dummy_name(column, level)] = f"CASE WHEN {value} = {text_sql(str(level))} THEN 1.0D ELSE 0.0D END"
     if feature_set == "extended":
         balance, salary, products, tenure, active = (
             number(c) for c in (spec.balance, spec.salary, spec.products, spec.tenure, spec.active)
@@ -113,15 +109,11 @@ def fit_preparation(
     fills = fit_imputation(train, spec.numeric, spec.categorical) if fill_missing else {}
     raw = _raw_expressions(spec, levels, fills, feature_set)
     row = train.agg(
-        *itertools.chain.from_iterable(
-            (
-                F.avg(F.expr(e)).alias(f"m{i}"),
-                F.stddev_pop(F.expr(e)).alias(f"d{i}"),
-                F.min(F.expr(e)).alias(f"lo{i}"),
-                F.max(F.expr(e)).alias(f"hi{i}"),
-            )
+        *[
+            F.expr(f"{f}({e}) AS {short}{i}")
             for i, e in enumerate(raw.values())
-        )
+            for short, f in (("m", "avg"), ("d", "stddev_pop"), ("lo", "min"), ("hi", "max"))
+        ]
     ).first()
     names, made = [], []
     for i, (name, e) in enumerate(raw.items()):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlake.functions.expressions import flag, ratio, to_rows
+from churnlake.functions.expressions import double_sql, flag, inline_sql, quoted, ratio, text_sql, to_rows
 from churnlake.operators.selection import SMALL, exact_quantiles
 
 LIFT_FLOOR = 1.25
@@ -235,43 +235,46 @@ def violin_density(df: DataFrame, column: str, label: str, bins: int = 512, grid
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregation; NULL for a constant column.
+    """Pearson correlation of every column pair; NULL for a constant column.
 
-    A first look at nulls and ranges tells constant columns apart from rounding noise, and leaves the
-    pairwise treatment of missing values to the pairs that need it.
+    A first pass finds means, nulls and constant columns. The second sums products of centred values,
+    one buffer per pair, which keeps the aggregation of a dozen columns in generated code. Only pairs
+    with missing values need their own pairwise moments.
     """
+    value = [f"CAST({quoted(c)} AS DOUBLE)" for c in columns]
     look = df.agg(
         *[
-            F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), (F.min(c) == F.max(c)).alias("constant")).alias(f"c{i}")
-            for i, c in enumerate(columns)
+            F.expr(f"struct(count_if({v} IS NULL) AS nulls, min({v}) = max({v}) AS constant, avg({v}) AS mean) AS c{i}")
+            for i, v in enumerate(value)
         ]
     ).first()
-    value = [F.col(c).cast("double") for c in columns]
     varying = [i for i in range(len(columns)) if look[i]["constant"] is False]
     full = {i for i in varying if look[i]["nulls"] == 0}
-    aggregates = [F.stddev_pop(value[i]).alias(f"d{i}") for i in sorted(full)]
-    r: dict[tuple[int, int], Column] = {}
+    aggregates = []
+    r: dict[tuple[int, int], str] = {}
     for i in varying:
         for j in varying:
             if i > j:
                 continue
-            aggregates.append(F.covar_pop(value[i], value[j]).alias(f"v{i}_{j}"))
             if {i, j} <= full:
-                scale = F.col(f"d{i}") * F.col(f"d{j}")
+                centred = " * ".join(f"({value[c]} - {double_sql(look[c]['mean'])})" for c in (i, j))
+                aggregates.append(f"sum({centred}) AS v{i}_{j}")
+                scale = f"sqrt(v{i}_{i} * v{j}_{j})"
             else:
-                known = value[i].isNotNull() & value[j].isNotNull()
-                for name, x in (("x", F.when(known, value[i])), ("y", F.when(known, value[j]))):
-                    deviation = F.when(F.min(x) < F.max(x), F.stddev_pop(x))
-                    aggregates.append(deviation.alias(f"{name}{i}_{j}"))
-                scale = F.col(f"x{i}_{j}") * F.col(f"y{i}_{j}")
-            r[(i, j)] = ratio(F.col(f"v{i}_{j}"), F.nullif(scale, F.lit(0.0)))
-    none = F.lit(None).cast("double")
+                aggregates.append(f"covar_pop({value[i]}, {value[j]}) AS v{i}_{j}")
+                for name, x in (("x", value[i]), ("y", value[j])):
+                    known = f"CASE WHEN {value[i]} IS NOT NULL AND {value[j]} IS NOT NULL THEN {x} END"
+                    deviation = f"CASE WHEN min({known}) < max({known}) THEN stddev_pop({known}) END"
+                    aggregates.append(f"{deviation} AS {name}{i}_{j}")
+                scale = f"x{i}_{j} * y{i}_{j}"
+            r[(i, j)] = f"try_divide(v{i}_{j}, nullif({scale}, 0.0D))"
     rows = [
-        {"x": F.lit(a), "y": F.lit(b), "r": r.get((min(i, j), max(i, j)), none)}
+        {"x": text_sql(a), "y": text_sql(b), "r": r.get((min(i, j), max(i, j)), "CAST(NULL AS DOUBLE)")}
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
     ]
-    return to_rows(df.agg(F.count("*").alias("_n"), *aggregates), rows)
+    moments = df.agg(F.count("*").alias("_n"), *[F.expr(a) for a in aggregates])
+    return moments.select(inline_sql(rows))
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

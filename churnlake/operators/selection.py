@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import to_rows
+from churnlake.functions.expressions import double_sql, inline_sql, literal_sql
 from churnlake.session import staged
 
 SMALL = 1_000_000
@@ -50,14 +50,13 @@ class _Bracket:
         the sketch holds doubles."""
         return self.low if self.low is not None else self.high if self.high is not None else 0
 
-    def inside(self) -> Column:
-        value = F.col(self.column)
-        test = value.isNotNull()
+    def inside(self) -> str:
+        tests = [f"{self.column} IS NOT NULL"]
         if self.low is not None:
-            test = test & (value > F.lit(self.low))
+            tests.append(f"{self.column} > {literal_sql(self.low)}")
         if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return test
+            tests.append(f"{self.column} < {literal_sql(self.high)}")
+        return "(" + " AND ".join(tests) + ")"
 
 
 def series_counts(df: DataFrame, series: Mapping[str, Column]) -> dict[str, int]:
@@ -91,10 +90,7 @@ def order_statistics(
         solved, brackets = _narrow(data, brackets, small)
         found.update(solved)
         if brackets:
-            keep = brackets[0].inside()
-            for bracket in brackets[1:]:
-                keep = keep | bracket.inside()
-            data = staged(data.where(keep), "bracket")
+            data = staged(data.where(" OR ".join(b.inside() for b in brackets)), "bracket")
     found.update(_finish(data, brackets))
     by_column = {column: name for name, column in names.items()}
     return {(by_column[column], rank): stat for (column, rank), stat in found.items()}
@@ -109,10 +105,12 @@ def _narrow(data: DataFrame, brackets: list[_Bracket], small: int):
         position = b.ranks[0] - b.below
         slack = 2 * b.count / ACCURACY + 1
         bounds = [max(0.0, (position - slack) / b.count), min(1.0, (position + slack + 1) / b.count)]
-        value = F.col(b.column)
-        if b.column in wide:
-            value = F.coalesce(F.try_subtract(value, F.lit(b.anchor).cast("bigint")), F.lit(0).cast("bigint"))
-        sketches.append(F.percentile_approx(F.when(b.inside(), value), bounds, ACCURACY).alias(f"b{i}"))
+        value = b.column
+        if value in wide:
+            value = f"coalesce(try_subtract({value}, {literal_sql(b.anchor)}), 0L)"
+        ends = ", ".join(double_sql(p) for p in bounds)
+        case = f"CASE WHEN {b.inside()} THEN {value} END"
+        sketches.append(F.expr(f"percentile_approx({case}, array({ends}), {ACCURACY}) AS b{i}"))
     row = data.agg(*sketches).first()
     limits = [
         [max(LONGS[0], min(LONGS[1], v + b.anchor)) for v in row[i]] if b.column in wide else row[i]
@@ -121,14 +119,15 @@ def _narrow(data: DataFrame, brackets: list[_Bracket], small: int):
 
     tallies = []
     for i, b in enumerate(big):
-        low, high = limits[i]
-        value, inside = F.col(b.column), b.inside()
-        tallies += [
-            F.count_if(inside & (value < F.lit(low))).alias(f"lt{i}"),
-            F.count_if(inside & (value == F.lit(low))).alias(f"lo{i}"),
-            F.count_if(inside & (value > F.lit(low)) & (value < F.lit(high))).alias(f"in{i}"),
-            F.count_if(inside & (value == F.lit(high)) & (value > F.lit(low))).alias(f"hi{i}"),
-        ]
+        low, high = (literal_sql(v) for v in limits[i])
+        v, inside = b.column, b.inside()
+        tests = {
+            "lt": f"{v} < {low}",
+            "lo": f"{v} = {low}",
+            "in": f"{v} > {low} AND {v} < {high}",
+            "hi": f"{v} = {high} AND {v} > {low}",
+        }
+        tallies += [F.expr(f"count_if({inside} AND {test}) AS {name}{i}") for name, test in tests.items()]
     tally = data.agg(*tallies).first()
 
     solved: dict[tuple[str, int], Statistic] = {}
@@ -161,16 +160,14 @@ def _finish(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int],
     found: dict[tuple[str, int], Statistic] = {}
     for kind in sorted({types[b.column] for b in brackets}):
         group = [b for b in brackets if types[b.column] == kind]
-        rows = [
-            {"k": F.lit(i), "v": F.when(b.inside(), F.col(b.column))} for i, b in enumerate(group)
-        ]
-        tied = to_rows(data, rows).where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.count("*").alias("n"))
+        rows = [{"k": str(i), "v": f"CASE WHEN {b.inside()} THEN {b.column} END"} for i, b in enumerate(group)]
+        tied = data.select(inline_sql(rows)).where("v IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
-        wanted = F.lit(False)
-        for i, b in enumerate(group):
-            for rank in b.ranks:
-                place = F.lit(rank - b.below)
-                wanted = wanted | ((F.col("k") == i) & (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place))
+        wanted = " OR ".join(
+            f"(k = {i} AND upto > {rank - b.below}L AND upto - n <= {rank - b.below}L)"
+            for i, b in enumerate(group)
+            for rank in b.ranks
+        )
         for row in tied.withColumn("upto", upto).where(wanted).collect():
             b = group[row["k"]]
             less = b.below + row["upto"] - row["n"]
