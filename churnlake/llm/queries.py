@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, decontamination, sharding, token_files
-from churnlake.llm.common import sha256_text, table
+from churnlake.llm import bpe, chat_trees, cross_polytope, decontamination, licenses, sharding, token_files, toxicity
+from churnlake.llm.common import id_remainder, sha256_text, table
 
 #: Folder of public vocabulary files; executors never read it.
 TOKENIZERS = "/opt/tokenizers"
@@ -49,5 +49,86 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_bpe, op7_token_files)}
-ORACLES: dict[str, str] = {}
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, folder, "documents"))
+    starts = "transform(filter(places, p -> p.base), p -> p.start)"
+    labels = "array_join(array_sort(array_distinct(transform({}, p -> p.label))), ',')"
+    return scanned.selectExpr(
+        "doc_id",
+        "n_words",
+        f"cast(size({starts}) AS bigint) AS n_base",
+        f"array_min({starts}) AS first_word",
+        f"array_max({starts}) AS last_word",
+        f"{labels.format('filter(places, p -> p.base)')} AS base_labels",
+        f"{labels.format('places')} AS labels",
+        "score",
+    )
+
+
+#: A conversation whose texts hold control strings of a common template.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def linear_replies(conversations: DataFrame) -> DataFrame:
+    """Conversations by turn as reply trees of one branch: each row answers the row before it."""
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", "role", "text", F.row_number().over(by_turn).cast("long").alias("msg_id"))
+    return rows.selectExpr(
+        "*", "CASE WHEN msg_id > 1 THEN msg_id - 1 END AS parent_id", "cast(NULL AS double) AS score"
+    )
+
+
+def op9_chat_trees(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string"))
+    back = chat_trees.read_back(chat_trees.format_trees(linear_replies(rows)))
+    told = F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        sha256_text(told).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        sha256_text(F.col("loss_text")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = """
+with every as (
+  select conv_id, turn, role, text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+plain as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from every),
+sized as (
+  select *, 24 + length(role) + length(text)
+    + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+    + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+    + 4 * (length(role || text) - length(replace(role || text, '[', '')))
+    + 5 * (length(role || text) - length(replace(role || text, '|', ''))) as chars
+  from plain)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id"""
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), train=id_remainder(F.col("doc_id")) != 0)
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id",
+        (id_remainder(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_polytope.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
+ORACLES: dict[str, str] = {"op9_chat_trees": OP9_SQL}
