@@ -4,7 +4,7 @@ A word's bytes stay in place. ``bounds`` holds where its parts begin, ``ranks``
 part with the next. A step scans ``ranks`` for the first minimum, deletes the boundary between the two
 parts and looks up the two ranks that changed. Words are short, so scanning an array beats a heap; words
 over ``LONG_WORD`` bytes take a heap over linked parts, which merges in the same order. The words of a
-text repeat, so each task keeps the ids of words that it has met, up to ``CACHE_WORDS``.
+text repeat, so each task keeps the ids of words that it has met; over ``CACHE_WORDS`` it starts anew.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from churnlake.llm.common import list_column, pick, slices
 
 LONG_WORD = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 MAX_VOCABULARY_BYTES = 64 << 20
 #: The pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,11 +128,11 @@ class ByteBpe:
         try:
             return b"".join(map(words.__getitem__, pieces))
         except KeyError:
-            new = {p: np.array(self.merge(p.encode()), "<i4").tobytes() for p in set(pieces) - words.keys()}
-            if len(words) + len(new) > CACHE_WORDS:
+            if len(words) > CACHE_WORDS:
                 words.clear()
-                new = {p: np.array(self.merge(p.encode()), "<i4").tobytes() for p in set(pieces)}
-            words.update(new)
+            for piece in set(pieces):
+                if piece not in words:
+                    words[piece] = struct.pack(f"<{len(ids := self.merge(piece.encode()))}i", *ids)
             return b"".join(map(words.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:

@@ -38,7 +38,7 @@ END_ID = 1
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 8192
 DICTIONARY_BYTES = 112 << 10
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class WordTokenizer:
@@ -70,11 +70,9 @@ class WordTokenizer:
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            missing = set(pieces) - known.keys()
-            if len(known) + len(missing) > CACHE_WORDS:
+            if len(known) > CACHE_WORDS:
                 known.clear()
-                missing = set(pieces)
-            known.update(self._encode(sorted(missing)))
+            known.update(self._encode([p for p in set(pieces) if p not in known]))
             return b"".join(map(known.__getitem__, pieces))
 
 
