@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_trees, cross_polytope, decontamination, licenses, sharding, token_files, toxicity
+from churnlake.llm import bpe, chat_trees, class_lm, cross_polytope, decontamination, licenses, sharding, token_files, toxicity
 from churnlake.llm.common import id_remainder, sha256_text, table
 
 #: Folder of public vocabulary files; executors never read it.
@@ -130,5 +130,19 @@ def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return cross_polytope.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
+def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = class_lm.fit_class_model(docs, train=id_remainder(F.col("doc_id")) != 1)
+    return class_lm.score_texts(docs, model).select(
+        "doc_id",
+        (id_remainder(F.col("doc_id")) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op6_class_lm, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_chat_trees": OP9_SQL}
