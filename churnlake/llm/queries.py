@@ -5,13 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_trees, class_lm, cross_polytope, decontamination, licenses, sharding, token_files, toxicity
+from churnlake.llm import bpe, chat_trees, class_lm, cross_polytope, decontamination, licenses, ngram_jaccard, sharding, token_files, toxicity
 from churnlake.llm.common import id_remainder, sha256_text, table
 
 #: Folder of public vocabulary files; executors never read it.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') as w
+  from documents),
+grams as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 3) + 1),
+    lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) as g
+  from words where len(w) > 0),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * shared >= 85 * (x.n + y.n - shared)),
+reach as (
+  select a as node, b as other from links
+  union
+  select r.node, l.b from reach r join links l on l.a = r.other),
+least_reached as (select node, min(other) as other from reach group by node)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, least(d.doc_id, coalesce(r.other, d.doc_id)) as component_id
+from documents d left join sizes s using (doc_id) left join least_reached r on r.node = d.doc_id"""
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -144,5 +174,5 @@ def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op6_class_lm, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
-ORACLES: dict[str, str] = {"op9_chat_trees": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op6_class_lm, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_chat_trees": OP9_SQL}
