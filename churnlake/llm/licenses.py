@@ -95,11 +95,12 @@ def document_counts(docs: DataFrame, vocabulary: Sequence[str], text_col: str =
 
 
 def rare_postings(templates: Sequence[Template], counts: dict[str, int]) -> list[tuple[str, str, int]]:
-    """(word, template, position): the rarest words of each template; of equal ones the first."""
+    """(word, template, position): the rarest words of each template that occur at all; of equal ones the first.
+    A word that no text holds finds nothing, so it is taken last."""
     postings = []
     for template in templates:
         words = template.text.split()
-        rarest = sorted(range(len(words)), key=lambda i: (counts[words[i]], i))[:RARE]
+        rarest = sorted(range(len(words)), key=lambda i: (not counts[words[i]], counts[words[i]], i))[:RARE]
         postings += [(words[i], template.label, i) for i in rarest]
     return postings
 

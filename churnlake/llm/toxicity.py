@@ -9,8 +9,8 @@ a text and costs ``DRIFT`` at later ones, so a repeated line is no long passage.
 A linear scan (after Ruzzo and Tompa) yields all maximal-scoring segments of a text. Their scores are
 calibrated as extreme values: for a text of n tokens from other documents the best score S follows
 P(S > s) = 1 - exp(-K n exp(-lambda s)), with lambda and K fitted to labelled documents that the weights have
-not seen. ``lambda s - ln(K n)`` of the best segment and the sum over all segments above 0 give the score of
-the document by a logistic curve that is fitted to the same documents.
+not seen. The surprise -ln P of the best segment and the sum over all segments give the score of the document
+by a logistic curve that is fitted to the same documents; a text without segments has no surprise.
 
 Fitting reads the whole texts of at most ``FIT_ROWS`` labelled documents of each class, those with the
 smallest hashes of their id; scoring reads all whole texts, in one narrow pass.
@@ -46,11 +46,15 @@ class ToxicityModel:
     log_k: float
     curve: tuple[float, float, float]
 
-    def bits(self, scores: list[float], tokens: int) -> tuple[float, float]:
-        """Calibrated best segment, and the sum over all segments above 0."""
-        base = self.log_k + math.log(max(tokens, 1))
-        known = [self.rate * s - base for s in scores] or [-base]
-        return max(known), sum(b for b in known if b > 0)
+    def chance(self, score: float, tokens: int) -> float:
+        """P(a text of so many tokens from a document that is not toxic holds a segment of this score)."""
+        expected = math.exp(min(self.log_k + math.log(max(tokens, 1)) - self.rate * score, 50.0))
+        return max(-math.expm1(-expected), 1e-300)
+
+    def evidence(self, scores: list[float], tokens: int) -> tuple[float, float]:
+        """Surprise of the best segment, and of all segments together."""
+        known = [-math.log(self.chance(s, tokens)) for s in scores]
+        return max(known, default=0.0), sum(known)
 
     def probability(self, best: float, total: float) -> float:
         a, b, c = self.curve
@@ -215,9 +219,9 @@ def fit_toxicity(
     rate = float(np.clip((math.log(-math.log(0.5)) - math.log(-math.log(0.9))) / max(high - middle, 1e-6), 0.2, 2.0))
     log_k = float(np.median(rate * best - np.log(length)) + math.log(math.log(2)))
     model = ToxicityModel(weights, rate, log_k, (0.0, 0.0, 0.0))
-    bits = np.array([model.bits(r["scores"], r["n"]) for r in held])
-    bits[:, 1] = np.log1p(bits[:, 1])
-    return ToxicityModel(weights, rate, log_k, _fit_curve(bits, np.array([r["toxic"] for r in held], float)))
+    facts = np.array([model.evidence(r["scores"], r["n"]) for r in held])
+    facts[:, 1] = np.log1p(facts[:, 1])
+    return ToxicityModel(weights, rate, log_k, _fit_curve(facts, np.array([r["toxic"] for r in held], float)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,10 +243,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 text = text or b""
                 words = text.translate(WORD_BYTES).split()
                 found = segments_of(words, known)
-                scores.append(model.probability(*model.bits([s for _, _, s in found], len(words))))
+                scores.append(model.probability(*model.evidence([s for _, _, s in found], len(words))))
                 kept = []
                 for first, end, score in found:
-                    chance = -math.expm1(-math.exp(min(50.0, model.log_k + math.log(len(words)) - model.rate * score)))
+                    chance = model.chance(score, len(words))
                     if chance <= 0.05:
                         kept.append((first, end, score, chance))
                 where = character_spans(text, [(a, b) for a, b, _, _ in kept])
