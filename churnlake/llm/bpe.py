@@ -4,7 +4,7 @@ A word's bytes stay in place. ``bounds`` holds where its parts begin, ``ranks``
 part with the next. A step scans ``ranks`` for the first minimum, deletes the boundary between the two
 parts and looks up the two ranks that changed. Words are short, so scanning an array beats a heap; words
 over ``LONG_WORD`` bytes take a heap over linked parts, which merges in the same order. The words of a
-text repeat, so each task keeps the ids of words that it has met; over ``CACHE_WORDS`` it starts anew.
+texts repeat, so each worker keeps the ids of words that it has met; over ``CACHE_WORDS`` it starts anew.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from churnlake.llm.common import list_column, pick, slices
+from churnlake.llm.common import kept, list_column, pick, share, slices
 
 LONG_WORD = 256
 CACHE_WORDS = 400_000
@@ -166,12 +166,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     or empty text has no ids and decodes to the empty text. Repeated rows and null ids stay as they are;
     other columns are ignored. Rows stay in their partition; nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_definition(vocabulary))
+    shared = share(docs.sparkSession.sparkContext, read_definition(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in slices(batches):
-            bpe = bpe or ByteBpe(shared.value)
+            bpe = bpe or kept(shared, ByteBpe)
             coded = [bpe.encode(text or "") for text in batch.column(1).to_pylist()]
             decoded = [bpe.decode(ids) for ids in coded]
             flat = np.concatenate(coded) if coded else np.zeros(0, "<i4")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,19 @@ def sha256_text(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def share(context: SparkContext, data) -> Broadcast:
+    """Broadcast ``data`` for ``kept``."""
+    return context.broadcast({"data": data})
+
+
+def kept(shared: Broadcast, make: Callable):
+    """``make(data)`` of a broadcast of ``share``, built once in a worker process and kept for its later tasks."""
+    value = shared.value
+    if "made" not in value:
+        value["made"] = make(value["data"])
+    return value["made"]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

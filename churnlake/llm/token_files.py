@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.bpe import read_definition
-from churnlake.llm.common import pick, slices
+from churnlake.llm.common import kept, pick, share, slices
 from churnlake.session import new_path, slice_count
 
 MAGIC = b"TOKENZ01"
@@ -38,14 +40,21 @@ END_ID = 1
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 8192
 DICTIONARY_BYTES = 112 << 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: The pattern by which the vocabulary's pieces are cut.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
+#: Scripts whose letters, small letters and normal forms are the same in every Unicode version in use, without
+#: separators other than those of ASCII.
+UNSETTLED = "[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 
 
 class WordTokenizer:
-    """A vocabulary file of the tokenizers library that splits at white space.
+    """A vocabulary file of the tokenizers library for lower-cased words that end in a mark.
 
-    No token of such a vocabulary spans white space, so the library encodes each chunk between white space
-    once, and texts are put together from chunks that the task has met.
+    No token spans white space, so a text is put together from its chunks between white space. A chunk of
+    settled characters is in turn the words, digits and runs of signs that the file's own pattern cuts, and
+    the library encodes each of those once. Chunks with other characters, and texts that hold an
+    added token, go to the library as they are.
     """
 
     def __init__(self, definition: str):
@@ -55,25 +64,56 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         data = json.loads(definition)
-        self.whole = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in data["added_tokens"])
-        self.chunks: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, coded)}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self.whole:
-            return self._encode([text])[text]
-        pieces, known = text.split(" "), self.chunks
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            known.update(self._encode([p for p in set(pieces) if p not in known]))
-            return b"".join(map(known.__getitem__, pieces))
+        self.added = [t["content"] for t in data["added_tokens"]]
+        mark = data["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in data["model"]["vocab"].items() if token.endswith(mark)]] = True
+        self.pattern, self.unsettled = regex.compile(PIECES), re.compile(UNSETTLED)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Encode chunks of settled characters. All new pieces go to the library as one text; the marked
+        tokens tell where each piece ends."""
+        known, signs, new = self.known, {}, set()
+        for chunk in chunks:
+            if chunk not in known:
+                if chunk.isalpha():  # one piece
+                    new.add(chunk)
+                else:
+                    signs[chunk] = parts = self.pattern.findall(chunk)
+                    new.update(p for p in parts if p not in known)
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(new):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw = ids.tobytes()
+            known.update(zip(new, [raw[i:j] for i, j in zip([0, *cuts], cuts)]))
+        for chunk, parts in signs.items():
+            known[chunk] = b"".join([known[p] for p in parts])
+
+    def _learn_other(self, chunks: set[str]) -> None:
+        missing = [chunk for chunk in chunks if chunk not in self.known]
+        coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self.known.update((chunk, np.array(e.ids, "<u4").tobytes()) for chunk, e in zip(missing, coded))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut, settled, other = [], set(), set()
+        for text in texts:
+            if any(content in text for content in self.added):
+                cut.append([text])
+                other.add(text)
+            elif self.unsettled.search(text):
+                cut.append(text.split(" "))
+                other.update(cut[-1])
+            else:
+                cut.append(text.lower().split())
+                settled.update(cut[-1])
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self._learn(settled)
+        self._learn_other(other)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in cut]
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -156,23 +196,24 @@ def write_token_files(
     spark = docs.sparkSession
     context = spark.sparkContext
     folder = folder or new_path(spark, "token-files")
-    definition = context.broadcast(read_definition(vocabulary))
-    words = json.loads(definition.value)
+    definition = read_definition(vocabulary)
+    words = json.loads(definition)
+    definition = share(context, definition)
     largest = max([*words["model"]["vocab"].values(), *(t["id"] for t in words["added_tokens"]), end_id])
     width = 2 if largest < 1 << 16 else 4
     rows = pick(docs, doc_id=id_col, text=text_col)
     rows = rows.select(rows.doc_id.cast("long"), F.coalesce(rows.text.cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
 
-    def serialize(tokenizer: WordTokenizer, text: str) -> tuple[bytes, int]:
-        ids = np.frombuffer(tokenizer.encode(text), "<u4")
-        return np.append(ids, end_id).astype(f"<u{width}").tobytes(), len(ids) + 1
+    def serialize(tokenizer: WordTokenizer, texts: list[str]) -> Iterator[tuple[bytes, int]]:
+        for ids in tokenizer.encode(texts):
+            yield np.append(ids, end_id).astype(f"<u{width}").tobytes(), len(ids) + 1
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
         for batch in slices(batches):
-            tokenizer = tokenizer or WordTokenizer(definition.value)
-            coded = [serialize(tokenizer, t)[0][: SAMPLE_IDS * width] for t in batch.column(0).to_pylist()]
+            tokenizer = tokenizer or kept(definition, WordTokenizer)
+            coded = [ids[: SAMPLE_IDS * width] for ids, _ in serialize(tokenizer, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["ids"])
 
     chosen = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select("text")
@@ -191,13 +232,12 @@ def write_token_files(
         doc_ids, null, offsets, lengths = [], bytearray(), [], []
         for batch in slices(batches):
             if out is None:
-                tokenizer = WordTokenizer(definition.value)
+                tokenizer = kept(definition, WordTokenizer)
                 system, path = open_folder(folder)
                 out = system.open_output_stream(f"{path}/{name}")
                 out.write(MAGIC)
                 compressor = zstandard.ZstdCompressor(dict_data=_dictionary(shared.value))
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, n = serialize(tokenizer, text)
+            for doc_id, (data, n) in zip(batch.column(0).to_pylist(), serialize(tokenizer, batch.column(1).to_pylist())):
                 frame = compressor.compress(data)
                 out.write(frame)
                 doc_ids.append(doc_id or 0)

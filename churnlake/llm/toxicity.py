@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import WORD_BYTES, pick, slices
+from churnlake.llm.common import WORD_BYTES, kept, pick, share, slices
 from churnlake.llm.decontamination import character_spans
 
 FIT_ROWS = 20_000
@@ -195,10 +195,10 @@ def fit_toxicity(
         scored = scored.where(f"odds >= {ODDS_MIN} AND odds >= {Z_MIN} * error")
         top = scored.orderBy(F.desc(F.col("odds") / F.col("error")), "token").limit(MAX_WEIGHTS)
         weights = {bytes(r["token"]): r["odds"] for r in top.select("token", "odds").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = share(docs.sparkSession.sparkContext, weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Weights(shared.value)
+        known = kept(shared, Weights)
         for batch in slices(batches):
             words = [(text or b"").translate(WORD_BYTES).split() for text in batch.column(0).to_pylist()]
             scores = [[s for _, _, s in segments_of(w, known)] for w in words]
@@ -231,12 +231,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     Null and empty texts hold no token and score what such a text deserves; repeated rows and null ids are
     rows like any other; an empty table gives no rows. Other columns, and the id, never enter a score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.rate, model.log_k, model.curve))
+    shared = share(docs.sparkSession.sparkContext, (model.weights, model.rate, model.log_k, model.curve))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ToxicityModel(*shared.value)
-        known = Weights(model.weights)
+        model, known = kept(shared, lambda data: (ToxicityModel(*data), Weights(data[0])))
         for batch in slices(batches):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
@@ -244,13 +243,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 words = text.translate(WORD_BYTES).split()
                 found = segments_of(words, known)
                 scores.append(model.probability(*model.evidence([s for _, _, s in found], len(words))))
-                kept = []
+                passed = []
                 for first, end, score in found:
                     chance = model.chance(score, len(words))
                     if chance <= 0.05:
-                        kept.append((first, end, score, chance))
-                where = character_spans(text, [(a, b) for a, b, _, _ in kept])
-                passages.append([w | {"score": s, "p_value": p} for w, (_, _, s, p) in zip(where, kept)])
+                        passed.append((first, end, score, chance))
+                where = character_spans(text, [(a, b) for a, b, _, _ in passed])
+                passages.append([w | {"score": s, "p_value": p} for w, (_, _, s, p) in zip(where, passed)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "passages"]
             )

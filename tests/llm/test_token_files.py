@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from churnlake.llm.token_files import TokenFile, WordTokenizer, open_folder, read_token_files, write_token_files
@@ -57,7 +59,27 @@ def test_odd_rows(spark, documents, odd_rows, library):
     assert read(spark, documents([]))[0] == []
 
 
-def test_chunks_equal_whole_texts(library):
-    tokenizer = WordTokenizer(read_definition(PATH))
-    for text in ("a\tb\n\nc", "don't  STOP 123,4", "x y ź ́w", "é" * 50 + " ok<|endoftext|>"):
-        assert np.frombuffer(tokenizer.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def tokenizer():
+    return WordTokenizer(read_definition(PATH))
+
+
+def same(tokenizer, library, texts):
+    for text, ids in zip(texts, tokenizer.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_pieces_equal_whole_texts(tokenizer, library):
+    same(tokenizer, library, ["a\tb\n\nc", "don't  STOP 123,4 'S''s", "x y z\u0301 \u0301w", "\u00e9" * 50 + " ok<|endoftext|>", "", " "])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.characters()), max_size=40), max_size=5))
+def test_any_text(tokenizer, library, texts):
+    same(tokenizer, library, texts)
+
+
+def test_settled_characters(tokenizer, library):
+    settled = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not tokenizer.unsettled.search(chr(c))]
+    for start in range(0, len(settled), 400):
+        same(tokenizer, library, [f"a{c}b {c}{c} 1{c}\u00e9" for c in settled[start : start + 400]])
