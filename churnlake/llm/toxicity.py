@@ -209,9 +209,9 @@ def fit_toxicity(
 
     held = rows.where("fold = 0").select("text", "toxic").mapInArrow(measure, "toxic int, n long, scores array<double>")
     held = held.orderBy("toxic", "n", "scores").collect()  # a quarter of 2 * FIT_ROWS rows
-    share = sum(r["toxic"] for r in held) / len(held) if held else 0.0
-    if share in (0.0, 1.0) or not weights:
-        flat = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
+    part = sum(r["toxic"] for r in held) / len(held) if held else 0.0
+    if part in (0.0, 1.0) or not weights:
+        flat = math.log(max(part, 1e-9) / max(1 - part, 1e-9))
         return ToxicityModel({}, 1.0, 0.0, (flat, 0.0, 0.0))
     other = [(max(r["scores"], default=0.0), max(r["n"], 1)) for r in held if not r["toxic"]]
     best, length = np.array(other).T
