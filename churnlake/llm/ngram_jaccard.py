@@ -41,6 +41,8 @@ from churnlake.session import staged
 NGRAM, PERCENT = 4, 85
 FREQUENT, LOCAL = 1 << 17, 4
 BLOCK_HASHES = 2_000_000
+BITMAP_BITS = 1 << 25
+PART_PAIRS = 5_000
 CACHE_WORDS = 400_000
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -104,9 +106,8 @@ def _frequent(rows: DataFrame, size: int) -> list[tuple[int, int]]:
 
 def _entries(rows: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     """Rows of two kinds. Documents (token null): doc, n, copy_of (a document of the same task with an equal
-    set). List entries: token, doc, n, reach, size_class, often."""
+    set). List entries: token, doc, n, reach, often."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
-    ratio = math.log(100 / percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.array(sorted(shared.value), np.int64).reshape(-1, 2)
@@ -141,66 +142,95 @@ def _entries(rows: DataFrame, size: int, percent: int, frequent) -> DataFrame:
                     pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(n)]),
                     pa.concat_arrays([pa.array(copies, pa.int64()), pa.nulls(len(tokens), pa.int64())]),
                     pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(n - places)]),
-                    pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array((np.log(np.maximum(n, 1)) / ratio).astype(np.int32))]),
                     pa.concat_arrays([pa.nulls(none, pa.bool_()), pa.array(often)]),
                 ],
-                ["token", "doc", "n", "copy_of", "reach", "size_class", "often"],
+                ["token", "doc", "n", "copy_of", "reach", "often"],
             )
 
-    return rows.mapInArrow(
-        run, "token long, doc long, n long, copy_of long, reach long, size_class int, often boolean"
-    )
+    return rows.mapInArrow(run, "token long, doc long, n long, copy_of long, reach long, often boolean")
 
 
-def _lists(entries: DataFrame) -> DataFrame:
+def _lists(entries: DataFrame, percent: int) -> DataFrame:
     """Entries of lists with two sets or more, each with the leader of its size class in its list.
 
     Rare tokens meet in one window. Lists of frequent tokens may hold a third of all sets: their counts and
     leaders are reduced before the shuffle, and the entries join them, which Spark splits where it is skewed.
     """
     columns = ["token", "doc", "n", "reach", "size_class", "leader"]
+    size_class = f"cast(floor(ln(n) / {math.log(100 / percent)!r}D) AS int) AS size_class"
+    packed = entries.selectExpr("token", "doc", "n * 4294967296L + reach AS sizes", "often")  # narrow rows to shuffle
+    unpacked = ["token", "doc", "sizes div 4294967296L AS n", "sizes % 4294967296L AS reach"]
     whole, same = Window.partitionBy("token"), Window.partitionBy("token", "size_class")
-    rare = (
-        entries.where("NOT often")
-        .withColumn("leader", F.min("doc").over(same))
-        .withColumn("sets", F.count("*").over(whole))
-        .where("sets > 1")
-    )
-    often = entries.where("often")
+    rare = packed.where("NOT often").select("token", "doc", "sizes").withColumn("sets", F.count("*").over(whole))
+    rare = rare.where("sets > 1").selectExpr(*unpacked).selectExpr("*", size_class).withColumn("leader", F.min("doc").over(same))
+    often = packed.where("often").selectExpr(*unpacked).selectExpr("*", size_class)
     leaders = often.groupBy("token", "size_class").agg(F.min("doc").alias("leader"), F.count("*").alias("k"))
     leaders = leaders.withColumn("sets", F.sum("k").over(whole)).where("sets > 1").drop("k")
     return rare.select(columns).unionByName(often.join(leaders, ["token", "size_class"]).select(columns))
 
 
 class _Verifier:
-    """Overlaps of pairs of documents, from the whole texts of those that take part."""
+    """Overlaps of pairs of documents, from the whole texts of those that take part.
+
+    A pair is looked at where the text of its first document, the hub, is: a part holds the set of one hub, and
+    its partners stream past. Texts travel once for each pair they partner and once for each part of a hub;
+    hubs with many partners are cut into parts of ``PART_PAIRS``. A bitmap of fixed size, by hash of the id, keeps
+    most texts that take part in no pair from being shuffled; what passes it by chance meets the join.
+    """
 
     def __init__(self, rows: DataFrame, size: int, percent: int):
         self.rows, self.size, self.percent = rows, size, percent
 
-    def _sets(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b"))).distinct()
-        size = self.size
+    def _candidates(self, ids: DataFrame) -> DataFrame:
+        spot = f"pmod(xxhash64(doc), {BITMAP_BITS}L)"
+        words = ids.selectExpr(f"{spot} div 64 AS word", f"shiftleft(1L, int({spot} % 64)) AS bit")
+        bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
+        for row in words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).collect():
+            bitmap[row["word"]] = row["bits"]
+        shared = self.rows.sparkSession.sparkContext.broadcast(bitmap)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
-            for batch in slices(batches):
-                sets = [ngram_hashes(t, known, size) for t in batch.column(1).to_pylist()]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
-                held = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), held], ["doc", "grams"])
+            for batch in batches:
+                spots = batch.column(2).to_numpy()
+                met = shared.value[spots // 64] >> (spots % 64) & 1
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["doc", "text"]).filter(pa.array(met == 1))
 
-        return staged(self.rows.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, grams array<long>"), "sets")
+        rows = self.rows.where("doc IS NOT NULL").selectExpr("doc", "text", f"{spot} AS spot")
+        return rows.mapInArrow(run, "doc long, text binary")
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, n_a, n_b, shared, linked for each pair (a, b)."""
+        """a, b, n_a, n_b, shared, linked for each distinct pair (a, b); a is the hub."""
         pairs = staged(pairs, "pairs")
-        sets = self._sets(pairs)
-        a, b = sets.selectExpr("doc AS a", "grams AS grams_a"), sets.selectExpr("doc AS b", "grams AS grams_b")
-        met = pairs.join(a, "a").join(b, "b").selectExpr(
-            "a", "b", "size(grams_a) AS n_a", "size(grams_b) AS n_b", "size(array_intersect(grams_a, grams_b)) AS shared"
-        )
-        return staged(met.withColumn("linked", F.expr(f"100L * shared >= {self.percent}L * (n_a + n_b - shared)")), "overlaps")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts"))
+        hubs = parts.selectExpr("a AS doc", "a", "explode(sequence(0, parts - 1)) AS part", "0 AS kind")
+        partners = pairs.join(parts, "a").selectExpr("b AS doc", "a", "cast(pmod(xxhash64(b), parts) AS int) AS part", "1 AS kind")
+        wanted = staged(hubs.unionByName(partners), "wanted")
+        size, percent = self.size, self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, key, hubs_here = WordHashes(), None, []
+            for batch in slices(batches):
+                out = []
+                for doc, text, a, part, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = ngram_hashes(text, known, size)
+                    if (a, part) != key:
+                        key, hubs_here = (a, part), []
+                    if kind == 0:
+                        hubs_here.append(own)
+                        continue
+                    for hub in hubs_here:
+                        shared = len(np.intersect1d(hub, own, assume_unique=True))
+                        union = len(hub) + len(own) - shared
+                        out.append((a, doc, len(hub), len(own), shared, union > 0 and 100 * shared >= percent * union))
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = [pa.int64()] * 5 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "n_a", "n_b", "shared", "linked"]
+                )
+
+        texts = self._candidates(wanted.select("doc")).join(wanted, "doc").select("doc", "text", "a", "part", "kind")
+        met = texts.repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+        return staged(met.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, linked boolean"), "overlaps")
 
 
 def _cluster_pairs(lists: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -251,19 +281,19 @@ def jaccard_components(
     entries = staged(_entries(rows, ngram, percent, _frequent(rows, ngram)), "entries")
     known = entries.where("token IS NULL")
     copies = known.where("copy_of <> doc").selectExpr("doc AS a", "copy_of AS b")
-    lists = staged(_lists(entries.where("token IS NOT NULL")), "lists")
+    lists = staged(_lists(entries.where("token IS NOT NULL"), percent), "lists")
     verifier = _Verifier(rows, ngram, percent)
 
     # Each set and the leader with which it shares most lists.
     stars = lists.where("leader <> doc").groupBy("doc", "leader").count()
     best = stars.groupBy("doc").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("s"))
-    led = verifier.overlaps(best.selectExpr("doc AS a", "-s.m AS b")).where("linked")
+    led = verifier.overlaps(best.selectExpr("-s.m AS a", "doc AS b")).where("linked")
     links = staged(copies.unionAll(led.select("a", "b")), "links")
     # An id with several texts is a node but no member: its texts differ from the leader in different ways.
-    led = led.groupBy("a").agg(F.min("b").alias("b"), F.min(F.expr("n_a - shared")).alias("added"), F.count("*").alias("k")).where("k = 1")
+    led = led.groupBy("b").agg(F.min("a").alias("a"), F.min(F.expr("n_b - shared")).alias("added"), F.count("*").alias("k")).where("k = 1")
     clusters = staged(
         components(links)
-        .join(led.selectExpr("a AS node", "b AS leader_of", "added"), "node", "left")
+        .join(led.selectExpr("b AS node", "a AS leader_of", "added"), "node", "left")
         .selectExpr("node AS doc", "coalesce(leader_of, node) AS leader_of", "component", "coalesce(added, 0) AS added"),
         "clusters",
     )
