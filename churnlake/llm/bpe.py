@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from churnlake.llm.common import kept, list_column, pick, share, slices
 
 LONG_WORD = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 MAX_VOCABULARY_BYTES = 64 << 20
 #: The pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import WORD_BYTES, pick, slices
+from churnlake.llm.common import WORD_BYTES, kept, pick, share, slices
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -123,60 +123,50 @@ def find_contamination(
     state = rows.select(
         "doc_id",
         "text",
-        F.lit(0).cast("long").alias("n_words"),
         F.expr("CAST(array() AS array<struct<first: bigint, last: bigint>>)").alias("hits"),
         F.expr("CAST(array() AS array<string>)").alias("items"),
     )
-    for block in _blocks(benchmark, item_col, item_text_col):
-        shared = context.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = None
-            for batch in slices(batches):
-                windows = windows or WindowAutomaton(shared.value, window)
-                counts, hits, items = [], [], []
-                known = zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())
-                for text, ranges, owners in known:
-                    words = (text or b"").translate(WORD_BYTES).split()
-                    ranges, owners = [(r["first"], r["last"]) for r in ranges], set(owners)
-                    for first, last, found in windows.matches(words):
-                        owners.update(found)
-                        if ranges and ranges[-1][0] <= first <= ranges[-1][1]:
-                            ranges[-1] = (ranges[-1][0], max(last, ranges[-1][1]))
-                        else:
-                            ranges.append((first, last))
-                    counts.append(len(words))
-                    hits.append([{"first": a, "last": b} for a, b in merged(ranges)])
-                    items.append(sorted(owners))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array(counts, pa.int64()),
-                        pa.array(hits, HITS),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "text", "n_words", "hits", "items"],
-                )
-
-        state = state.mapInArrow(scan, state.schema)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    result = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: bigint, end: bigint>>"
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    block = next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
+        scan = _scanner(share(context, block), window, last=following is None)
+        state = state.mapInArrow(scan, result if following is None else state.schema)
+        block = following
+    return state
+
+
+def _scanner(shared, window: int, last: bool):
+    """A pass over texts with the automaton of one block: adds hit ranges and items; the last one finishes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = None
         for batch in slices(batches):
-            ranges = [[(r["first"], r["last"]) for r in hits] for hits in batch.column(3).to_pylist()]
-            texts = (batch.column(1)[i].as_py() if r else b"" for i, r in enumerate(ranges))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()),
-                    batch.column(4),
-                    pa.array([character_spans(t, r) for t, r in zip(texts, ranges)], SPANS),
-                ],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
-
-    return state.mapInArrow(
-        finish,
-        "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: bigint, end: bigint>>",
-    )
+            windows = windows or kept(shared, lambda items: WindowAutomaton(items, window))
+            texts = batch.column(1).to_pylist()
+            counts, hits, items = [], [], []
+            for text, before, met in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = (text or b"").translate(WORD_BYTES).split()
+                ranges, owners = [(r["first"], r["last"]) for r in before], set(met)
+                for first, end, found in windows.matches(words):
+                    owners.update(found)
+                    if ranges and ranges[-1][0] <= first <= ranges[-1][1]:
+                        ranges[-1] = (ranges[-1][0], max(end, ranges[-1][1]))
+                    else:
+                        ranges.append((first, end))
+                counts.append(len(words))
+                hits.append(merged(ranges))
+                items.append(sorted(owners))
+            names = pa.array(items, pa.list_(pa.string()))
+            if not last:
+                told = pa.array([[{"first": a, "last": b} for a, b in r] for r in hits], HITS)
+                columns, labels = [batch.column(0), batch.column(1), told, names], ["doc_id", "text", "hits", "items"]
+            else:
+                hit = pa.array([sum(b - a for a, b in r) for r in hits], pa.int64())
+                spans = pa.array([character_spans(t, r) for t, r in zip(texts, hits)], SPANS)
+                columns = [batch.column(0), pa.array(counts, pa.int64()), hit, names, spans]
+                labels = ["doc_id", "n_words", "n_hit", "items", "spans"]
+            yield pa.RecordBatch.from_arrays(columns, labels)
+
+    return run

@@ -43,7 +43,7 @@ FREQUENT, LOCAL = 1 << 17, 4
 BLOCK_HASHES = 2_000_000
 BITMAP_BITS = 1 << 25
 PART_PAIRS = 5_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 

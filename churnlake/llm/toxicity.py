@@ -36,7 +36,7 @@ MAX_WEIGHTS = 100_000
 PRIOR, FLOOR = 10_000.0, 0.5
 Z_MIN, ODDS_MIN, DRIFT = 2.5, 1.0, 0.2
 BEGINNINGS = (6, 5, 4)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
