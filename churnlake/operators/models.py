@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import ratio, text_sql
+from churnlake.functions.expressions import quoted, ratio, text_sql
 from churnlake.operators.metrics import outcome_counts, with_rates
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
 from churnlake.operators.split import stratified_folds
@@ -73,15 +73,18 @@ def _raw_expressions(
     spec: CustomerTable, levels: Mapping[str, Sequence[str]], fills: Mapping[str, object], feature_set: str
 ) -> dict[str, str]:
     def number(column: str) -> str:
-        fill = fills.get(column)
-        return f"CAST({column} AS DOUBLE)" if fill is None else f"COALESCE(CAST({column} AS DOUBLE), {float(fill)!r}D)"
+        fill, value = fills.get(column), f"CAST({quoted(column)} AS DOUBLE)"
+        return value if fill is None else f"COALESCE({value}, {float(fill)!r}D)"
 
     made = {c: number(c) for c in spec.numeric}
     for column, values in levels.items():
         fill = fills.get(column)
-        value = column if fill is None else f"COALESCE({column}, {text_sql(str(fill))})"
+        value = quoted(column) if fill is None else f"COALESCE({quoted(column)}, {text_sql(str(fill))})"
         for level in values[1:]:
-            made[dummy_name(column, level)] = f"CASE WHEN {value} = {text_sql(str(level))} THEN 1.0D ELSE 0.0D END"
+            name = dummy_name(column, level)
+            if name in made:
+                raise ValueError(f"two features would have the name {name}")
+            made[name] = f"CASE WHEN {value} = {text_sql(str(level))} THEN 1.0D ELSE 0.0D END"
     if feature_set == "extended":
         balance, salary, products, tenure, active = (
             number(c) for c in (spec.balance, spec.salary, spec.products, spec.tenure, spec.active)
@@ -102,10 +105,15 @@ def fit_preparation(
     feature_set: str = "base",
     scaled: bool = True,
     drop_constant: bool = True,
-    fill_missing: bool = False,
+    fill_missing: bool = True,
+    level_limit: int = 1000,
 ) -> Preparation:
-    """Learn levels, fills and scaling from the training rows only."""
-    levels = levels or fit_levels(train, spec.categorical)
+    """Learn levels, fills and scaling from the training rows only.
+
+    Missing numbers become the median and missing categories the most frequent level of the training rows;
+    without ``fill_missing`` a missing number is an error of the learner. ``level_limit``: see ``fit_levels``.
+    """
+    levels = levels or fit_levels(train, spec.categorical, level_limit)
     fills = fit_imputation(train, spec.numeric, spec.categorical) if fill_missing else {}
     raw = _raw_expressions(spec, levels, fills, feature_set)
     row = train.agg(
@@ -130,12 +138,12 @@ def fit_preparation(
 
 def training_rows(df: DataFrame, spec: CustomerTable) -> DataFrame:
     """Labelled rows in a layout that depends on ids only, so bootstrap samples repeat."""
-    label = F.col(spec.label).cast("double").alias("label")
+    label = F.col(quoted(spec.label)).cast("double").alias("label")
     return (
-        df.where(F.col(spec.label).isNotNull())
-        .select(spec.id, *spec.numeric, *spec.categorical, label)
-        .repartitionByRange(F.col(spec.id))
-        .sortWithinPartitions(spec.id)
+        df.where(F.col(quoted(spec.label)).isNotNull())
+        .select(*[F.col(quoted(c)) for c in (spec.id, *spec.numeric, *spec.categorical)], label)
+        .repartitionByRange(F.col(quoted(spec.id)))
+        .sortWithinPartitions(F.col(quoted(spec.id)))
     )
 
 
@@ -174,10 +182,11 @@ def fit_model(
     feature_set: str = "base",
     scaled: bool = True,
     drop_constant: bool = True,
+    fill_missing: bool = True,
     **settings,
 ) -> Fitted:
     preparation = preparation or fit_preparation(
-        train, spec, feature_set=feature_set, scaled=scaled, drop_constant=drop_constant
+        train, spec, feature_set=feature_set, scaled=scaled, drop_constant=drop_constant, fill_missing=fill_missing
     )
     use_checkpoints(train.sparkSession)
     rows = training_rows(train, spec)

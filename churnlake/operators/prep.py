@@ -6,7 +6,6 @@ aggregation; applying it is a narrow projection inside code generation.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import flag, ratio
+from churnlake.functions.expressions import flag, quoted, ratio
 from churnlake.operators.profile import classes
 from churnlake.operators.selection import SMALL, exact_quantiles
 from churnlake.schema import CustomerTable
@@ -26,25 +25,28 @@ def drop_identifiers(df: DataFrame, spec: CustomerTable, keep_id: bool = True) -
 
 
 def fit_levels(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Ascending levels of each categorical column; the first one is the dropped baseline."""
+    """Ascending levels of each categorical column; the first one is the dropped baseline. A column with
+    more than ``limit`` levels is refused, as each level becomes a column."""
     return {c: classes(df, c, limit) for c in columns}
 
 
 def dummy_name(column: str, level: str) -> str:
-    return f"{column}_{re.sub(r'[^0-9A-Za-z_]', '_', str(level))}"
+    """The level as it is: names that differ only in signs or script stay apart."""
+    return f"{column}_{level}"
 
 
 def dummies(levels: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    return {
-        dummy_name(c, level): flag(F.col(c) == F.lit(level)) for c, values in levels.items() for level in values[1:]
-    }
+    named = [(dummy_name(c, level), c, level) for c, values in levels.items() for level in values[1:]]
+    if len({name for name, _, _ in named}) < len(named):
+        raise ValueError("two levels would give columns of one name")
+    return {name: flag(F.col(quoted(c)) == F.lit(level)) for name, c, level in named}
 
 
 def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
     """0/1 columns after the untouched ones; a null or unseen value gets zeros everywhere."""
     coded = dummies(levels)
     return df.select(
-        *[c for c in df.columns if c not in levels], *[expr.alias(name) for name, expr in coded.items()]
+        *[F.col(quoted(c)) for c in df.columns if c not in levels], *[expr.alias(name) for name, expr in coded.items()]
     )
 
 
@@ -58,17 +60,19 @@ def feature_names(spec: CustomerTable, levels: Mapping[str, Sequence[str]], feat
 
 
 def features_and_label(df: DataFrame, spec: CustomerTable, features: Sequence[str]) -> DataFrame:
-    return df.select(spec.id, *features, F.col(spec.label).cast("int").alias("label"))
+    label = F.col(quoted(spec.label)).cast("int").alias("label")
+    return df.select(*[F.col(quoted(c)) for c in (spec.id, *features)], label)
 
 
 def derived_features(spec: CustomerTable) -> dict[str, Column]:
     """The four engineered features. Without an age column, products take its place."""
-    elder = spec.age or spec.products
+    parts = (spec.balance, spec.salary, spec.products, spec.tenure, spec.active, spec.age or spec.products)
+    balance, salary, products, tenure, active, elder = (F.col(quoted(c)) for c in parts)
     return {
-        "BalanceSalaryRatio": ratio(F.col(spec.balance), F.col(spec.salary) + 1),
-        "ProductDensity": ratio(F.col(spec.products), F.col(spec.tenure) + 1),
-        "EngagementScore": F.col(spec.active) * F.col(spec.products),
-        "AgeTenure": F.col(elder) * F.col(spec.tenure),
+        "BalanceSalaryRatio": ratio(balance, salary + 1),
+        "ProductDensity": ratio(products, tenure + 1),
+        "EngagementScore": active * products,
+        "AgeTenure": elder * tenure,
     }
 
 
@@ -150,5 +154,8 @@ def align(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> D
     present = set(df.columns)
     return df.select(
         *keep,
-        *[(F.coalesce(F.col(f), F.lit(0)) if f in present else F.lit(0)).cast("double").alias(f) for f in features],
+        *[
+            (F.coalesce(F.col(quoted(f)), F.lit(0)) if f in present else F.lit(0)).cast("double").alias(f)
+            for f in features
+        ],
     )

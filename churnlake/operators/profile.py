@@ -54,7 +54,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, small: int = S
         *[
             F.struct(
                 F.count(F.col(c)).alias("n"),
-                F.avg(F.col(c)).alias("mean"),
+                F.avg(F.col(c)).cast("double").alias("mean"),
                 F.stddev_samp(F.col(c).cast("double")).alias("std"),
                 F.min(F.col(c)).cast("double").alias("min"),
                 F.max(F.col(c)).cast("double").alias("max"),
@@ -182,7 +182,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFram
 
 def classes(df: DataFrame, label: str, limit: int = 1000) -> list:
     """The distinct class values, ascending; a column with more than ``limit`` is not a class."""
-    rows = df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(limit + 1).collect()
+    values = df.select(F.col(quoted(label)).alias("v")).where("v IS NOT NULL")
+    rows = values.distinct().orderBy("v").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{label} has more than {limit} distinct values")
     return [r[0] for r in rows]
@@ -205,14 +206,19 @@ def violin_density(df: DataFrame, column: str, label: str, bins: int = 512, grid
     """Gaussian kernel density of a column per class on an even grid.
 
     Rows are reduced to at most ``bins`` counts per class first, so the kernel sum runs over bins,
-    not rows. Bandwidth: Scott's rule, n**(-1/5) times the class deviation.
+    not rows. Bandwidth: Scott's rule, n**(-1/5) times the class deviation. Values are summed from the
+    column's minimum on, so a large mean costs no digits. A column without values gives no rows.
     """
-    low, high = value_range(df, [column])[column]
+    ends = value_range(df, [column])[column]
+    if ends is None:
+        return df.select(F.col(label), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    low, high = ends
     width = (high - low) / bins or 1.0
     value = F.col(column).cast("double")
     known = df.where(value.isNotNull() & F.col(label).isNotNull())
+    above = value - F.lit(low)
     binned = known.groupBy(label, bin_index(value, low, high, bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q")
+        F.count("*").alias("n"), F.sum(above).alias("s"), F.sum(above * above).alias("q")
     )
     shape = binned.groupBy(label).agg(
         F.sum("n").alias("total"),
@@ -224,7 +230,7 @@ def violin_density(df: DataFrame, column: str, label: str, bins: int = 512, grid
     reach = high - low or 1.0
     start, step = low - reach * 0.25, reach * 1.5 / (grid - 1)
     points = F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.lit(start) + i * F.lit(step)))
-    z = (F.col("x") - (F.col("s") / F.col("n"))) / F.col("h")
+    z = (F.col("x") - F.lit(low) - F.col("s") / F.col("n")) / F.col("h")
     kernel = F.exp(z * z * -0.5) / (F.col("h") * math.sqrt(2 * math.pi))
     return (
         binned.join(shape.select(label, "total", bandwidth.alias("h")), label)

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import ratio
+from churnlake.functions.expressions import quoted, ratio
 from churnlake.operators.models import Fitted, Preparation
 from churnlake.schema import CustomerTable
 
@@ -18,12 +18,13 @@ HIGH_RISK = 0.40
 
 
 def align_customers(df: DataFrame, spec: CustomerTable) -> DataFrame:
-    """Give new records the training columns: a missing number counts as 0, a missing category as
-    unseen, and unknown columns are dropped."""
+    """Give new records the training columns: an absent number column counts as 0, an absent category
+    as unseen, and unknown columns are dropped. Missing values in a column that is there stay missing; the
+    fitted preparation fills them as it did in training."""
     present = set(df.columns)
-    numbers = [(F.coalesce(F.col(c), F.lit(0)) if c in present else F.lit(0)).alias(c) for c in spec.numeric]
-    texts = [(F.col(c) if c in present else F.lit(None)).cast("string").alias(c) for c in spec.categorical]
-    return df.select(spec.id, *numbers, *texts)
+    numbers = [(F.col(quoted(c)) if c in present else F.lit(0)).alias(c) for c in spec.numeric]
+    texts = [(F.col(quoted(c)) if c in present else F.lit("")).cast("string").alias(c) for c in spec.categorical]
+    return df.select(F.col(quoted(spec.id)), *numbers, *texts)
 
 
 def batch_scores(fitted: Fitted, df: DataFrame, spec: CustomerTable) -> DataFrame:
@@ -121,16 +122,29 @@ def key_drivers(importances: Mapping[str, DataFrame]) -> DataFrame:
     return table.groupBy("feature").pivot("model", list(importances)).agg(F.first("place"))
 
 
-def segments(
+def segments_with_centres(
     df: DataFrame, spec: CustomerTable, preparation: Preparation, k: int = 4, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """K-means clusters on the prepared features: (rows with their cluster, profile per cluster)."""
+) -> tuple[DataFrame, DataFrame, list[list[float]]]:
+    """K-means clusters on the prepared features: rows with features and cluster, profile per cluster, centres.
+
+    Rows are laid out by id before the fit, so the same table gives the same clusters.
+    """
     means = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
-    fitted = Pipeline(stages=[*preparation.stages(), means]).fit(df)
+    laid_out = df.repartitionByRange(F.col(quoted(spec.id))).sortWithinPartitions(F.col(quoted(spec.id)))
+    fitted = Pipeline(stages=[*preparation.stages(), means]).fit(laid_out)
     clustered = fitted.transform(df)
     profile = clustered.groupBy("cluster").agg(
         F.count("*").alias("n"),
         ratio(F.sum(F.col(spec.label)), F.count(F.col(spec.label))).alias("churn_rate"),
-        *[F.avg(c).alias(f"mean_{c}") for c in spec.numeric],
+        *[F.avg(F.col(quoted(c))).alias(f"mean_{c}") for c in spec.numeric],
     )
+    centres = [c.tolist() for c in fitted.stages[-1].clusterCenters()]
+    return clustered.select(spec.id, "features", "cluster"), profile, centres
+
+
+def segments(
+    df: DataFrame, spec: CustomerTable, preparation: Preparation, k: int = 4, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with their cluster, profile per cluster)."""
+    clustered, profile, _ = segments_with_centres(df, spec, preparation, k, seed)
     return clustered.select(spec.id, "cluster"), profile

@@ -30,14 +30,21 @@ def test_counts(counts: dict, test_share: float) -> dict:
 
 
 def stratified_split(
-    df: DataFrame, label: str, id_col: str, test_share: float = 0.2, seed: int = 42, small: int = SMALL
+    df: DataFrame,
+    label: str,
+    id_col: str,
+    test_share: float = 0.2,
+    seed: int = 42,
+    small: int = SMALL,
+    class_limit: int = 1000,
 ) -> DataFrame:
     """Add ``split`` ('test'/'train') with exact class counts.
 
     Within a class the rows with the smallest (hash key, id) form the test part. Only the cutting
-    row of each class is looked up; every row is then decided by comparing with constants.
+    row of each class is looked up; every row is then decided by comparing with constants. A label with
+    more than ``class_limit`` values is refused.
     """
-    counts = class_counts(df, label)
+    counts = class_counts(df, label, class_limit)
     if not counts:
         return df.withColumn("split", F.lit("train"))
     test = test_counts(counts, test_share)
@@ -52,9 +59,12 @@ def stratified_split(
     return df.withColumn("split", F.when(train | F.col(label).isNull(), "train").otherwise("test"))
 
 
-def stratified_folds(df: DataFrame, label: str, id_col: str, folds: int = 5, small: int = SMALL) -> DataFrame:
-    """Add ``fold``: contiguous chunks of each class in id order."""
-    counts = class_counts(df, label)
+def stratified_folds(
+    df: DataFrame, label: str, id_col: str, folds: int = 5, small: int = SMALL, class_limit: int = 1000
+) -> DataFrame:
+    """Add ``fold``: contiguous chunks of each class in id order. A label with more than ``class_limit``
+    values is refused."""
+    counts = class_counts(df, label, class_limit)
     ids = F.col(id_col)
     series = {str(c): F.when(F.col(label) == F.lit(c), ids) for c in counts}
     starts = {c: sorted({s for j in range(1, folds) if (s := -(-j * n // folds)) < n}) for c, n in counts.items()}

@@ -13,12 +13,12 @@ from churnlake.plans.inputs import (
     linear_score,
     profile,
     rounded,
-    split_profile,
+    whole_split,
     with_scored,
     with_split,
 )
 from churnlake.plans.registry import query
-from churnlake.session import new_path, staged
+from churnlake.session import new_path, written
 from churnlake.sources.tables import table
 from churnlake.streaming import monitor
 
@@ -132,8 +132,9 @@ order by score desc, customer_id limit 100"""
     ),
 )
 def retention_targets(spark, folder):
-    rows = staged(_scored_profile(spark, folder), "scored")
-    wanted = rows.where(F.col("segment").isin("MACHINERY", "HOUSEHOLD"))
+    rows = _scored_profile(spark, folder)
+    customers = table(spark, folder, "customer").where(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD"))
+    wanted = customers.select(F.col("c_custkey").alias(ID))
     reached = table(spark, folder, "events").where(F.col("event_type") == "purchase")
     contacted = reached.where(F.col("user_id").isNotNull()).select(F.col("user_id").alias(ID))
     targets = scoring.retention_targets(rows, ID, SPEC.active, 100, segment=wanted, contacted=contacted)
@@ -143,8 +144,8 @@ def retention_targets(spark, folder):
 @query("f1_stream_scores", with_scored("select customer_id, score from scored"))
 def stream_scores(spark, folder):
     """Customers arriving as files, scored by a stream and read back from its sink."""
-    arriving = staged(profile(spark, folder), "arriving")
-    source = arriving.inputFiles()[0].rsplit("/", 1)[0]
+    arriving = profile(spark, folder)
+    source = written(arriving, "arriving")
     stream = monitor.read_stream(spark, source, arriving.schema, files_per_trigger=4)
     path, progress = new_path(spark, "scores"), new_path(spark, "progress")
     scored = monitor.score_stream(stream, explain.score_column(linear_score()), ID)
@@ -158,12 +159,10 @@ def stream_scores(spark, folder):
 )
 def stream_model_scores(spark, folder):
     """A fitted pipeline gives streamed rows the scores it gives the same rows in a batch."""
-    rows = staged(split_profile(spark, folder), "split")
+    rows = whole_split(spark, folder)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     fitted = fit_model(train, SPEC, "decision_tree")
-    arriving = staged(test, "arriving")
-    source = arriving.inputFiles()[0].rsplit("/", 1)[0]
-    stream = monitor.read_stream(spark, source, arriving.schema)
+    stream = monitor.read_stream(spark, written(test, "arriving"), test.schema)
 
     def rescore(df: DataFrame) -> DataFrame:
         return with_score(fitted.pipeline.transform(df))
@@ -216,10 +215,7 @@ select w.* from w, latest where window_end <= m - interval 1 hour""",
 )
 def stream_windows(spark, folder):
     """Windows a stream over the events has closed: those the watermark has passed."""
-    events = table(spark, folder, "events")
-    source = new_path(spark, "events")
-    events.write.parquet(source)
-    stream = monitor.read_stream(spark, source, events.schema)
+    stream = monitor.read_stream(spark, f"{folder}/events.parquet*", table(spark, folder, "events").schema)
     path, progress = new_path(spark, "windows"), new_path(spark, "progress")
     windows = monitor.indicator_windows(stream)
     monitor.append_to_table(windows, path, progress, once=True).awaitTermination()

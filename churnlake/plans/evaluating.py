@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from churnlake.operators import curves, metrics
 from churnlake.operators.prep import apply_threshold
-from churnlake.plans.inputs import ID, held_profile, rounded, score_rows, scored, with_models, with_scored
+from churnlake.plans.inputs import ID, profile, rounded, score_rows, scored, with_models, with_scored
 from churnlake.plans.registry import query
 from churnlake.session import staged
 
@@ -254,5 +254,5 @@ from sums, base"""
     ),
 )
 def gain_table(spark, folder):
-    rows = staged(score_rows(held_profile(spark, folder), "engagement"), "scored")
+    rows = staged(score_rows(profile(spark, folder), "engagement"), "scored")
     return rounded(curves.gain_table(rows, ID))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnlake.operators import explain
 from churnlake.operators import forest_shap as forest
-from churnlake.operators.models import fit_model
+from churnlake.operators.models import fit_model, with_score
 from churnlake.operators.prep import align
-from churnlake.operators.split import uniform_sample
 from churnlake.plans.inputs import (
     ENGAGEMENT_MARGIN,
     ID,
@@ -17,7 +18,7 @@ from churnlake.plans.inputs import (
     linear_score,
     profile,
     rounded,
-    split_profile,
+    whole_split,
     with_profile,
     with_scored,
     with_split,
@@ -39,7 +40,7 @@ shap as (
 
 
 def _linear(spark, folder):
-    return explain.linear_shap(held_profile(spark, folder), ID, WEIGHTS)
+    return explain.linear_shap(held_profile(spark, folder, ID, *WEIGHTS), ID, WEIGHTS)
 
 
 def _with_shap(body: str) -> str:
@@ -100,7 +101,7 @@ select customer_id, cast(step as int) as step, feature, feature_value, round(sha
 def waterfall(spark, folder):
     from churnlake.functions.expressions import linear_margin
 
-    rows = held_profile(spark, folder)
+    rows = held_profile(spark, folder, ID, *WEIGHTS)
     base, first_id = rows.agg(F.avg(linear_margin(WEIGHTS, INTERCEPT)), F.min(ID)).first()
     shap = explain.linear_shap(rows, ID, WEIGHTS)
     return rounded(explain.waterfall(shap, ID, base, first_id), 6, "shap_value", "before", "after")
@@ -116,10 +117,10 @@ def _grid_sql(column: str) -> str:
 {column}_e as (
   select quantile_cont(cast({column} as double), 0.05e0) lo, quantile_cont(cast({column} as double), 0.95e0) hi from profile),
 {column}_g as (
-  select '{column}' as feature, v from {column}_d where (select count(*) from {column}_d) < 20
+  select '{column}' as feature, v from {column}_d where (select count(*) from {column}_d) < 100
   union all
-  select '{column}', lo + i * ((hi - lo) / 19) from {column}_e, range(20) t(i)
-  where (select count(*) from {column}_d) >= 20)"""
+  select '{column}', lo + i * ((hi - lo) / 99) from {column}_e, range(100) t(i)
+  where (select count(*) from {column}_d) >= 100)"""
 
 
 def _dependence(column: str) -> str:
@@ -143,8 +144,8 @@ _DEPENDENT = ("balance", "num_products", "is_active_member")
     ),
 )
 def partial_dependence(spark, folder):
-    rows = held_profile(spark, folder).select("balance", "num_products", "is_active_member")
-    grids = explain.dependence_grid(rows, _DEPENDENT, points=20)
+    rows = held_profile(spark, folder, *_DEPENDENT)
+    grids = explain.dependence_grid(rows, _DEPENDENT)
     table = explain.partial_dependence(rows, grids, explain.score_column(linear_score()))
     return rounded(rounded(table, 4, "value"), 6, "average_score")
 
@@ -201,7 +202,7 @@ select customer_id, 'balance', balance, round(0.15e0 * (b - eb), 6) + 0e0 from p
 )
 def forest_shap_fixed(spark, folder):
     """Shapley values of a fixed two-tree ensemble: every customer against all customers."""
-    rows = align(held_profile(spark, folder), FIXED_FEATURES, [ID])
+    rows = align(held_profile(spark, folder, ID, *FIXED_FEATURES), FIXED_FEATURES, [ID])
     return rounded(forest.forest_shap(rows, rows, FIXED_LEAVES, ID, FIXED_FEATURES), 6, "shap_value")
 
 
@@ -212,7 +213,7 @@ def forest_shap_fixed(spark, folder):
     ),
 )
 def forest_base_value(spark, folder):
-    rows = align(held_profile(spark, folder), FIXED_FEATURES, [ID])
+    rows = align(held_profile(spark, folder, ID, *FIXED_FEATURES), FIXED_FEATURES, [ID])
     outputs = forest.forest_output(rows, FIXED_LEAVES, ID, FIXED_FEATURES)
     return rounded(outputs.agg(F.avg("output").alias("base_value"), F.count("*").alias("n")))
 
@@ -230,64 +231,120 @@ from parts, (values (0e0), (4000e0), (4500e0), (5000e0), (9000e0)) t(v) group by
     ),
 )
 def forest_dependence_fixed(spark, folder):
-    rows = align(held_profile(spark, folder), FIXED_FEATURES)
+    rows = align(held_profile(spark, folder, *FIXED_FEATURES), FIXED_FEATURES)
     grids = explain.dependence_grid(rows, ["num_products"], points=100)
     grids["balance"] = [0.0, 4000.0, 4500.0, 5000.0, 9000.0]
     return rounded(forest.forest_partial_dependence(rows, FIXED_LEAVES, FIXED_FEATURES, grids))
 
 
 def _fitted_forest(spark, folder):
-    rows = staged(split_profile(spark, folder), "split")
+    rows = whole_split(spark, folder)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
-    fitted = fit_model(train, SPEC, "random_forest", numTrees=10, maxDepth=5)
-    return fitted, train, test
+    return fit_model(train, SPEC, "random_forest"), train, test
 
 
-@query("i1_feature_importance")
+_N_FEATURES = """, f as (
+  select cast(6 + count(distinct geography) - 1 + count(distinct segment) - 1 as bigint) as n from split where split = 'train')
+"""
+
+
+@query(
+    "i1_feature_importance",
+    with_split(_N_FEATURES + "select n as features, cast(0 as bigint) as negative, 1e0 as total from f"),
+)
 def feature_importance(spark, folder):
+    """Importances of all features: none negative, and 1 in total."""
     fitted, _, _ = _fitted_forest(spark, folder)
-    return explain.feature_importance(fitted.learner, fitted.preparation.features)
+    table = explain.feature_importance(fitted.learner, fitted.preparation.features)
+    return table.agg(
+        F.countDistinct("feature").alias("features"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
 
 
-@query("i2_top_features")
+@query(
+    "i2_top_features",
+    with_split(_N_FEATURES + "select least(n, 10) as features, least(n, 10) as outrank_all_others from f"),
+)
 def top_features(spark, folder):
+    """The ten features in the list are at least as important as any that is not in it."""
     fitted, _, _ = _fitted_forest(spark, folder)
-    return explain.top_features(explain.feature_importance(fitted.learner, fitted.preparation.features), 10)
+    table = explain.feature_importance(fitted.learner, fitted.preparation.features)
+    top = explain.top_features(table, 10).select("feature", "importance")
+    others = table.join(top.select("feature"), "feature", "left_anti").agg(F.coalesce(F.max("importance"), F.lit(0.0)).alias("most"))
+    return top.join(F.broadcast(others)).agg(
+        F.countDistinct("feature").alias("features"), F.count_if(F.col("importance") >= F.col("most")).alias("outrank_all_others")
+    )
 
 
-@query("i3_forest_shap")
-def forest_shap(spark, folder):
+def _shap_of_test(spark, folder):
     """Every test customer explained against all training customers."""
     fitted, train, test = _fitted_forest(spark, folder)
     leaves = forest.model_leaves(spark, fitted.learner)
-    explained, background = (forest.feature_rows(fitted, part, ID) for part in (test, train))
-    return forest.forest_shap(explained, background, leaves, ID, fitted.preparation.features)
+    explained, background = (staged(forest.feature_rows(fitted, part, ID), "inputs") for part in (test, train))
+    names = fitted.preparation.features
+    return fitted, test, explained, background, leaves, forest.forest_shap(explained, background, leaves, ID, names)
+
+
+@query(
+    "i3_forest_shap",
+    with_split(
+        _N_FEATURES
+        + """, t as (select count(*) as rows from split where split = 'test')
+select rows * n as n_values, rows as customers, n as features from t, f"""
+    ),
+)
+def forest_shap(spark, folder):
+    """One contribution for each test customer and feature."""
+    *_, shap = _shap_of_test(spark, folder)
+    known = shap.where(F.col("shap_value").isNotNull() & ~F.isnan("shap_value"))
+    return known.groupBy(ID).agg(F.count("*").alias("k"), F.collect_set("feature").alias("s")).agg(
+        F.sum("k").alias("n_values"), F.count("*").alias("customers"), F.max(F.size("s")).cast("bigint").alias("features")
+    )
 
 
 @query(
     "i3_forest_shap_additivity",
-    with_split("select least(count(*), 100) as n, cast(0 as bigint) as broken from split where split = 'test'"),
+    with_split("select count(*) as n, cast(0 as bigint) as broken from split where split = 'test'"),
 )
 def forest_shap_additivity(spark, folder):
-    """A sample of 100 test customers explained against itself: base value plus contributions must
-    give the fitted forest's probability for each of them."""
-    fitted, _, test = _fitted_forest(spark, folder)
-    leaves = forest.model_leaves(spark, fitted.learner)
-    sample = staged(uniform_sample(test, ID, 100, 42), "sample")
-    rows, names = forest.feature_rows(fitted, sample, ID), fitted.preparation.features
-    base = forest.forest_base_value(rows, leaves, names)
-    sums = forest.forest_shap(rows, rows, leaves, ID, names).groupBy(ID).agg(F.sum("shap_value").alias("s"))
+    """Base value plus contributions give the fitted forest's probability for each test customer."""
+    fitted, test, _, background, leaves, shap = _shap_of_test(spark, folder)
+    base = forest.forest_base_value(background, leaves, fitted.preparation.features)
+    sums = shap.groupBy(ID).agg(F.sum("shap_value").alias("s"))
     gap = F.abs(F.col("s") + F.lit(base) - F.col("score"))
-    return sums.join(fitted.score(sample).select(ID, "score"), ID).agg(
+    return sums.join(fitted.score(test).select(ID, "score"), ID).agg(
         F.count("*").alias("n"), F.count_if(gap > 1e-9).alias("broken")
     )
 
 
-@query("i10_model_dependence")
+@query(
+    "i10_model_dependence",
+    with_split(
+        """, d as (
+  select count(distinct balance) a, count(distinct num_products) b, count(distinct est_spend) c from split where split = 'test')
+select cast(least(a, 100) + least(b, 100) + least(c, 100) as bigint) as points,
+  cast(least(a, 100) + least(b, 100) + least(c, 100) as bigint) as same from d"""
+    ),
+)
 def model_dependence(spark, folder):
-    """Partial dependence of a fitted forest on three features, over all test customers."""
+    """Partial dependence of a fitted forest on three features, over all test customers: the counted form
+    equals scoring every row with every value."""
     fitted, _, test = _fitted_forest(spark, folder)
+    features = ["balance", "num_products", "est_spend"]
     leaves = forest.model_leaves(spark, fitted.learner)
     rows = staged(forest.feature_rows(fitted, test, ID), "inputs")
-    grids = explain.dependence_grid(rows, ["balance", "num_products", "est_spend"])
-    return forest.forest_partial_dependence(rows, leaves, fitted.preparation.features, grids)
+    names = fitted.preparation.features
+    grids = explain.dependence_grid(rows, features)
+    counted = forest.forest_partial_dependence(rows, leaves, names, grids)
+    again = VectorAssembler(inputCols=list(names), outputCol="features")
+    brute = explain.partial_dependence(
+        rows.select(*names), grids, lambda df: with_score(fitted.learner.transform(again.transform(df)))
+    )
+    place = F.dense_rank().over(Window.partitionBy("feature").orderBy("value"))  # at most 100 rows each
+    left = counted.select("feature", place.alias("place"), F.col("average_score").alias("x"))
+    right = brute.select("feature", place.alias("place"), F.col("average_score").alias("y"))
+    return left.join(right, ["feature", "place"], "full").agg(
+        F.count("*").alias("points"), F.count_if(F.abs(F.col("x") - F.col("y")) < 1e-9).alias("same")
+    )

@@ -29,9 +29,11 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     return customer_profile(spark, folder)
 
 
-def held_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """The profile written once, for queries that pass over it several times."""
-    return staged(profile(spark, folder), "profile")
+def held_profile(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The profile (all or only these columns) written once, for queries that pass over it several times.
+    Columns that nobody asked for cost no join and no scan."""
+    rows = profile(spark, folder)
+    return staged(rows.select(*columns) if columns else rows, "profile")
 
 
 def score_rows(rows: DataFrame, *models: str) -> DataFrame:
@@ -44,7 +46,12 @@ def scored(spark: SparkSession, folder: str, *models: str) -> DataFrame:
     return score_rows(profile(spark, folder), *models)
 
 
-def split_profile(spark: SparkSession, folder: str) -> DataFrame:
+def split_profile(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Id, label, these columns and the split, which is a comparison with constants."""
+    return stratified_split(held_profile(spark, folder, ID, LABEL, *columns), LABEL, ID)
+
+
+def whole_split(spark: SparkSession, folder: str) -> DataFrame:
     return stratified_split(held_profile(spark, folder), LABEL, ID)
 
 

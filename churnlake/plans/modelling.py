@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.operators import curves, explain, metrics, models, scoring
-from churnlake.plans.inputs import ID, LABEL, SPEC, held_profile, rounded, split_profile, with_split
+from churnlake.functions.expressions import doubles
+from churnlake.operators import explain, models, scoring
+from churnlake.operators import forest_shap as forest
+from churnlake.plans.inputs import (
+    ID,
+    LABEL,
+    PROFILE_CTE,
+    SPEC,
+    held_profile,
+    rounded,
+    split_profile,
+    whole_split,
+    with_profile,
+    with_split,
+)
 from churnlake.plans.registry import query
 from churnlake.session import new_path, staged
 
-# Smaller ensembles than the defaults, so that a query fits in seconds at small scale.
-SETTINGS = {
-    "logistic_regression": {},
-    "decision_tree": {},
-    "random_forest": {"numTrees": 10, "maxDepth": 5},
-    "gradient_boosting": {"maxIter": 5},
-    "boosted_deep": {"maxIter": 3},
-}
-
-
 def _parts(spark, folder) -> tuple[DataFrame, DataFrame]:
-    rows = staged(split_profile(spark, folder), "split")
+    rows = whole_split(spark, folder)
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
 
 
 def _fit(train: DataFrame, kind: str) -> models.Fitted:
-    return models.fit_model(train, SPEC, kind, **SETTINGS[kind])
-
-
-def _quality(scored: DataFrame) -> DataFrame:
-    held = staged(scored, "scored")
-    rates = metrics.with_rates(metrics.outcome_counts(held, ["model"]))
-    return metrics.compare_models(rates, curves.roc_auc(held, ["model"]))
+    return models.fit_model(train, SPEC, kind)
 
 
 _CALIBRATION = (
@@ -63,34 +61,70 @@ def decision_tree(spark, folder):
     return _calibration(spark, folder, "decision_tree")
 
 
-def _held_out_quality(spark, folder, kind: str) -> DataFrame:
-    train, test = _parts(spark, folder)
-    return _quality(models.scored_table({kind: _fit(train, kind)}, test, SPEC))
-
-
-@query("m1_logistic_quality")
+@query(
+    "m1_logistic_quality",
+    with_split(
+        """select cast(6 + count(distinct geography) - 1 + count(distinct segment) - 1 as bigint) as n_features,
+  cast(0 as bigint) as steep from split where split = 'train'"""
+    ),
+)
 def logistic_quality(spark, folder):
-    return _held_out_quality(spark, folder, "logistic_regression")
+    """At the fitted weights the gradient of the penalised loss is nearly 0 in every feature."""
+    train, _ = _parts(spark, folder)
+    fitted = _fit(train, "logistic_regression")
+    weights, names = fitted.learner.coefficients.toArray().tolist(), fitted.preparation.features
+    rows = fitted.score(train).select(
+        (F.col("score") - F.col(LABEL)).alias("gap"), vector_to_array("features").alias("x")
+    )
+    slopes = rows.agg(F.count("*").alias("n"), *[F.sum(F.col("gap") * F.col("x")[i]).alias(f"g{i}") for i in range(len(names))])
+    slope = F.array(*[(F.col(f"g{i}") + F.lit(w)) / F.col("n") for i, w in enumerate(weights)])
+    return slopes.select(
+        F.lit(len(names)).cast("bigint").alias("n_features"),
+        F.size(F.filter(slope, lambda v: F.abs(v) > 1e-4)).cast("bigint").alias("steep"),
+    )
 
 
-@query("m2_tree_quality")
+@query("m2_tree_quality", with_split("select count(*) as n, cast(0 as bigint) as off from split where split = 'train'"))
 def tree_quality(spark, folder):
-    return _held_out_quality(spark, folder, "decision_tree")
+    """The score of a leaf is the churn share of its training rows, whichever rows share that score."""
+    train, _ = _parts(spark, folder)
+    leaves = _fit(train, "decision_tree").score(train).groupBy("score").agg(
+        F.count("*").alias("k"), F.avg(F.col(LABEL)).alias("share")
+    )
+    return leaves.agg(
+        F.sum("k").alias("n"), F.sum(F.when(F.abs(F.col("share") - F.col("score")) > 1e-9, F.col("k")).otherwise(0)).alias("off")
+    )
+
+
+_SAME_SCORES = with_split("select count(*) as n, count(*) as same_score from split where split = 'test'")
+
+
+def _scores_of_leaves(spark, folder, kind: str) -> DataFrame:
+    """Test rows, and those whose score from the pipeline is that of the leaves they fall into."""
+    train, test = _parts(spark, folder)
+    fitted = _fit(train, kind)
+    rows = staged(forest.feature_rows(fitted, test, ID), "inputs")
+    outputs = forest.forest_output(rows, forest.model_leaves(spark, fitted.learner), ID, fitted.preparation.features)
+    output = F.col("output")
+    if kind != "random_forest":  # boosted trees add up to half the log-odds
+        output = F.lit(1.0) / (F.lit(1.0) + F.exp(output * -2))
+    both = fitted.score(test).select(ID, "score").join(outputs, ID, "left")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("score") - output) < 1e-9).alias("same_score"))
 
 
-@query("m3_random_forest")
+@query("m3_random_forest", _SAME_SCORES)
 def random_forest(spark, folder):
-    return _held_out_quality(spark, folder, "random_forest")
+    return _scores_of_leaves(spark, folder, "random_forest")
 
 
-@query("m4_gradient_boosting")
+@query("m4_gradient_boosting", _SAME_SCORES)
 def gradient_boosting(spark, folder):
-    return _held_out_quality(spark, folder, "gradient_boosting")
+    return _scores_of_leaves(spark, folder, "gradient_boosting")
 
 
-@query("m5_boosted_deep")
+@query("m5_boosted_deep", _SAME_SCORES)
 def boosted_deep(spark, folder):
-    return _held_out_quality(spark, folder, "boosted_deep")
+    return _scores_of_leaves(spark, folder, "boosted_deep")
 
 
 @query(
@@ -119,20 +153,48 @@ def probability(spark, folder):
     )
 
 
-@query("m8_cross_validation")
+_FOLDS = """with {profile},
+folds as (
+  select (row_number() over (partition by exited order by customer_id) - 1) * {k}
+    // count(*) over (partition by exited) as fold from profile)"""
+
+
+def _fold_sizes(k: int, body: str) -> str:
+    return _FOLDS.format(profile=PROFILE_CTE, k=k) + body
+
+
+_FIVE = _fold_sizes(5, " select cast(fold as int) as fold, count(*) as n, 1 as whole from folds group by fold")
+
+
+def _folds(table: DataFrame) -> DataFrame:
+    """Fold, its size, and whether its accuracy is a whole number of its rows, in 0 to 1."""
+    right = F.col("accuracy") * F.col("n")
+    whole = (F.abs(right - F.round(right)) < 1e-6) & F.col("accuracy").between(0, 1)
+    return table.select("fold", "n", whole.cast("int").alias("whole"))
+
+
+@query("m8_cross_validation", _FIVE)
 def cross_validation(spark, folder):
-    return rounded(models.cross_validate(held_profile(spark, folder), SPEC))
+    return _folds(models.cross_validate(held_profile(spark, folder), SPEC))
 
 
-@query("m8_cross_validation_unscaled")
+@query("m8_cross_validation_unscaled", _FIVE)
 def cross_validation_unscaled(spark, folder):
-    return rounded(models.cross_validate(held_profile(spark, folder), SPEC, scaled=False, maxIter=5000))
+    return _folds(models.cross_validate(held_profile(spark, folder), SPEC, scaled=False, maxIter=5000))
 
 
-@query("m9_search")
+@query("m9_search", "select cast(4 as bigint) as settings, cast(4 as bigint) as ordered, cast(4 as bigint) as bounded from (select count(*) as n from customer) where n > 0")
 def search(spark, folder):
+    """Four settings, best mean first, no mean below its lowest fold."""
     grid = [{"maxDepth": d, "minInstancesPerNode": m} for d in (2, 4) for m in (1, 20)]
-    return rounded(models.search(held_profile(spark, folder), SPEC, "decision_tree", grid, folds=3))
+    table = models.search(held_profile(spark, folder), SPEC, "decision_tree", grid, folds=3)
+    rows = table.withColumn("place", F.monotonically_increasing_id())
+    falls = F.lead("mean_accuracy").over(Window.orderBy("place")) <= F.col("mean_accuracy")  # four rows
+    return rows.withColumn("falls", F.coalesce(falls, F.lit(True))).agg(
+        F.countDistinct("setting").alias("settings"),
+        F.count_if(F.col("falls")).alias("ordered"),
+        F.count_if((F.col("mean_accuracy") >= F.col("lowest_accuracy")) & (F.col("lowest_accuracy") >= 0)).alias("bounded"),
+    )
 
 
 @query(
@@ -162,7 +224,8 @@ from split, top where split = 'test'"""
     ),
 )
 def majority_baseline(spark, folder):
-    train, test = _parts(spark, folder)
+    rows = split_profile(spark, folder)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     return rounded(models.majority_baseline(train, test, LABEL))
 
 
@@ -202,21 +265,49 @@ def batch_scores(spark, folder):
     )
 
 
-@query("b6_key_drivers")
+@query(
+    "b6_key_drivers",
+    with_split(
+        """, f as (select 6 + count(distinct geography) - 1 + count(distinct segment) - 1 as n from split where split = 'train')
+select model, cast(n as bigint) as features, cast(n * (n + 1) // 2 as bigint) as places, cast(n as bigint) as distinct_places
+from f, (values ('decision_tree'), ('gradient_boosting'), ('random_forest')) m(model)"""
+    ),
+)
 def key_drivers(spark, folder):
+    """Each model ranks all features: its places are 1 to their number."""
     train, _ = _parts(spark, folder)
     importances = {}
     for kind in ("decision_tree", "random_forest", "gradient_boosting"):
         fitted = _fit(train, kind)
         importances[kind] = explain.feature_importance(fitted.learner, fitted.preparation.features)
-    return scoring.key_drivers(importances)
+    places = scoring.key_drivers(importances).unpivot("feature", list(importances), "model", "place")
+    return places.groupBy("model").agg(
+        F.count("feature").alias("features"), F.sum("place").alias("places"), F.countDistinct("place").alias("distinct_places")
+    )
 
 
-@query("f3_segments")
+@query(
+    "f3_segments",
+    with_profile(
+        "select cast(4 as bigint) as clusters, count(*) as n, cast(sum(exited) as bigint) as churned, "
+        "count(*) as at_nearest_centre from profile"
+    ),
+)
 def segments(spark, folder):
+    """Cluster sizes and churners add up, and every customer belongs to the nearest centre."""
     rows = held_profile(spark, folder)
-    _, table = scoring.segments(rows, SPEC, models.fit_preparation(rows, SPEC))
-    return table
+    clustered, table, centres = scoring.segments_with_centres(rows, SPEC, models.fit_preparation(rows, SPEC))
+    far = [F.aggregate(
+        F.zip_with(vector_to_array("features"), doubles(c), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, b: a + b
+    ) for c in centres]
+    nearest = F.least(*far) >= F.element_at(F.array(*far), F.col("cluster") + 1) - 1e-9
+    held = clustered.agg(F.count_if(nearest).alias("at_nearest_centre"))
+    sums = table.agg(
+        F.count("*").alias("clusters"),
+        F.sum("n").alias("n"),
+        F.sum(F.round(F.col("churn_rate") * F.col("n"))).cast("bigint").alias("churned"),
+    )
+    return sums.join(F.broadcast(held))
 
 
 @query(

@@ -30,7 +30,7 @@ NUMBERS = ", ".join(SPEC.numeric)
 
 def _flags(column: str, values) -> str:
     return ", ".join(
-        f"cast(case when {column} = '{v}' then 1 else 0 end as int) as {column}_{v.replace(' ', '_')}" for v in values
+        f"cast(case when {column} = '{v}' then 1 else 0 end as int) as \"{column}_{v}\"" for v in values
     )
 
 
@@ -78,7 +78,7 @@ def _scaled(column: str) -> str:
     ),
 )
 def standardise(spark, folder):
-    rows = split_profile(spark, folder)
+    rows = split_profile(spark, folder, *SPEC.numeric)
     scaling = ops.fit_scaling(rows.where(F.col("split") == "train"), SPEC.numeric)
     return rounded(ops.scale(rows, scaling).select(ID, "split", *SPEC.numeric))
 
@@ -128,7 +128,7 @@ select customer_id, round(coalesce(balance, b), 6) as balance, coalesce(segment,
     ),
 )
 def imputation(spark, folder):
-    rows = split_profile(spark, folder)
+    rows = split_profile(spark, folder, "balance", "segment")
     holes = rows.select(
         ID,
         "split",
@@ -190,7 +190,7 @@ def split_rows(spark, folder):
     ),
 )
 def fold_rows(spark, folder):
-    return stratified_folds(held_profile(spark, folder), LABEL, ID).select(ID, LABEL, "fold")
+    return stratified_folds(held_profile(spark, folder, ID, LABEL), LABEL, ID).select(ID, LABEL, "fold")
 
 
 @query(
@@ -200,7 +200,7 @@ def fold_rows(spark, folder):
     ),
 )
 def sample_rows(spark, folder):
-    rows = split_profile(spark, folder)
+    rows = split_profile(spark, folder, "balance")
     return uniform_sample(rows.where(F.col("split") == "test"), ID, 100, 42).select(ID, LABEL, "balance")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.operators import profile as ops
@@ -26,7 +29,7 @@ from churnlake.sources.files import preview, read_customers, write_customers
 
 TYPES = {f.name: f.dataType.simpleString() for f in PROFILE.fields}
 NUMERIC = ["balance", "tenure", "num_products", "has_urgent", "is_active_member", "est_spend", "year", "exited"]
-BINNED = ["balance", "num_products", "est_spend"]
+BINNED = list(SPEC.numeric)
 
 PROFILE_COLUMNS = ", ".join(TYPES)
 
@@ -55,10 +58,10 @@ _FEATURES_SQL = with_profile(
   select * from (values (0, 0, 'balance'), (0, 1, 'tenure'), (0, 2, 'num_products'), (0, 3, 'has_urgent'),
     (0, 4, 'is_active_member'), (0, 5, 'est_spend'), (0, 6, 'year')) t(part, place, feature)
   union all
-  select 1, rn, 'geography_' || replace(v, ' ', '_') from
+  select 1, rn, 'geography_' || v from
     (select v, cast(row_number() over (order by v) as int) rn from (select distinct geography v from profile)) where rn > 1
   union all
-  select 2, rn, 'segment_' || replace(v, ' ', '_') from
+  select 2, rn, 'segment_' || v from
     (select v, cast(row_number() over (order by v) as int) rn from (select distinct segment v from profile)) where rn > 1)
 select cast(row_number() over (order by part, place) - 1 as int) as position, feature from names"""
 )
@@ -66,7 +69,7 @@ select cast(row_number() over (order by part, place) - 1 as int) as position, fe
 
 @query("s4_feature_schema", _FEATURES_SQL)
 def feature_schema(spark, folder):
-    levels = fit_levels(held_profile(spark, folder), SPEC.categorical)
+    levels = fit_levels(held_profile(spark, folder, *SPEC.categorical), SPEC.categorical)
     path = new_path(spark, "features")
     save_features(spark, feature_names(SPEC, levels), path)
     stored = load_features(spark, path)
@@ -100,7 +103,7 @@ def column_info(spark, folder):
     ),
 )
 def describe(spark, folder):
-    table = ops.describe(held_profile(spark, folder), NUMERIC)
+    table = ops.describe(held_profile(spark, folder, *NUMERIC), NUMERIC)
     return rounded(table, 4, "mean", "std", "p25", "p50", "p75")
 
 
@@ -139,12 +142,16 @@ def null_counts_outer(spark, folder):
 
 @query(
     "a4_column_listing",
-    "select * from (values "
-    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(TYPES))
-    + ') t(position, "column")',
+    with_profile(
+        ', n as (select count(*) as n_rows from profile)\nselect t.*, n_rows from (values '
+        + ", ".join(f"({i}, '{c}')" for i, c in enumerate(TYPES))
+        + ') t(position, "column"), n'
+    ),
 )
 def column_listing(spark, folder):
-    return ops.column_listing(profile(spark, folder))
+    """The columns in order, with the number of rows that they hold."""
+    rows = profile(spark, folder)
+    return ops.column_listing(rows).join(F.broadcast(rows.agg(F.count("*").alias("n_rows"))))
 
 
 @query("a4_projection", with_profile("select customer_id, balance from profile"))
@@ -160,7 +167,7 @@ def projection(spark, folder):
     ),
 )
 def class_distribution(spark, folder):
-    return rounded(ops.class_shares(held_profile(spark, folder), LABEL))
+    return rounded(ops.class_shares(profile(spark, folder), LABEL))
 
 
 @query(
@@ -207,7 +214,7 @@ from rates"""
     ),
 )
 def segment_churn(spark, folder):
-    return rounded(ops.segment_churn(held_profile(spark, folder), LABEL, list(_SEGMENTS)))
+    return rounded(ops.segment_churn(held_profile(spark, folder, LABEL, *_SEGMENTS), LABEL, list(_SEGMENTS)))
 
 
 @query(
@@ -221,7 +228,8 @@ def segment_churn(spark, folder):
         + union_all(*[f"select '{c}' as \"column\", cast({c} as double) v from profile" for c in BINNED])
         + """), cells as (select "column", b as bucket, lo, hi from ends, range(10) r(b)),
 hits as (
-  select "column", cast(least(floor((v - lo) / (hi - lo) * 10), 9) as int) as bucket, count(*) as n
+  select "column", cast(case when hi > lo then least(floor((v - lo) / (hi - lo) * 10), 9) else 0 end as int) as bucket,
+    count(*) as n
   from vals join ends using ("column") group by 1, 2)
 select cells."column", cast(cells.bucket as int) as bucket, round(lo + cells.bucket * ((hi - lo) / 10), 4) as low,
   round(lo + (cells.bucket + 1) * ((hi - lo) / 10), 4) as high, coalesce(n, 0) as n
@@ -229,7 +237,7 @@ from cells left join hits on hits."column" = cells."column" and hits.bucket = ce
     ),
 )
 def histogram(spark, folder):
-    return rounded(ops.histogram(held_profile(spark, folder), BINNED), 4)
+    return rounded(ops.histogram(held_profile(spark, folder, *BINNED), BINNED), 4)
 
 
 @query(
@@ -248,30 +256,38 @@ def histogram(spark, folder):
     ),
 )
 def violin_summary(spark, folder):
-    return rounded(ops.violin_summary(held_profile(spark, folder), BINNED, LABEL), 4)
-
-
-_DENSITY_SQL = with_profile(
-    """, e as (select min(balance) lo, max(balance) hi from profile),
-b as (
-  select exited, cast(least(floor((balance - lo) / (hi - lo) * 512), 511) as int) bin, count(*) n, sum(balance) s,
-    sum(balance * balance) q from profile, e where balance is not null group by 1, 2),
-g as (
-  select exited, cast(sum(n) as double) total,
-    greatest(sqrt(greatest(sum(q) / sum(n) - pow(sum(s) / sum(n), 2), 0)) * pow(cast(sum(n) as double), -0.2e0),
-      any_value((hi - lo) / 512)) hh
-  from b, e group by exited),
-x as (select i, lo - (hi - lo) * 0.25e0 + i * ((hi - lo) * 1.5e0 / 63) x from e, range(64) t(i))
-select exited, round(x, 4) as x,
-  round(sum(n * exp(pow((x - s / n) / hh, 2) * -0.5e0) / (hh * sqrt(2 * pi()))) / any_value(total), 9) as density
-from b join g using (exited), x group by exited, x"""
-)
+    return rounded(ops.violin_summary(held_profile(spark, folder, *BINNED, LABEL), BINNED, LABEL), 4)
+
 
+def _density_sql(c: str) -> str:
+    return f"""{c}_e as (select cast(min({c}) as double) lo, cast(max({c}) as double) hi from profile),
+{c}_b as (
+  select exited, cast(case when hi > lo then least(floor(({c} - lo) / (hi - lo) * 512), 511) else 0 end as int) bin,
+    count(*) n, sum({c} - lo) s from profile, {c}_e where {c} is not null group by 1, 2),
+{c}_g as (
+  select exited, cast(count({c}) as double) total,
+    greatest(sqrt(var_pop(cast({c} as double))) * pow(cast(count({c}) as double), -0.2e0),
+      any_value(case when hi > lo then (hi - lo) / 512 else 1e0 end)) hh
+  from profile, {c}_e group by exited),
+{c}_x as (
+  select lo, lo - w * 0.25e0 + i * (w * 1.5e0 / 63) x
+  from (select lo, case when hi > lo then hi - lo else 1e0 end w from {c}_e), range(64) t(i))"""
 
-@query("a9_violin_density", _DENSITY_SQL)
+
+def _density_rows(c: str) -> str:
+    return f"""select '{c}' as "column", exited, round(x, 4) as x,
+  round(sum(n * exp(pow((x - lo - s / n) / hh, 2) * -0.5e0) / (hh * sqrt(2 * pi()))) / any_value(total), 9) as density
+from {c}_b join {c}_g using (exited), {c}_x group by exited, x"""
+
+
+@query(
+    "a9_violin_density",
+    with_profile(", " + ",\n".join(map(_density_sql, BINNED)) + "\n" + union_all(*map(_density_rows, BINNED))),
+)
 def violin_density(spark, folder):
-    table = ops.violin_density(held_profile(spark, folder), "balance", LABEL)
-    return rounded(rounded(table, 4, "x"), 9, "density")
+    rows = held_profile(spark, folder, *BINNED, LABEL)
+    tables = [ops.violin_density(rows, c, LABEL).select(F.lit(c).alias("column"), LABEL, "x", "density") for c in BINNED]
+    return rounded(rounded(reduce(DataFrame.unionByName, tables), 4, "x"), 9, "density")
 
 
 _PAIRS = [(a, b) for a in NUMERIC for b in NUMERIC]

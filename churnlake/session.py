@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,14 @@ def get_spark(app: str = "churnlake", master: str | None = None, **conf: str) ->
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the folder named by ``spark.checkpoint.dir``. A temporary folder replaces it only
-    for a local master, where driver and executors share one file system.
+    It is the folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary folder replaces it,
+    but only for a local master of one process; executors of their own cannot read it.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="churnlake-")
@@ -47,16 +48,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str = "stage") -> str:
+    """Write ``df`` to a new path in the shared folder; return the path."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Several passes over one derived table then read files: the lineage is cut, a lost executor
     costs no recomputation, and column pruning and filters reach the Parquet scan.
     """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
 
 
 def slice_count(spark: SparkSession) -> int:
@@ -66,7 +71,7 @@ def slice_count(spark: SparkSession) -> int:
 def use_checkpoints(spark: SparkSession) -> None:
     """Let iterative learners cut their lineage: set the checkpoint folder where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{work_folder(spark)}/checkpoints")
+        spark.sparkContext.setCheckpointDir(new_path(spark, "checkpoints"))
 
 
 def drop_staged(spark: SparkSession) -> None:
