@@ -57,6 +57,13 @@ def sample_key(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
+def order_key(df: DataFrame, id_col: str) -> Column:
+    """What orders rows by id: a numeric id itself; any other id by a numeric hash, at every size, as
+    order statistics are found among numbers."""
+    ids = F.col(quoted(id_col))
+    return ids if isinstance(df.select(ids).schema[0].dataType, T.NumericType) else sample_key(ids, 0)
+
+
 def double_sql(value: float) -> str:
     """A double literal in SQL text. Wide expressions are built as text: one call to the JVM each."""
     value = float(value)

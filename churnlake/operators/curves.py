@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import ratio
+from churnlake.functions.expressions import order_key, ratio
 from churnlake.operators.ranking import running_totals
 from churnlake.operators.selection import SMALL, row_cuts
 
@@ -122,7 +122,8 @@ def gain_table(
     tiles: int = 10,
     small: int = SMALL,
 ) -> DataFrame:
-    """Churn share, lift and cumulative gain per score decile (1 = highest scores, ties by id).
+    """Churn share, lift and cumulative gain per score decile (1 = highest scores, ties by id;
+    ids that are no numbers in the order of a hash).
 
     Decile borders are exact order statistics; each row then falls into its decile by comparison,
     and only per-decile sums are shuffled.
@@ -130,7 +131,7 @@ def gain_table(
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     total, churned = known.agg(F.count("*"), F.sum(F.col(label)).cast("bigint")).first()
     churned = churned or 0
-    falling, ids = -F.col(score), F.col(id_col)
+    falling, ids = -F.col(score), order_key(df, id_col)
     size, extra = divmod(total, tiles)
     starts = [j * size + min(j, extra) for j in range(1, tiles)]
     starts = [s for s in starts if s < total]

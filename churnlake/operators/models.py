@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -306,14 +307,41 @@ def search(
     return means.orderBy(F.desc("mean_accuracy"), "setting")
 
 
+def save_models(fitted: Mapping[str, Fitted], path: str) -> None:
+    """One artifact of several models: their pipelines, and a table of kinds, features and expressions."""
+    spark = SparkSession.active()
+    rows = []
+    for name, model in fitted.items():
+        model.pipeline.write().overwrite().save(f"{path}/pipelines/{name}")
+        preparation = model.preparation
+        spec = json.dumps(asdict(preparation.spec))
+        for i, (feature, expression) in enumerate(zip(preparation.features, preparation.expressions)):
+            rows.append((name, model.kind, spec, i, feature, expression))
+    kind = "name string, kind string, spec string, position int, feature string, expression string"
+    spark.createDataFrame(rows, kind).coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load_models(spark: SparkSession, path: str) -> dict[str, Fitted]:
+    """The models of an artifact, as they were fitted: they score, and explain, like the originals."""
+    rows: dict[str, list] = {}
+    for row in spark.read.parquet(f"{path}/features").orderBy("name", "position").collect():
+        rows.setdefault(row["name"], []).append(row)
+    found = {}
+    for name, features in rows.items():
+        spec = json.loads(features[0]["spec"])
+        spec = CustomerTable(**{k: tuple(v) if isinstance(v, list) else v for k, v in spec.items()})
+        names, made = zip(*((r["feature"], r["expression"]) for r in features))
+        pipeline = PipelineModel.load(f"{path}/pipelines/{name}")
+        found[name] = Fitted(features[0]["kind"], Preparation(spec, names, made), pipeline)
+    return found
+
+
 def save_model(fitted: Fitted, path: str) -> None:
-    """Write the pipeline, and beside it the ordered training features."""
-    fitted.pipeline.write().overwrite().save(f"{path}/pipeline")
-    save_features(SparkSession.active(), fitted.preparation.features, f"{path}/features")
+    save_models({"model": fitted}, path)
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
-    return PipelineModel.load(f"{path}/pipeline"), load_features(spark, f"{path}/features")
+def load_model(spark: SparkSession, path: str) -> Fitted:
+    return load_models(spark, path)["model"]
 
 
 def save_features(spark: SparkSession, features: Sequence[str], path: str) -> None:

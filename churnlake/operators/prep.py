@@ -120,11 +120,12 @@ def fit_imputation(
 ) -> dict[str, float | str | None]:
     """Exact median of numeric columns, most frequent value (ties: smallest) of categorical ones."""
     fills: dict[str, float | str | None] = {}
-    medians = exact_quantiles(df, {c: F.col(c) for c in numeric}, (0.5,), small=small) if numeric else {}
+    medians = exact_quantiles(df, {c: F.col(quoted(c)) for c in numeric}, (0.5,), small=small) if numeric else {}
     for c in numeric:
         fills[c] = medians[(c, 0.5)]
     for c in categorical:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+        values = df.select(F.col(quoted(c)).alias("v")).where("v IS NOT NULL")
+        top = values.groupBy("v").count().orderBy(F.desc("count"), "v").first()
         fills[c] = top[0] if top else None
     return fills
 
@@ -132,7 +133,7 @@ def fit_imputation(
 def impute(df: DataFrame, fills: Mapping[str, float | str | None]) -> DataFrame:
     return df.withColumns(
         {
-            c: F.coalesce(F.col(c).cast("double") if isinstance(v, float) else F.col(c), F.lit(v))
+            c: F.coalesce(F.col(quoted(c)).cast("double") if isinstance(v, float) else F.col(quoted(c)), F.lit(v))
             for c, v in fills.items()
             if v is not None
         }

@@ -28,7 +28,7 @@ def align_customers(df: DataFrame, spec: CustomerTable) -> DataFrame:
 
 
 def batch_scores(fitted: Fitted, df: DataFrame, spec: CustomerTable) -> DataFrame:
-    return fitted.score(align_customers(df, spec)).select(spec.id, "score", "prediction")
+    return fitted.score(align_customers(df, spec)).select(F.col(quoted(spec.id)), "score", "prediction")
 
 
 def risk_band(score: Column) -> Column:

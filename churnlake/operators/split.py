@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import sample_key
+from churnlake.functions.expressions import order_key, sample_key
 from churnlake.operators.selection import SMALL, row_cuts
 
 
@@ -51,21 +51,23 @@ def stratified_split(
     key = sample_key(F.col(id_col), seed)
     series = {str(c): F.when(F.col(label) == F.lit(c), key) for c in counts}
     ranks = {str(c): [test[c]] for c in counts if test[c] < counts[c]}
-    cuts = row_cuts(df, series, F.col(id_col), ranks, {str(c): n for c, n in counts.items()}, small)
+    ids = order_key(df, id_col)
+    cuts = row_cuts(df, series, ids, ranks, {str(c): n for c, n in counts.items()}, small)
     train = F.lit(False)
     for c in counts:
         if test[c] < counts[c]:
-            train = train | ((F.col(label) == F.lit(c)) & cuts[(str(c), test[c])].at_or_after(key, F.col(id_col)))
+            train = train | ((F.col(label) == F.lit(c)) & cuts[(str(c), test[c])].at_or_after(key, ids))
     return df.withColumn("split", F.when(train | F.col(label).isNull(), "train").otherwise("test"))
 
 
 def stratified_folds(
     df: DataFrame, label: str, id_col: str, folds: int = 5, small: int = SMALL, class_limit: int = 1000
 ) -> DataFrame:
-    """Add ``fold``: contiguous chunks of each class in id order. A label with more than ``class_limit``
+    """Add ``fold``: contiguous chunks of each class in id order (ids that are no numbers: in the order
+    of a hash). A label with more than ``class_limit``
     values is refused."""
     counts = class_counts(df, label, class_limit)
-    ids = F.col(id_col)
+    ids = order_key(df, id_col)
     series = {str(c): F.when(F.col(label) == F.lit(c), ids) for c in counts}
     starts = {c: sorted({s for j in range(1, folds) if (s := -(-j * n // folds)) < n}) for c, n in counts.items()}
     cuts = row_cuts(

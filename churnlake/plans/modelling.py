@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import doubles
-from churnlake.operators import explain, models, scoring
+from churnlake.operators import explain, models, prep, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.plans.inputs import (
     ID,
@@ -231,21 +231,28 @@ def majority_baseline(spark, folder):
 
 @query(
     "s3_model_round_trip",
-    with_split("select count(*) as n, count(*) as same_score, cast(9 as bigint) + 5 as n_features from split where split = 'test'"),
+    with_split(
+        """, f as (select 6 + count(distinct geography) - 1 + count(distinct segment) - 1 as k from split where split = 'train'),
+n as (select count(*) as n from split where split = 'test')
+select model, n, n as same_score, cast(k as bigint) as n_features from f, n, (values ('logistic_regression'),
+  ('decision_tree'), ('random_forest'), ('gradient_boosting'), ('boosted_deep')) m(model)"""
+    ),
 )
 def model_round_trip(spark, folder):
-    """A saved and reloaded pipeline gives every test row the same score."""
+    """All models saved as one artifact and reloaded give every test row the same score."""
     train, test = _parts(spark, folder)
-    fitted = _fit(train, "random_forest")
-    path = new_path(spark, "model")
-    models.save_model(fitted, path)
-    reloaded, features = models.load_model(spark, path)
-    before = fitted.score(test).select(ID, F.col("score").alias("before"))
-    after = models.with_score(reloaded.transform(test)).select(ID, F.col("score").alias("after"))
-    return before.join(after, ID).agg(
+    preparation = models.fit_preparation(train, SPEC)
+    fitted = {kind: models.fit_model(train, SPEC, kind, preparation) for kind in models.MODEL_KINDS}
+    path = new_path(spark, "models")
+    models.save_models(fitted, path)
+    reloaded = models.load_models(spark, path)
+    before = models.scored_table(fitted, test, SPEC).select(ID, "model", F.col("score").alias("before"))
+    after = models.scored_table(reloaded, test, SPEC).select(ID, "model", F.col("score").alias("after"))
+    sizes = [F.when(F.col("model") == k, len(m.preparation.features)) for k, m in reloaded.items()]
+    return before.join(after, [ID, "model"]).groupBy("model").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("before") == F.col("after")).alias("same_score"),
-        F.lit(len(features)).cast("bigint").alias("n_features"),
+        F.first(F.coalesce(*sizes)).cast("bigint").alias("n_features"),
     )
 
 
@@ -265,6 +272,41 @@ def batch_scores(spark, folder):
     )
 
 
+def _holes(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(
+        {
+            "balance": F.when(F.col("balance") >= 0, F.col("balance")),
+            "segment": F.when(F.col("segment") != "BUILDING", F.col("segment")),
+        }
+    )
+
+
+@query(
+    "b1_missing_values",
+    with_split(
+        """select count(*) as n, count(*) as scored, count(*) as like_filled,
+  cast(sum(case when balance < 0 or segment = 'BUILDING' then 1 else 0 end) as bigint) as with_holes
+from split where split = 'test'"""
+    ),
+)
+def missing_values(spark, folder):
+    """Training and serving with holes: a record with a hole scores like one that holds the training
+    median, or the most frequent training level."""
+    train, test = _parts(spark, folder)
+    train, test = _holes(train), _holes(test)
+    fitted = _fit(train, "logistic_regression")
+    fills = prep.fit_imputation(train, ["balance"], ["segment"])
+    served = scoring.batch_scores(fitted, test, SPEC).select(ID, F.col("score").alias("served"))
+    filled = scoring.batch_scores(fitted, prep.impute(test, fills), SPEC).select(ID, F.col("score").alias("filled"))
+    both = test.select(ID, "balance", "segment").join(served, ID).join(filled, ID)
+    return both.agg(
+        F.count("*").alias("n"),
+        F.count("served").alias("scored"),
+        F.count_if(F.abs(F.col("served") - F.col("filled")) < 1e-12).alias("like_filled"),
+        F.count_if(F.col("balance").isNull() | F.col("segment").isNull()).alias("with_holes"),
+    )
+
+
 @query(
     "b6_key_drivers",
     with_split(

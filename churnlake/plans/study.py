@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,13 @@ def describe_customers(customers: DataFrame, spec: CustomerTable) -> dict[str, D
         "segment_churn": profile.segment_churn(customers, spec.label, spec.categorical),
         "histogram": profile.histogram(customers, spec.numeric),
         "violin_summary": profile.violin_summary(customers, spec.numeric, spec.label),
+        "violin_density": reduce(
+            DataFrame.unionByName,
+            [
+                profile.violin_density(customers, c, spec.label).withColumn("column", F.lit(c))
+                for c in spec.numeric
+            ],
+        ),
         "correlation": profile.correlation(customers, [*spec.numeric, spec.label]),
         "derived_features": add_derived(customers, spec).select(
             spec.id, "BalanceSalaryRatio", "ProductDensity", "EngagementScore", "AgeTenure"
@@ -38,6 +46,12 @@ def describe_customers(customers: DataFrame, spec: CustomerTable) -> dict[str, D
     }
 
 
+def encoded_correlation(rows: DataFrame, spec: CustomerTable, preparation: models.Preparation) -> DataFrame:
+    """Correlation of the model inputs, encoded and scaled, with each other and the label."""
+    made = [F.expr(e).alias(n) for n, e in zip(preparation.features, preparation.expressions)]
+    return profile.correlation(rows.select(*made, spec.label), [*preparation.features, spec.label])
+
+
 def evaluate_models(scored: DataFrame, main: str) -> dict[str, DataFrame]:
     """Comparison of all models, and the threshold study of the main one."""
     rates = metrics.with_rates(metrics.outcome_counts(scored, ["model"]))
@@ -87,10 +101,12 @@ def run_study(
     dependence: Sequence[str] = ("Age", "Balance", "NumOfProducts"),
     settings: Mapping[str, Mapping[str, object]] | None = None,
     model_path: str | None = None,
+    grid: Sequence[Mapping[str, object]] = ({"maxDepth": 3}, {"maxDepth": 5}, {"maxDepth": 8}),
 ) -> dict[str, DataFrame]:
     """Profile, split, fit five models, compare, study thresholds, explain the forest, band the risk.
 
-    ``settings`` overrides learner parameters by model kind. The forest is saved to ``model_path``.
+    ``settings`` overrides learner parameters by model kind. All models are saved to
+    ``model_path`` as one artifact. ``grid`` lists the settings of a tree that are tried by cross-validation.
     """
     customers = staged(customers, "customers")
     rows = staged(stratified_split(customers, spec.label, spec.id), "split")
@@ -101,7 +117,7 @@ def run_study(
         for kind in models.MODEL_KINDS
     }
     if model_path:
-        models.save_model(fitted["random_forest"], model_path)
+        models.save_models(fitted, model_path)
     scored = staged(models.scored_table(fitted, test, spec), "scored")
     main = scored.where(F.col("model") == "random_forest")
     trees = {k: f for k, f in fitted.items() if k != "logistic_regression"}
@@ -110,6 +126,8 @@ def run_study(
         "split_distribution": profile.split_shares(rows, spec.label, "split"),
         "majority_baseline": models.majority_baseline(train, test, spec.label),
         "cross_validation": models.cross_validate(customers, spec),
+        "tuning": models.search(customers, spec, "decision_tree", grid),
+        "encoded_correlation": encoded_correlation(train, spec, preparation),
         "scored": scored,
         **evaluate_models(scored, "random_forest"),
         **explain_forest(fitted["random_forest"], test, spec, dependence),
@@ -119,6 +137,17 @@ def run_study(
         "risk_scores": scoring.risk_scores(main, spec.id),
         "high_risk": scoring.high_risk_list(main, spec.id),
         "gain": curves.gain_table(main, spec.id),
+        "retention_targets": scoring.retention_targets(
+            main.join(test.select(spec.id, spec.active), spec.id), spec.id, spec.active, 100
+        ),
+        "scenarios": scoring.scenario_summary(
+            scoring.scenario_scores(
+                scoring.align_customers(test, spec),
+                {"everyone active": {spec.active: 1}, "one more product": {spec.products: 2}},
+                fitted["random_forest"].score,
+                spec.id,
+            )
+        ),
     }
 
 
