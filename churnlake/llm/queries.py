@@ -54,6 +54,34 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+items as (
+  select coalesce(cast(item_id as varchar), 'null') as item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+windows as (
+  select distinct item, least(len(w), 10) as k, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1),
+    lambda i: array_to_string(list_slice(w, i, i + 9), ' '))) as g
+  from items where len(w) > 0),
+sizes as (select distinct k from windows),
+places as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from words, sizes where len(w) >= k),
+hits as (
+  select doc_id, i, p.k, item from (select doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') as g from places) p
+  join windows using (k, g)),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+met as (
+  select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as ids from hits group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(covered.n, 0) as n_hit, coalesce(met.n, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(covered.n, 0) > 0 as contaminated
+from words left join covered using (doc_id) left join met using (doc_id)"""
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, folder, "documents"), shards=40)
     return placed.select(
@@ -175,4 +203,4 @@ def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op6_class_lm, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op9_chat_trees": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_chat_trees": OP9_SQL}
