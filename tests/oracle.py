@@ -59,6 +59,7 @@ def differences(spark, connection, folder: str, name: str, queries, oracles) ->
         "int": {"INTEGER"},
         "double": {"DOUBLE"},
         "string": {"VARCHAR"},
+        "boolean": {"BOOLEAN"},
         "timestamp_ntz": {"TIMESTAMP"},
     }
     odd = {c: (kinds[c], theirs_kinds[c]) for c in kinds if theirs_kinds[c] not in same.get(kinds[c], set())}
