@@ -6,8 +6,8 @@ query looks into the buckets of the ``PROBES`` axes that are nearest to it, in e
 found there are ranked by their exact distance in double precision.
 
 Vectors and query probes meet by (table, bucket, part). A bucket is cut into parts of about ``PART_ROWS``
-vectors, however large it is (a vector that a third of all rows share makes a hot bucket), and the queries
-of a bucket go to each of its parts. Within a part the queries come first and vectors stream past them in
+vectors, however large it is (a vector that a third of all rows share makes a hot bucket), and its queries
+into blocks of about ``PART_QUERIES``; each block goes to each part. Within such a cell the queries come first and vectors stream past them in
 blocks; each query keeps its best k there, so a part sends k rows for each query, and a query's best k
 over all parts are its answer. A query that meets fewer than k vectors is answered exactly, against all
 rows, in blocks of queries.
@@ -27,7 +27,7 @@ from churnlake.llm.common import pick
 from churnlake.session import slice_count, staged
 
 TABLES, PROBES = 8, 16
-PART_ROWS = 20_000
+PART_ROWS, PART_QUERIES = 20_000, 20_000
 BLOCK_QUERIES = 2_000
 FOUND = "query_id long, vec_id long, distance double"
 
@@ -209,16 +209,21 @@ def nearest_neighbours(
         raise ValueError(f"vectors of {lengths[0]} to {lengths[1]} components")
     asked = rows.where(is_query)
     index = staged(_hashed(rows, tables, 1), "buckets")
-    parts = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # at most tables * 2 * components rows
+    probed = staged(_hashed(asked, tables, probes), "probes")
+    parts = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("rows"))
+    blocks = probed.groupBy("table", "bucket").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("blocks"))
+    grid = F.broadcast(parts.join(blocks, ["table", "bucket"]))  # at most tables * 2 * components rows
     kind = ["table", "bucket", "part", "kind", "vec_id", "vector"]
-    points = index.join(parts, ["table", "bucket"]).select(
-        "table", "bucket", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "vec_id", "vector"
+    points = index.join(grid, ["table", "bucket"]).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind")
     )
-    probed = _hashed(asked, tables, probes).join(parts, ["table", "bucket"])
-    probed = probed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
+    points = points.withColumn("part", F.expr("cast(pmod(xxhash64(vec_id), rows) * blocks + block AS int)"))
+    queries = probed.join(grid, ["table", "bucket"]).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.lit(0).alias("kind")
+    )
+    queries = queries.withColumn("part", F.expr("cast(row * blocks + pmod(xxhash64(vec_id, 1), blocks) AS int)"))
     meeting = (
-        points.unionByName(probed.select(*kind))
+        points.select(*kind).unionByName(queries.select(*kind))
         .repartition(slice_count(spark), "table", "bucket", "part")
         .sortWithinPartitions("table", "bucket", "part", "kind")
         .select(*kind)

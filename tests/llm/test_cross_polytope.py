@@ -69,3 +69,11 @@ def test_rows_that_take_no_part(spark):
     assert sorted((r.query_id, r.vec_id) for r in found) == [(1, 2), (2, 1)]
     assert nearest_neighbours(table(spark, []), F.lit(True)).collect() == []
     assert nearest_neighbours(table(spark, [(1, [1, 2])]), F.col("vec_id") == 1).collect() == []
+
+
+def test_cutting_buckets_changes_nothing(spark, small, monkeypatch):
+    vectors = small("embeddings").where("vec_id < 200")
+    whole = sorted(nearest_neighbours(vectors, F.col("vec_id") % 4 == 0, k=4).collect())
+    monkeypatch.setattr("churnlake.llm.cross_polytope.PART_ROWS", 3)
+    monkeypatch.setattr("churnlake.llm.cross_polytope.PART_QUERIES", 2)
+    assert sorted(nearest_neighbours(vectors, F.col("vec_id") % 4 == 0, k=4).collect()) == whole
