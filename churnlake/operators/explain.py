@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.functions.expressions import doubles, ratio, to_rows
+from churnlake.functions.expressions import doubles, quoted, ratio, to_rows
 from churnlake.operators.selection import SMALL, exact_quantiles
 
 
@@ -111,16 +111,22 @@ def dependence_grid(
     df: DataFrame, columns: Sequence[str], points: int = 100, low: float = 0.05, high: float = 0.95, small: int = SMALL
 ) -> dict[str, list[float]]:
     """The distinct values of a column when there are fewer than ``points``, else an even grid
-    between two exact quantiles."""
+    between two exact quantiles. One pass of sketches tells which columns surely hold more; only the
+    others are reduced to their distinct values."""
     grids: dict[str, list[float]] = {}
-    for c in columns:
-        value = F.col(c).cast("double")
+    if not columns:
+        return grids
+    rough = df.agg(*[F.approx_count_distinct(F.col(quoted(c))).alias(f"d{i}") for i, c in enumerate(columns)]).first()
+    for i, c in enumerate(columns):
+        if rough[i] > 2 * points:
+            continue
+        value = F.col(quoted(c)).cast("double")
         values = df.where(value.isNotNull()).select(value.alias("v")).distinct().limit(points).collect()
         if len(values) < points:
             grids[c] = sorted(r["v"] for r in values)
     wide = [c for c in columns if c not in grids]
     if wide:
-        ends = exact_quantiles(df, {c: F.col(c) for c in wide}, (low, high), small=small)
+        ends = exact_quantiles(df, {c: F.col(quoted(c)) for c in wide}, (low, high), small=small)
         for c in wide:
             start, stop = ends[(c, low)], ends[(c, high)]
             step = (stop - start) / (points - 1)

@@ -111,8 +111,11 @@ def _leaf_sets(leaves: Sequence[Leaf], limit: int) -> Iterator[Sequence[Leaf]]:
 def _leaf_frame(spark: SparkSession, leaves: Sequence[Leaf], width: int) -> DataFrame:
     """One row per leaf; the lower bound is the next double above the cut, so both ends are inclusive.
 
-    An open upper end is NaN, which orders above every number.
+    An open upper end is NaN, which orders above every number. Masks are 64-bit integers with one bit for
+    each feature, so over 62 features are refused.
     """
+    if width > 62:
+        raise ValueError("at most 62 features")
     bounds = ", ".join(f"lo_{i} double not null, hi_{i} double not null" for i in range(width))
     schema = f"leaf int not null, tree int not null, leaf_value double not null, path long not null, {bounds}"
     rows = [

@@ -10,6 +10,7 @@ from churnlake.operators import explain
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.models import fit_model, with_score
 from churnlake.operators.prep import align
+from churnlake.operators.split import uniform_sample
 from churnlake.plans.inputs import (
     ENGAGEMENT_MARGIN,
     ID,
@@ -279,10 +280,11 @@ def top_features(spark, folder):
 
 
 def _shap_of_test(spark, folder):
-    """Every test customer explained against all training customers."""
-    fitted, train, test = _fitted_forest(spark, folder)
+    """Every test customer explained against a uniform sample of 100 as background."""
+    fitted, _, test = _fitted_forest(spark, folder)
     leaves = forest.model_leaves(spark, fitted.learner)
-    explained, background = (staged(forest.feature_rows(fitted, part, ID), "inputs") for part in (test, train))
+    sample = uniform_sample(test, ID, 100, 42)
+    explained, background = (staged(forest.feature_rows(fitted, part, ID), "inputs") for part in (test, sample))
     names = fitted.preparation.features
     return fitted, test, explained, background, leaves, forest.forest_shap(explained, background, leaves, ID, names)
 
