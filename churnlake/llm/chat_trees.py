@@ -40,30 +40,29 @@ def unescaped(value: str) -> str:
 
 
 def _reach(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (conv, node, jump) of ancestors 1, 2, 4, ... replies up, and the last round's table with
-    depth and total score. Messages on or below a cycle of parents never reach a root."""
+    """Tables (conv, node, jump) of ancestors 1, 2, 4, ... replies up, and all messages that reach a root,
+    with depth and total score. A message that has reached its root takes part in later rounds only as
+    others meet it, so a long thread costs rounds for its own messages alone. Messages on or below a cycle
+    of parents never reach a root."""
     ids = messages.select("conv", F.col("msg").alias("node"), "parent", "score")
     known = ids.select(F.col("conv").alias("up_conv"), F.col("node").alias("up"))
     link = ids.join(known, F.expr("conv <=> up_conv AND parent = up"), "left")
     now = staged(link.selectExpr("conv", "node", "up AS jump", "1L AS depth", "score AS total"), "replies")
-    tables, open_rows = [], now.where("jump IS NOT NULL").count()
+    tables, settled = [], now.where("jump IS NULL")
+    below, open_rows = now.where("jump IS NOT NULL"), now.where("jump IS NOT NULL").count()
     while open_rows:
-        tables.append(now.where("jump IS NOT NULL").select("conv", "node", "jump"))
-        a, b = now.alias("a"), now.alias("b")
+        tables.append(below.select("conv", "node", "jump"))
+        met = below.alias("a").join(settled.unionByName(below).alias("b"), F.expr("a.conv <=> b.conv AND a.jump = b.node"))
         now = staged(
-            a.join(b, F.expr("a.conv <=> b.conv AND a.jump = b.node"), "left").selectExpr(
-                "a.conv",
-                "a.node",
-                "b.jump",
-                "a.depth + coalesce(b.depth, 0L) AS depth",
-                "a.total + coalesce(b.total, 0D) AS total",
-            ),
+            met.selectExpr("a.conv", "a.node", "b.jump", "a.depth + b.depth AS depth", "a.total + b.total AS total"),
             "replies",
         )
-        before, open_rows = open_rows, now.where("jump IS NOT NULL").count()
+        settled = settled.unionByName(now.where("jump IS NULL"))
+        below, before = now.where("jump IS NOT NULL"), open_rows
+        open_rows = below.count()
         if open_rows == before:  # only cycles are left
             break
-    return tables, now
+    return tables, settled
 
 
 def choose_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -74,7 +73,7 @@ def choose_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     tables, reach = _reach(messages)
     parents = messages.select(F.col("conv").alias("p_conv"), F.col("parent").alias("p")).where("p IS NOT NULL")
-    leaves = reach.where("jump IS NULL").join(parents, F.expr("conv <=> p_conv AND node = p"), "left_anti")
+    leaves = reach.join(parents, F.expr("conv <=> p_conv AND node = p"), "left_anti")
     best = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     paths = chosen.selectExpr("conv", "node AS leaf", "node", "depth - 1 AS place")
