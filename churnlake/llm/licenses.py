@@ -140,7 +140,10 @@ def scan_licenses(
         "doc_id", words_of(F.col("text").cast("string")).alias("words")
     )
     vocabulary = sorted({word for t in templates for word in t.text.split()})
-    postings = rare_postings(templates, document_counts(docs, vocabulary, text_col))
+    counts = document_counts(docs, vocabulary, text_col)
+    # A template with a mandatory word that no text holds cannot stand anywhere.
+    templates = [t for t in templates if all(counts[word] for phrase in t.phrases for word in phrase.split())]
+    postings = rare_postings(templates, counts)
     meets = F.arrays_overlap("words", _array(sorted({p[0] for p in postings})))
     none = F.expr("CAST(array() AS array<struct<start: bigint, label: string, base: boolean, score: double>>)")
     plain = rows.where(~meets).select(
