@@ -302,18 +302,19 @@ def jaccard_components(
     met = verifier.overlaps(_cluster_pairs(lists, clusters, percent))
     linked = met.where("linked").select("a", "b")
     members = lists.select("doc", "n").distinct().join(clusters, "doc").groupBy("leader_of")
-    spread = members.agg(F.min("n").alias("low"), F.max("added").alias("most"))
-    a, b = spread.selectExpr("leader_of AS a", "low AS low_a", "most AS most_a"), spread.selectExpr("leader_of AS b", "low AS low_b", "most AS most_b")
+    spread = members.agg(F.min("n").alias("low"), F.max("added").alias("most"), F.count("*").alias("k"))
+    a, b = (spread.selectExpr(f"leader_of AS {x}", f"low AS low_{x}", f"most AS most_{x}", f"k AS k_{x}") for x in "ab")
     near = (
         met.where("NOT linked")
         .join(a, "a", "left")
         .join(b, "b", "left")
-        .where("coalesce(most_a, 0) + coalesce(most_b, 0) > 0")
+        .where("coalesce(k_a, 1) > 1 OR coalesce(k_b, 1) > 1")
         .where(
             f"{100 + percent}L * (shared + coalesce(most_a, 0) + coalesce(most_b, 0))"
             f" >= {percent}L * (coalesce(low_a, n_a) + coalesce(low_b, n_b))"
         )
-        .select("a", "b")
+        .groupBy("a", "b")
+        .agg(F.max("shared").alias("shared"))  # leaders with several texts have several rows
     )
     near = staged(near, "near")
     if not near.isEmpty():
@@ -324,7 +325,8 @@ def jaccard_components(
         pairs = (
             near.join(left, F.expr("a = x.cluster"))
             .join(right, F.expr("b = y.cluster AND x.token = y.token"))
-            .where(f"100L * x.n >= {percent}L * y.n AND 100L * y.n >= {percent}L * x.n AND x.added + y.added > 0")
+            .where(f"100L * x.n >= {percent}L * y.n AND 100L * y.n >= {percent}L * x.n AND (x.doc <> a OR y.doc <> b)")
+            .where(f"{100 + percent}L * (shared + x.added + y.added) >= {percent}L * (x.n + y.n)")
             .selectExpr("x.doc AS a", "y.doc AS b")
             .distinct()
         )

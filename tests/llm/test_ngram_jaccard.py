@@ -75,6 +75,16 @@ def test_members_that_link_where_leaders_do_not(spark, documents):
     assert ours(documents(rows).repartition(4)) == brute(rows)
 
 
+def test_members_that_add_nothing_link_where_leaders_do_not(spark, documents):
+    """A copy that only lacks the end of its leader adds no n-gram, yet links with an edit of itself."""
+    rows = []
+    for group in range(8):
+        words = [f"g{group}x{i}" for i in range(113)]
+        short = words[:98]
+        rows += [(10 * group + k, " ".join(w)) for k, w in enumerate((words, short, [*short[:50], "edited", *short[51:]]))]
+    assert ours(documents(rows).repartition(4)) == brute(rows)
+
+
 def test_odd_rows(spark, documents, odd_rows):
     rows = [*odd_rows, (7, "A  b\nC d e"), (0, "a b c d e"), (8, "a B"), (4, "a b"), (9, "x y z"), (9, "a b c d e")]
     assert ours(documents(rows)) == brute(rows)
