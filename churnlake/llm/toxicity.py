@@ -13,7 +13,8 @@ not seen. The surprise -ln P of the best segment and the sum over all segments g
 by a logistic curve that is fitted to the same documents; a text without segments has no surprise.
 
 Fitting reads the whole texts of at most ``FIT_ROWS`` labelled documents of each class, those with the
-smallest hashes of their id; scoring reads all whole texts, in one narrow pass.
+smallest hashes of their id; each counts for as many labelled documents of its class as it stands for, so the
+share of toxic documents is that of all labels at any size. Scoring reads all whole texts, in one narrow pass.
 """
 
 from __future__ import annotations
@@ -126,25 +127,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(rows.doc_id.cast("long").alias("doc_id"), rows.text.cast("binary").alias("text"))
 
 
-def _label_sample(labels: DataFrame, id_col: str, label_col: str, train: Column | None) -> DataFrame:
+def _label_sample(labels: DataFrame, id_col: str, label_col: str, train: Column | None) -> tuple[DataFrame, tuple[float, float]]:
+    """The sampled labels, and for each class how many labelled documents a sampled one stands for."""
     rows = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if train is not None:
         rows = rows.where(train)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).cast("int"))
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id"), "doc_id"
-    return rows.where("toxic = 1").orderBy(*order).limit(FIT_ROWS).union(
+    sample = rows.where("toxic = 1").orderBy(*order).limit(FIT_ROWS).union(
         rows.where("toxic = 0").orderBy(*order).limit(FIT_ROWS)
     )
+    return sample, tuple(max(totals.get(toxic, 0) / FIT_ROWS, 1.0) for toxic in (0, 1))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression of y on two columns, with a slight pull of the slopes to 0."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, stands_for: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression of y on two columns, rows weighted by what they stand for, with a slight pull of the
+    slopes to 0."""
+    share = stands_for / stands_for.mean()
     x = np.column_stack([np.ones(len(x)), x])
     beta, pull = np.zeros(3), np.array([1e-6, 1e-2, 1e-2])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * beta)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (share * (y - p)) - pull * beta)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -165,8 +171,8 @@ def fit_toxicity(
     Rows without id or label do not count; a document with several labels is toxic if one says so. With
     labels of one class only (or none) every text scores the share of that class (0 for none).
     """
-    sample = F.broadcast(_label_sample(labels, label_id_col, label_col, train))  # 2 * FIT_ROWS short rows at most
-    rows = _texts(docs, id_col, text_col).join(sample, "doc_id").select("text", "toxic", "fold")
+    sample, stands_for = _label_sample(labels, label_id_col, label_col, train)
+    rows = _texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("text", "toxic", "fold")  # 2 * FIT_ROWS at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
@@ -189,7 +195,10 @@ def fit_toxicity(
     n_toxic, n_other, n_tokens = total[0] or 0, total[1] or 0, total[2]
     weights: dict[bytes, float] = {}
     if n_toxic and n_other:
-        prior, whole = f"({FLOOR}D + {PRIOR}D * (t + o) / {n_toxic + n_other})", f"{PRIOR + FLOOR * n_tokens}D"
+        of_other, of_toxic = stands_for
+        every = of_toxic * n_toxic + of_other * n_other
+        prior = f"({FLOOR}D + {PRIOR}D * ({of_toxic!r}D * t + {of_other!r}D * o) / {every!r}D)"
+        whole = f"{PRIOR + FLOOR * n_tokens}D"
         odds = f"ln((t + {prior}) / ({n_toxic} + {whole} - t - {prior})) - ln((o + {prior}) / ({n_other} + {whole} - o - {prior}))"
         scored = counted.where("t > 0").selectExpr("token", f"{odds} AS odds", f"sqrt(1 / (t + {prior}) + 1 / (o + {prior})) AS error")
         scored = scored.where(f"odds >= {ODDS_MIN} AND odds >= {Z_MIN} * error")
@@ -209,7 +218,8 @@ def fit_toxicity(
 
     held = rows.where("fold = 0").select("text", "toxic").mapInArrow(measure, "toxic int, n long, scores array<double>")
     held = held.orderBy("toxic", "n", "scores").collect()  # a quarter of 2 * FIT_ROWS rows
-    part = sum(r["toxic"] for r in held) / len(held) if held else 0.0
+    stand = np.array([stands_for[r["toxic"]] for r in held])
+    part = float(stand @ [r["toxic"] for r in held] / stand.sum()) if held else 0.0
     if part in (0.0, 1.0) or not weights:
         flat = math.log(max(part, 1e-9) / max(1 - part, 1e-9))
         return ToxicityModel({}, 1.0, 0.0, (flat, 0.0, 0.0))
@@ -221,7 +231,7 @@ def fit_toxicity(
     model = ToxicityModel(weights, rate, log_k, (0.0, 0.0, 0.0))
     facts = np.array([model.evidence(r["scores"], r["n"]) for r in held])
     facts[:, 1] = np.log1p(facts[:, 1])
-    return ToxicityModel(weights, rate, log_k, _fit_curve(facts, np.array([r["toxic"] for r in held], float)))
+    return ToxicityModel(weights, rate, log_k, _fit_curve(facts, np.array([r["toxic"] for r in held], float), stand))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

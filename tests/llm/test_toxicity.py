@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from churnlake.llm import toxicity
 from churnlake.llm.common import id_remainder
 from churnlake.llm.toxicity import fit_toxicity, maximal_segments, score_toxicity
 
@@ -85,3 +86,22 @@ def test_odd_rows_and_missing_classes(spark, documents, odd_rows):
     for some in ([], [x for x in labels if x[2] == 0]):
         flat = fit_toxicity(documents(rows), spark.createDataFrame(some, kind))
         assert {r.score < 0.5 for r in score_toxicity(documents(odd_rows), flat).collect()} == {True}
+
+
+def test_a_bounded_sample_keeps_the_share_of_toxic_documents(spark, documents, monkeypatch):
+    """A word in half of the toxic and a tenth of the other texts: two of five that hold it are toxic."""
+    pick = random.Random(5)
+    rows, labels = [], []
+    for i in range(3200):
+        toxic = i % 8 == 0
+        words = [f"w{pick.randrange(300)}" for _ in range(20)]
+        if pick.random() < (0.5 if toxic else 0.1):
+            words[10] = "scum"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for limit in (20_000, 300):
+        monkeypatch.setattr(toxicity, "FIT_ROWS", limit)
+        scored = score_toxicity(docs, fit_toxicity(docs, labels))
+        assert abs(scored.agg(F.avg("score")).first()[0] - 0.125) < 0.04
+        assert scored.where("score >= 0.5").count() == 0
