@@ -287,10 +287,13 @@ def jaccard_components(
     # Each set and the leader with which it shares most lists.
     stars = lists.where("leader <> doc").groupBy("doc", "leader").count()
     best = stars.groupBy("doc").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("s"))
-    led = verifier.overlaps(best.selectExpr("-s.m AS a", "doc AS b")).where("linked")
-    links = staged(copies.unionAll(led.select("a", "b")), "links")
-    # An id with several texts is a node but no member: its texts differ from the leader in different ways.
-    led = led.groupBy("b").agg(F.min("a").alias("a"), F.min(F.expr("n_b - shared")).alias("added"), F.count("*").alias("k")).where("k = 1")
+    compared = verifier.overlaps(best.selectExpr("-s.m AS a", "doc AS b"))
+    links = staged(copies.unionAll(compared.where("linked").select("a", "b")), "links")
+    # An id with several texts is a node but no member: its texts differ from the leader in different ways, and
+    # one that does not link with the leader counts as well.
+    led = compared.groupBy("b").agg(
+        F.min("a").alias("a"), F.min(F.expr("n_b - shared")).alias("added"), F.count("*").alias("k"), F.bool_and("linked").alias("linked")
+    ).where("k = 1 AND linked")
     clusters = staged(
         components(links)
         .join(led.selectExpr("b AS node", "a AS leader_of", "added"), "node", "left")

@@ -85,6 +85,16 @@ def test_members_that_add_nothing_link_where_leaders_do_not(spark, documents):
     assert ours(documents(rows).repartition(4)) == brute(rows)
 
 
+def test_an_id_whose_second_text_does_not_link_with_its_leader(spark, documents):
+    """The second text meets a text of another size class, in which no leader connects the two."""
+    rows = []
+    for group in range(0, 80, 10):
+        first, second = ([f"{kind}{group}x{i}" for i in range(113)] for kind in "pq")
+        texts = first, [*first[:50], "edited", *first[51:]], second, second[:97]
+        rows += [(group + k, " ".join(w)) for k, w in zip((0, 1, 1, 5), texts)]
+    assert ours(documents(rows).repartition(4)) == brute(rows)
+
+
 def test_odd_rows(spark, documents, odd_rows):
     rows = [*odd_rows, (7, "A  b\nC d e"), (0, "a b c d e"), (8, "a B"), (4, "a b"), (9, "x y z"), (9, "a b c d e")]
     assert ours(documents(rows)) == brute(rows)
