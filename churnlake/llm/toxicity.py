@@ -3,8 +3,7 @@
 Token scores are log-odds between toxic and other labelled documents with a Dirichlet prior (in how many
 documents a token occurs, so one document that repeats a line counts once). Tokens are words; a word that
 the fit has not met scores as its longest known beginning. Only tokens whose log-odds stand out by
-``Z_MIN`` standard errors score; any other token costs ``DRIFT``. A token scores at its first occurrence in
-a text and costs ``DRIFT`` at later ones, so a repeated line is no long passage.
+``Z_MIN`` standard errors score; any other token costs ``DRIFT``. Every occurrence of a token scores.
 
 A linear scan (after Ruzzo and Tompa) yields all maximal-scoring segments of a text. Their scores are
 calibrated as extreme values: for a text of n tokens from other documents the best score S follows
@@ -113,10 +112,9 @@ def maximal_segments(places: list[int], values: list[float], drift: float = DRIF
 
 
 def segments_of(words: list[bytes], weights: Weights) -> list[tuple[int, int, float]]:
-    places, values, met = [], [], set()
+    places, values = [], []
     for i, value in enumerate(map(weights.__getitem__, words)):
-        if value and words[i] not in met:
-            met.add(words[i])
+        if value:
             places.append(i)
             values.append(value)
     return maximal_segments(places, values)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from churnlake.llm import toxicity
 from churnlake.llm.common import id_remainder
-from churnlake.llm.toxicity import fit_toxicity, maximal_segments, score_toxicity
+from churnlake.llm.toxicity import ToxicityModel, Weights, fit_toxicity, maximal_segments, score_toxicity, segments_of
 
 
 def by_definition(scores):
@@ -105,3 +105,17 @@ def test_a_bounded_sample_keeps_the_share_of_toxic_documents(spark, documents, m
         scored = score_toxicity(docs, fit_toxicity(docs, labels))
         assert abs(scored.agg(F.avg("score")).first()[0] - 0.125) < 0.04
         assert scored.where("score >= 0.5").count() == 0
+
+
+def test_every_occurrence_scores(spark, documents):
+    """A dense passage late in a text whose words stood far apart before, and one word four times."""
+    toxic = ["idiot", "scum", "trash", "moron"]
+    known = {w.encode(): 3.0 for w in toxic}
+    assert segments_of([b"scum"] * 4, Weights(known)) == [(0, 4, 12.0)]
+    quoted = [x for w in toxic for x in (*["calm"] * 60, w)]
+    words = [*quoted, *["calm"] * 60, *toxic, *["calm"] * 60, *toxic]
+    text = " ".join(words)
+    model = ToxicityModel(known, 1.0, -2.0, (-3.0, 1.0, 0.0))
+    row = score_toxicity(documents([(1, text), (2, " ".join(quoted))]), model).orderBy("doc_id").collect()
+    assert [text[p.start : p.end] for p in row[0].passages] == [" ".join(toxic)] * 2
+    assert row[0].score > 0.5 > row[1].score and not row[1].passages
