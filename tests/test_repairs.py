@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from churnlake.operators import curves, explain, models, prep, profile, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.split import stratified_folds, stratified_split
-from churnlake.plans import inputs
+from churnlake.plans import explaining, inputs
 from churnlake.schema import BANK_TABLE, CustomerTable
 from churnlake.session import new_path, work_folder
 
@@ -140,3 +140,12 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         work_folder(Session())
+
+
+def test_forest_explanations_use_all_training_customers(spark):
+    """The background is the whole training part: its mean score is the base value."""
+    fitted, _, _, background, leaves, _ = explaining._shap_of_test(spark, "/root/testdata/sf0.01")
+    _, train, _ = explaining._fitted_forest(spark, "/root/testdata/sf0.01")
+    assert background.count() == train.count() > 100
+    base = forest.forest_base_value(background, leaves, fitted.preparation.features)
+    assert base == pytest.approx(fitted.score(train).agg(F.avg("score")).first()[0])
