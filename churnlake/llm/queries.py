@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_trees, class_lm, cross_polytope, decontamination, licenses, ngram_jaccard, sharding, token_files, toxicity
+from churnlake.llm import (
+    bpe,
+    chat_trees,
+    class_lm,
+    cross_polytope,
+    decontamination,
+    licenses,
+    ngram_jaccard,
+    repeated_windows,
+    sharding,
+    token_files,
+    toxicity,
+)
 from churnlake.llm.common import id_remainder, sha256_text, table
 
 #: Folder of public vocabulary files; executors never read it.
@@ -202,5 +214,30 @@ def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontamination, op3_sharding, op4_bpe, op5_license_scan, op6_class_lm, op7_token_files, op8_nearest_neighbours, op9_chat_trees, op10_toxicity)}
+def op13_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_windows.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.expr("coalesce(aggregate(removed, 0L, (n, s) -> n + s.end - s.start), 0L)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_decontamination,
+        op3_sharding,
+        op4_bpe,
+        op5_license_scan,
+        op6_class_lm,
+        op7_token_files,
+        op8_nearest_neighbours,
+        op9_chat_trees,
+        op10_toxicity,
+        op13_repeated_windows,
+    )
+}
 ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_chat_trees": OP9_SQL}
