@@ -14,8 +14,8 @@ that differ, one strip of each kind goes on, with its bytes.
 
 *Further digits.* Strips of one anchor meet in one task; their windows are sorted by five digits, and singles drop
 after each. An anchor with more than ``GROUP`` strips is first dealt out by further digits: its windows are halved by
-their offset, and the bytes that all windows of a half share make the next digit, down to single windows, whose
-group needs a count only.
+their offset, and the bytes that all windows of a half share make the next digit. Halves that are equal as a whole are
+repeated as a whole, and one of each kind goes on, down to single windows, whose group needs a count only.
 
 Digits are 64-bit hashes of the bytes they stand for.
 """
@@ -38,7 +38,7 @@ WINDOW = 200
 #: Window starts that are looked at together; positions inside take ``SPOT_BITS``.
 CHUNK, SPOT_BITS = 1 << 20, 21
 #: Strips of one anchor that one task sorts, and windows that it sorts at a time.
-GROUP, BLOCK_WINDOWS = 1000, 1_000_000
+GROUP, BLOCK_WINDOWS = 10_000, 1_000_000
 #: Anchors that a task adds up before it passes them on, and marks of texts and strips that it remembers.
 BLOCK_ANCHORS, REMEMBERED = 1_000_000, 500_000
 DIGITS = 5
@@ -261,21 +261,41 @@ def _differing(strips_: DataFrame, window: int) -> DataFrame:
     level = strips_.selectExpr("*", "gram AS core", "0L AS low", f"{window - gram_size(window)}L AS high").drop("gram")
     found = None
     while True:
-        hot = staged(level.groupBy("core", "low").count().where(f"count > {GROUP}"), "hot")
+        hot = staged(level.groupBy("core", "low").count().where(f"count > {GROUP}").drop("count"), "hot")
         more = _sorted_groups(level.join(hot, ["core", "low"], "left_anti"), window)
-        large = level.join(hot, ["core", "low"])
-        whole = large.where("low = high AND asked").selectExpr("key", "size", "first + at - low AS start", f"first + at - low + {window} AS end")
         found = more if found is None else found.unionAll(more)
         if hot.isEmpty():
             return found
-        found = found.unionAll(whole)
-        halves = large.where("low < high").selectExpr(
-            "* EXCEPT (low, high, count)",
-            "inline(array(struct(low AS low, (low + high) div 2 AS high), struct((low + high) div 2 + 1 AS low, high AS high)))",
-        )
-        halves = halves.where(f"greatest(low, at - length(data) + {window}) <= least(high, at)")
-        core = f"xxhash64(core, substring(data, int(at - low + 1), int({window} - high + low))) AS core"
-        level = staged(halves.selectExpr("* EXCEPT (core)", core), "halves")
+        equal, level = _halved(level.join(hot, ["core", "low"], "left_semi"), window)
+        found = found.unionAll(equal)
+
+
+def _halved(strips_: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The strips of hot groups with their windows halved by offset: what parts that are equal as a whole cover
+    (key, size, start, end), and one strip of each kind of part. A part whose windows all have one offset is of one
+    kind with all others of its group."""
+    parts = strips_.selectExpr(
+        "* EXCEPT (low, high)",
+        "inline(CASE WHEN low = high THEN array(struct(low AS low, high AS high)) ELSE"
+        " array(struct(low AS low, (low + high) div 2 AS high), struct((low + high) div 2 + 1 AS low, high AS high)) END)",
+    )
+    parts = parts.where(f"greatest(low, at - length(data) + {window}) <= least(high, at)").selectExpr(
+        "* EXCEPT (core)",
+        f"xxhash64(core, substring(data, int(at - low + 1), int({window} - high + low))) AS core",
+        "least(high, at) AS far",
+        f"greatest(low, at - length(data) + {window}) AS near",
+    )
+    part = f"substring(data, int(at - far + 1), int({window} + far - near))"
+    parts = staged(parts.selectExpr("*", f"xxhash64(far, near, {part}) AS kind"), "parts")
+    kinds = parts.groupBy("core", "low", "kind").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    kinds = staged(kinds, "part-kinds")
+    equal = parts.where("asked").join(kinds.where("n > 1").drop("row"), ["core", "low", "kind"])
+    chosen = kinds.selectExpr("core", "low", "kind", "row", "n = 1 AS alone")
+    going = parts.where("low < high").join(chosen, ["core", "low", "kind", "row"])
+    return (
+        equal.selectExpr("key", "size", "first + at - far AS start", f"first + at - near + {window} AS end"),
+        staged(going.selectExpr("* EXCEPT (asked, alone, far, near, kind)", "asked AND alone AS asked"), "halves"),
+    )
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,7 +332,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     chosen = kinds.where("row IS NOT NULL").join(several.select("gram"), "gram").selectExpr("row", "n = 1 AS asked")
     differ = met.where("data IS NOT NULL").join(chosen, "row").selectExpr(
-        "gram", "asked", "anchor - first AS at", "key", "size", "first", "data"
+        "row", "gram", "asked", "anchor - first AS at", "key", "size", "first", "data"
     )
     spans = (
         equal.selectExpr("key", "size", "first AS start", "end")
