@@ -13,6 +13,7 @@ from churnlake.llm import (
     decontamination,
     licenses,
     ngram_jaccard,
+    periodic_runs,
     repeated_windows,
     sharding,
     token_files,
@@ -214,6 +215,34 @@ def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document, by crc32 of its id, repeats some of its words to the end."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", number.alias("h"), F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')").alias("w"))
+    planted = rows.withColumn("n", F.size("w")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("g % nullif(n, 0)"))
+    planted = planted.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = "array_join(transform(w, (x, i) -> if(i >= a, get(w, int(a + (i - a) % p)), x)), ' ')"
+    return planted.select("doc_id", F.expr(f"CASE WHEN h % 10 = 0 AND n > 0 THEN {repeated} ELSE text END").alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, folder, "documents")))
+    better = "x.length * best.period > best.length * x.period"
+    told = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')"
+    return found.withColumn(
+        "best", F.expr(f"aggregate(slice(runs, 2, size(runs)), get(runs, 0), (best, x) -> if({better}, x, best))")
+    ).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha256_text(F.expr(told)).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, folder, "documents")).select(
         "doc_id",
@@ -237,6 +266,7 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_chat_trees,
         op10_toxicity,
+        op11_periodic_runs,
         op13_repeated_windows,
     )
 }
