@@ -1,10 +1,11 @@
 """Maximal periodic runs of words, by tiles of one scale for each octave of periods.
 
-*Explode.* For the periods from 2^k up to 2^(k+1) a text is cut into overlapping tiles: tile b has a border at word b, a
-multiple of 2^k, and reaches 2^k words back and four times that ahead. A run of four periods or more holds at least
-three neighbouring borders whose next 2^k words come again 2^k to 2^(k+1) words later; hashes of all blocks of 2^k words
-tell which tiles those are, and only they go on. Neighbouring tiles travel as one strip of bounded length, so their
-overlap is stored once.
+*Explode.* Periods under eight words are found by comparing the words with themselves, shifted. For the periods from 2^k
+up to 2^(k+1) a text is cut into overlapping tiles: tile b has a border at word b, a
+multiple of 2^k, and reaches 2^k words back and four times that ahead. A run of four periods q or more holds two to
+five neighbouring borders whose next 2^k words all come again q words later; hashes of all blocks of 2^k words tell
+which tiles those are, and only they go on. Neighbouring tiles travel as one strip of bounded length, so their overlap
+is stored once.
 
 *Solve.* Each tile is solved for itself, whatever task it is in: the Z-function of the words ahead of its border tells for
 every period how far the text repeats to the right, that of the words behind it, read backwards, how far to the left.
@@ -21,57 +22,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.common import pick, slices
+from churnlake.llm.fingerprints import words_of
+from churnlake.llm.repeated_windows import mix
 from churnlake.session import staged
 
 #: The least number of words of a run, and of periods in it.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Words of a strip of tiles, next to those of a single tile.
 STRIP_WORDS = 1 << 16
-CACHE_WORDS = 100_000
+#: Shorter periods need no tiles: whole columns of words are compared with themselves, shifted.
+TILED = 8
+#: What parts words, for each byte value.
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
-class WordCodes(dict):
-    """64-bit codes of words; keeps those it has met."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-def open_tiles(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, borders) of the tiles that may hold a run. The texts lie one behind the other in ``codes``; borders
-    are multiples of 2^k within their text."""
+def short_periods(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(period, first, last): the places i from first up to last where word i equals word i + period, for the runs of
+    periods under ``TILED``. And for each place how far the longest such run reaches that holds it."""
+    found, known = [], set()
+    reach = np.zeros(len(codes), np.int64)
+    owner_end = np.repeat(ends, ends - starts)
+    for q in range(1, min(TILED, len(codes))):
+        same = np.zeros(len(codes) + 2, np.int8)
+        same[1 : len(codes) - q + 1] = (codes[:-q] == codes[q:]) & (np.arange(q, len(codes)) < owner_end[:-q])
+        edges = np.flatnonzero(np.diff(same))
+        first, last = edges[::2], edges[1::2]
+        long = last - first >= max(LEAST_WORDS, LEAST_PERIODS * q) - q
+        for a, b in zip(first[long].tolist(), last[long].tolist()):
+            if (a, b + q) not in known:  # else a shorter period has the same run
+                known.add((a, b + q))
+                found.append((q, a, b))
+                reach[a : b + q] = np.maximum(reach[a : b + q], b + q)
+    return found, reach
+
+
+def open_tiles(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, borders) of the tiles of periods from ``TILED`` on that may hold a run. The texts lie one behind the other in
+    ``codes``; borders are multiples of 2^k within their text. Where the next three blocks of a border lie in a run of
+    a short period (``reach``), no longer period can be the smallest of a run."""
     blocks, k = codes, 0
     while len(ends) and 1 << k <= ((ends - starts) // LEAST_PERIODS).max():
         size = 1 << k
+        if size < TILED:
+            blocks, k = _doubled(blocks, size), k + 1
+            continue
         count = np.maximum(0, (ends - starts) // size)
         border = np.repeat(starts - size * (np.cumsum(count) - count), count) + size * np.arange(count.sum())
         end = np.repeat(ends, count)
         inside = border + 2 * size <= end  # the block comes again after 2^k words or more
+        inside &= reach[np.minimum(border, len(reach) - 1)] < border + 3 * size
         border, end = border[inside], end[inside]
-        met = np.zeros(len(border), bool)
-        for first in range(0, len(border), max(1, (1 << 20) // size)):
-            part = slice(first, first + max(1, (1 << 20) // size))
-            again = border[part, None] + np.arange(size, 2 * size)
-            fits = again + size <= end[part, None]
-            met[part] = ((blocks[np.minimum(again, len(blocks) - 1)] == blocks[border[part]][:, None]) & fits).any(1)
+        periods = np.arange(size, 2 * size)
+        needs = (np.maximum(LEAST_WORDS, LEAST_PERIODS * periods) - periods - size + 1) // size
+        met, rows, most = np.zeros(len(border), bool), max(8, (1 << 20) // size), int(needs.max())
+        for first in range(0, len(border), rows):
+            part = slice(first, first + rows + most - 1)
+            again = border[part, None] + periods
+            same = (blocks[np.minimum(again, len(blocks) - 1)] == blocks[border[part]][:, None]) & (again + size <= end[part, None])
+            chain = same
+            for length in range(1, most + 1):
+                hit = np.flatnonzero(chain[:, needs == length].any(1))
+                for step in range(length):
+                    met[first + hit + step] = True
+                chain = chain[:-1] & same[length:]
         if met.any():
             yield k, border[met]
-        if len(blocks) <= size:
-            return
-        left, right = blocks[:-size], blocks[size:]
-        blocks = (left * np.uint64(0x9E3779B97F4A7C15)) ^ (right + (left >> np.uint64(29)))
-        blocks *= np.uint64(0xBF58476D1CE4E5B9)
-        blocks ^= blocks >> np.uint64(31)
-        k += 1
+        blocks, k = _doubled(blocks, size), k + 1
+
+
+def _doubled(blocks: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of blocks of twice the size."""
+    return mix(blocks[:-size], blocks[size:]) if len(blocks) > size else blocks[:0]
 
 
 def z_function(word: list[int]) -> list[int]:
@@ -112,17 +138,24 @@ def tile_fragments(words: list[int], border: int, k: int) -> Iterator[tuple[int,
 
 def _texts_with_tiles(rows: DataFrame) -> DataFrame:
     """Rows of two kinds. Texts (octave null): row, doc_id, n_words, text, open (whether it has tiles; else text is the
-    final one). Strips of their tiles: row, octave, first (word), borders, words (numbers of a text's words)."""
+    final one). Strips of their tiles: row, octave, first (word), borders, words (numbers of a text's words). Runs of short
+    periods: row, octave -1, first (the period), borders (the first and last place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordCodes()
         for batch in slices(batches):
-            words = [(text or b"").split() for text in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            words = [(text or b"").split() for text in texts]
             counts = np.array([len(w) for w in words], np.int64)
             ends = np.cumsum(counts)
-            codes = np.fromiter((known[w] for own in words for w in own), np.uint64, int(counts.sum()))
+            codes = words_of(np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8), WHITE)[2]
             keys, strips, tiled, numbers = batch.column(0).to_pylist(), [], set(), {}
-            for k, borders in open_tiles(codes, ends - counts, ends):
+            short, reach = short_periods(codes, ends - counts, ends) if len(codes) else ([], codes)
+            for q, a, b in short:
+                i = int(np.searchsorted(ends, a, "right"))
+                origin = int(ends[i] - counts[i])
+                strips.append((keys[i], -1, q, [a - origin, b - origin], []))
+                tiled.add(i)
+            for k, borders in open_tiles(codes, ends - counts, ends, reach) if len(codes) else ():
                 size, owner = 1 << k, np.searchsorted(ends, borders, "right")
                 far = max(STRIP_WORDS, 8 * size)
                 cut = np.ones(len(borders), bool)
@@ -170,6 +203,9 @@ def _fragments(strips: DataFrame) -> DataFrame:
             out = []
             for row, k, first, borders, words in zip(*(c.to_pylist() for c in batch.columns)):
                 last: dict[int, list[int]] = {}
+                if k < 0:
+                    out.append((row, first, *borders))
+                    continue
                 for border in borders:
                     for q, a, b in tile_fragments(words, border - first, k):
                         if q in last and a + first <= last[q][1]:
