@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext, cloudpickle
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces whose texts (binary, in ``column``) have some ``most`` bytes; a longer text is a piece of its own."""
+    for batch in batches:
+        ends = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(ends.searchsorted(before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def list_column(values, lengths, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values and the length of each list."""
     offsets = [0]

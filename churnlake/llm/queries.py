@@ -9,6 +9,7 @@ from churnlake.llm import (
     bpe,
     chat_trees,
     class_lm,
+    collocations,
     cross_polytope,
     decontamination,
     licenses,
@@ -243,6 +244,41 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP12_SQL = r"""
+with docs as (
+  select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from docs),
+words as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+sizes as (select unnest([1, 2, 3]) as k),
+runs as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) as phrase
+  from words, sizes where len(w) >= k),
+f as (select lang, k, phrase, count(*) as f from runs group by all having count(*) >= 10),
+candidates as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+cuts as (
+  select lang, phrase, a, w, c, array_to_string(list_slice(w, 1, c), ' ') as lp, array_to_string(list_slice(w, c + 1, k), ' ') as rp
+  from (select *, unnest(range(1, k)) as c from candidates)),
+scored as (
+  select cuts.*, x.f as l, y.f as r, cast((1000000::hugeint * a * a) // (x.f::hugeint * y.f) as bigint) as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = lp join f y on y.lang = cuts.lang and y.phrase = rp),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) as phrase
+    from candidates where k = 3) group by all)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase join totals t on t.lang = b.lang
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000"""
+
+
 def op13_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_windows.remove_repeats(table(spark, folder, "documents")).select(
         "doc_id",
@@ -267,7 +303,8 @@ QUERIES = {
         op9_chat_trees,
         op10_toxicity,
         op11_periodic_runs,
+        op12_collocations,
         op13_repeated_windows,
     )
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_chat_trees": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_chat_trees": OP9_SQL, "op12_collocations": OP12_SQL}
