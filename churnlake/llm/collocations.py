@@ -30,6 +30,8 @@ from churnlake.session import staged
 
 #: Runs of words that a task adds up before it passes them on.
 BLOCK_RUNS = 4_000_000
+#: Parts of a language's phrases that are ranked by themselves before the best of all parts are.
+SHARES = 64
 #: For each byte value: the lower-cased byte; whether it parts words; whether it also ends a piece.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BREAKS = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
@@ -243,7 +245,11 @@ def collocations(
     inner = inner.selectExpr("lang", "a", "w", "k", "explode(sequence(1, size(w) - k + 1)) AS i")
     inner = inner.selectExpr("lang", "array_join(slice(w, i, k), ' ') AS phrase", "a AS longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     stays = best.join(inner, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {inside_percent} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = stays.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = (F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+    stays = stays.withColumn("share", F.expr(f"pmod(xxhash64(phrase), {SHARES})"))  # no language meets whole in one task
+    first = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
+    ranked = stays.withColumn("rank", first).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    ranked = ranked.where(F.col("rank") <= top)
     listed = ranked.selectExpr("lang", "rank", "phrase", "a", "cut.l", "cut.r", "cut.score")
     return listed.join(word_totals(rows), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
