@@ -1,34 +1,46 @@
-"""Interventional Shapley values and partial dependence of tree ensembles, as joins and aggregations.
+"""Interventional Shapley values and partial dependence of tree ensembles, from counts of path masks.
 
-Every leaf is a box over the features on its path. For a row and a leaf, a bit mask says which of
-these features lie inside the box. The contribution of a leaf depends on the row only through its
-mask, and on the background only through how often each mask occurs, so
+Every leaf is a box: a list of conditions, one for each feature on its path. For a row and a leaf, a bit mask tells
+which of these conditions hold, bit i being the i-th condition of the leaf's own path, so a mask is as wide as
+a path and not as the table. The contribution of a leaf depends on the row only through its mask, and on the
+background only through how often each mask occurs, so
 
-1. background rows collapse to (leaf, mask, share) with map-side partial counts;
-2. the distinct (leaf, mask) pairs of the explained rows get their contributions once;
-3. rows look these up by (leaf, mask) and sum them, already reduced to one row per id before the
-   shuffle.
+1. the background is reduced to (leaf, mask, count);
+2. the (leaf, mask) pairs of the explained rows get their contributions once, from a join of these two counts;
+3. rows look them up by leaf and mask and sum them, reduced to one row for each id and part of the model.
 
-What is broadcast has the size of the model, not of the data. Leaves come in sets of at most
-``LEAF_LIMIT``; results of several sets add up. The contributions are broadcast while they are
-known to be at most ``PAIR_LIMIT`` rows, else they meet the rows in a shuffle join.
+Rows meet leaves in blocks: a part of the model (at most some ``LEAF_LIMIT`` leaves) and a block of rows lie in one task,
+where rows first collapse to distinct tuples of split outcomes of a tree. The product of rows and leaves is
+never a table. Leaves are a table as well, made by joins over the saved nodes; nothing of the model and nothing of the
+rows passes through the driver or a broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import doubles, quoted, to_rows
 from churnlake.operators.models import Fitted
-from churnlake.session import new_path
+from churnlake.session import new_path, staged
 
-LEAF_LIMIT = 50_000
-PAIR_LIMIT = 200_000
+# Functions of this module travel to the executors with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Leaves of a part of the model, and rows of a block.
+LEAF_LIMIT, BLOCK_ROWS = 2_000, 50_000
+#: Paths of up to so many conditions are counted in arrays with a place for every mask.
+DENSE_PATH = 16
+CONDITION = "struct<feature: int, low: double, high: double>"
+LEAF_SCHEMA = f"tree int, leaf int, leaf_value double, path array<{CONDITION}>"
 
 
 @dataclass(frozen=True)
@@ -40,23 +52,17 @@ class Leaf:
     low: Mapping[int, float] = field(default_factory=dict)
     high: Mapping[int, float] = field(default_factory=dict)
 
-    @property
-    def path(self) -> int:
-        mask = 0
-        for f in {*self.low, *self.high}:
-            mask |= 1 << f
-        return mask
 
-    @property
-    def pairs(self) -> int:
-        return 1 << self.path.bit_count()
+Leaves = DataFrame | Sequence[Leaf]
 
 
-def model_leaves(spark: SparkSession, learner) -> list[Leaf]:
-    """Leaves of a fitted Spark tree, forest or boosted ensemble.
+def leaf_table(spark: SparkSession, learner) -> DataFrame:
+    """tree, leaf, leaf_value, path of a fitted Spark tree, forest or boosted ensemble; path: a condition low < x <= high
+    for each feature on the way, by feature; an open end is null.
 
-    Forest leaves hold the class-1 share divided by the number of trees, so their sum is the
-    probability; boosted leaves hold weighted predictions, so their sum is the margin.
+    Forest leaves hold the class-1 share divided by the number of trees, so their sum is the probability; boosted
+    leaves hold weighted predictions, so their sum is the margin. Paths grow by pointer doubling: in each round a node
+    takes over the conditions of the node that it points to, and points where that one does.
     """
     path = new_path(spark, "learner")
     learner.save(path)
@@ -65,7 +71,7 @@ def model_leaves(spark: SparkSession, learner) -> list[Leaf]:
     node = F.struct("*") if single else F.col("nodeData")
     flat = nodes.select((F.lit(0) if single else F.col("treeID")).alias("tree"), node.alias("n")).select(
         "tree",
-        "n.id",
+        F.col("n.id").alias("node"),
         "n.prediction",
         "n.impurityStats",
         "n.leftChild",
@@ -74,79 +80,53 @@ def model_leaves(spark: SparkSession, learner) -> list[Leaf]:
         F.try_element_at("n.split.leftCategoriesOrThreshold", F.lit(1)).alias("cut"),
         F.col("n.split.numCategories").alias("categories"),
     )
-    trees: dict[int, dict[int, tuple]] = {}
-    for row in flat.collect():
-        trees.setdefault(row["tree"], {})[row["id"]] = row
-    if any(r["leftChild"] >= 0 and r["categories"] != -1 for t in trees.values() for r in t.values()):
+    inner = flat.where("leftChild >= 0")
+    if not inner.where("categories <> -1").isEmpty():
         raise ValueError("categorical splits are not supported; one-hot encode the features")
-    boosted = type(learner).__name__.startswith("GBT")
-    weights = {0: 1.0} if single else dict(enumerate(learner.treeWeights))
-
-    def value(tree: int, row) -> float:
-        if boosted:
-            return weights[tree] * row["prediction"]
-        stats = row["impurityStats"]
-        return stats[1] / sum(stats) / len(trees)
-
-    leaves = []
-    for tree, rows in sorted(trees.items()):
-        open_nodes = [(0, {}, {})]
-        while open_nodes:
-            at, low, high = open_nodes.pop()
-            row = rows[at]
-            if row["leftChild"] < 0:
-                leaves.append(Leaf(tree, value(tree, row), low, high))
-                continue
-            f, cut = row["feature"], row["cut"]
-            open_nodes.append((row["leftChild"], low, {**high, f: min(cut, high.get(f, math.inf))}))
-            open_nodes.append((row["rightChild"], {**low, f: max(cut, low.get(f, -math.inf))}, high))
-    return leaves
-
-
-def _leaf_sets(leaves: Sequence[Leaf], limit: int) -> Iterator[Sequence[Leaf]]:
-    for start in range(0, len(leaves), limit):
-        yield leaves[start : start + limit]
-
-
-def _leaf_frame(spark: SparkSession, leaves: Sequence[Leaf], width: int) -> DataFrame:
-    """One row per leaf; the lower bound is the next double above the cut, so both ends are inclusive.
-
-    An open upper end is NaN, which orders above every number. Masks are 64-bit integers with one bit for
-    each feature, so over 62 features are refused.
-    """
-    if width > 62:
-        raise ValueError("at most 62 features")
-    bounds = ", ".join(f"lo_{i} double not null, hi_{i} double not null" for i in range(width))
-    schema = f"leaf int not null, tree int not null, leaf_value double not null, path long not null, {bounds}"
-    rows = [
-        (
-            n,
-            leaf.tree,
-            leaf.value,
-            leaf.path,
-            *[
-                bound
-                for i in range(width)
-                for bound in (
-                    math.nextafter(leaf.low[i], math.inf) if i in leaf.low else -math.inf,
-                    leaf.high.get(i, math.nan),
-                )
-            ],
+    left = f"struct(leftChild AS node, CAST(struct(feature, CAST(NULL AS double), cut) AS {CONDITION}) AS c)"
+    right = f"struct(rightChild AS node, CAST(struct(feature, cut, CAST(NULL AS double)) AS {CONDITION}) AS c)"
+    paths = staged(inner.selectExpr("tree", "node AS up", f"inline(array({left}, {right}))").selectExpr("tree", "node", "up", "array(c) AS way"), "paths")
+    while not paths.where("up <> 0").isEmpty():
+        further = paths.selectExpr("tree", "node AS up", "up AS top", "way AS more")
+        paths = paths.join(further, ["tree", "up"], "left").selectExpr(
+            "tree", "node", "coalesce(top, up) AS up", "CASE WHEN more IS NULL THEN way ELSE concat(way, more) END AS way"
         )
-        for n, leaf in enumerate(leaves)
+        paths = staged(paths, "paths")
+    if type(learner).__name__.startswith("GBT"):
+        value = F.col("prediction") * doubles(learner.treeWeights)[F.col("tree")]
+    else:
+        count = 1 if single else learner.getNumTrees
+        value = F.col("impurityStats")[1] / F.expr("aggregate(impurityStats, 0D, (s, x) -> s + x)") / count
+    leaves = flat.where("leftChild < 0").select("tree", F.col("node").alias("leaf"), value.alias("leaf_value"))
+    steps = paths.selectExpr("tree", "node AS leaf", "inline(way)")
+    boxes = steps.groupBy("tree", "leaf", "feature").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    boxes = boxes.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("feature", "low", "high"))).alias("path"))
+    whole = leaves.join(boxes, ["tree", "leaf"], "left")
+    whole = whole.select("tree", "leaf", "leaf_value", F.coalesce("path", F.expr(f"CAST(array() AS array<{CONDITION}>)")).alias("path"))
+    return staged(whole, "leaves")
+
+
+def model_leaves(spark: SparkSession, learner) -> list[Leaf]:
+    """The rows of ``leaf_table`` as objects, to look at a model by hand."""
+    return [
+        Leaf(
+            r["tree"],
+            r["leaf_value"],
+            {c["feature"]: c["low"] for c in r["path"] if c["low"] is not None},
+            {c["feature"]: c["high"] for c in r["path"] if c["high"] is not None},
+        )
+        for r in leaf_table(spark, learner).orderBy("tree", "leaf").collect()
     ]
-    return spark.createDataFrame(rows, schema)
 
 
-def _hits(rows: DataFrame, leaves: DataFrame, trees: Sequence[int], features: Sequence[str]) -> DataFrame:
-    """Each row with each leaf and the mask of path features inside the leaf's box."""
-    bits = [
-        f"IF({quoted(name)} BETWEEN lo_{i} AND hi_{i}, {1 << i}L, 0L)" for i, name in enumerate(features)
+def _table(spark: SparkSession, leaves: Leaves) -> DataFrame:
+    if isinstance(leaves, DataFrame):
+        return leaves
+    rows = [
+        (x.tree, i, float(x.value), [(f, x.low.get(f), x.high.get(f)) for f in sorted({*x.low, *x.high})])
+        for i, x in enumerate(leaves)
     ]
-    spread = rows.withColumn("tree", F.explode(F.lit(list(trees))))
-    return spread.join(F.broadcast(leaves), "tree").select(
-        *rows.columns, "leaf", "leaf_value", "path", F.expr(f"({' + '.join(bits)}) & path").alias("hit")
-    )
+    return spark.createDataFrame(rows, LEAF_SCHEMA)
 
 
 def feature_rows(fitted: Fitted, df: DataFrame, id_col: str) -> DataFrame:
@@ -157,6 +137,118 @@ def feature_rows(fitted: Fitted, df: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def _inputs(rows: DataFrame, features: Sequence[str]) -> Column:
+    """The features as one array; a missing value is NaN, which lies above every cut, as learners have it."""
+    return F.array(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(float("nan"))) for c in features])
+
+
+def _signatures(x: np.ndarray, cuts: Mapping[int, np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """The outcomes of all splits of a tree: for each feature the number of cuts below the value, for each distinct
+    tuple of them; and for each row its tuple."""
+    code, room, bins = np.zeros(len(x), np.int64), 1, {}
+    for f, values in cuts.items():
+        bins[f] = np.searchsorted(values, x[:, f]).astype(np.int32)
+        if room > 1 << 40:
+            _, code = np.unique(code, return_inverse=True)
+            room = int(code.max(initial=0)) + 1
+        code, room = code * (len(values) + 1) + bins[f], room * (len(values) + 1)
+    _, first, back = np.unique(code, return_index=True, return_inverse=True)
+    return {f: b[first] for f, b in bins.items()}, back.ravel()
+
+
+def _tree_masks(x: np.ndarray, leaves: pa.Table) -> Iterator[tuple[np.ndarray, int, Iterator[tuple[int, list[int], np.ndarray]]]]:
+    """For each tree: the signature of each row, their number, and for each leaf its place in ``leaves``, the features of
+    its path and the mask of every signature."""
+    path = leaves.column("path").combine_chunks()
+    conditions, sizes = path.flatten(), path.value_lengths().to_numpy()
+    ends = np.cumsum(sizes)
+    feature = conditions.field("feature").to_numpy()
+    low, high = (conditions.field(n).to_numpy(zero_copy_only=False) for n in ("low", "high"))
+    owner = np.repeat(leaves.column("tree").to_numpy(), sizes)
+    trees = leaves.column("tree").to_numpy()
+    for tree in np.unique(trees):
+        own = owner == tree
+        cuts = {}
+        for f in np.unique(feature[own]).tolist():
+            met = own & (feature == f)
+            both = np.concatenate((low[met], high[met]))
+            cuts[f] = np.unique(both[~np.isnan(both)])
+        bins, back = _signatures(x, cuts)
+        count = int(back.max(initial=-1)) + 1
+
+        def masks(tree=tree, cuts=cuts, bins=bins, count=count):
+            for leaf in np.flatnonzero(trees == tree).tolist():
+                mask, names = np.zeros(count, np.int64), []
+                for place, i in enumerate(range(int(ends[leaf] - sizes[leaf]), int(ends[leaf]))):
+                    f = int(feature[i])
+                    holds = np.ones(count, bool)
+                    if not np.isnan(low[i]):
+                        holds &= bins[f] > np.searchsorted(cuts[f], low[i])
+                    if not np.isnan(high[i]):
+                        holds &= bins[f] <= np.searchsorted(cuts[f], high[i])
+                    mask |= holds.astype(np.int64) << place
+                    names.append(f)
+                yield leaf, names, mask
+
+        yield back, count, masks()
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    flat = rows.column("x").combine_chunks().flatten().to_numpy()
+    return flat.reshape(rows.num_rows, -1)
+
+
+def _meet(
+    rows: DataFrame, n_rows: int, leaves: DataFrame, solve: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+    leaf_limit: int, block_rows: int,
+) -> DataFrame:
+    """``solve`` of every block of rows with every part of the leaves. A part holds whole trees, or equal shares of a tree
+    of more than ``leaf_limit`` leaves."""
+    n_leaves, n_trees = leaves.agg(F.count("*"), F.countDistinct("tree")).first()
+    shares = max(1, -(-n_leaves // max(1, n_trees * leaf_limit)))
+    parts, blocks = min(-(-max(1, n_leaves) // leaf_limit), max(1, n_trees) * shares), max(1, -(-n_rows // block_rows))
+    part = F.expr(f"CAST(pmod(tree * {shares} + leaf % {shares}, {parts}) AS int)")
+    left = rows.withColumn("block", F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.lit(blocks)).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = leaves.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = (side.repartition(parts * blocks, "part", "block").groupBy("part", "block") for side in (left, right))
+    return left.cogroup(right).applyInArrow(solve, schema)
+
+
+def mask_counts(
+    rows: DataFrame, leaves: Leaves, features: Sequence[str], leaf_limit: int = LEAF_LIMIT, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """tree, leaf, hit, n: how many rows satisfy just the conditions in the mask ``hit``. Equal rows collapse first."""
+    leaves = _table(rows.sparkSession, leaves)
+    inputs = staged(rows.select(_inputs(rows, features).alias("x")).groupBy("x").agg(F.count("*").alias("n")), "inputs")
+
+    def solve(rows: pa.Table, leaves: pa.Table) -> pa.Table:
+        trees, numbers = leaves.column("tree").to_pylist(), leaves.column("leaf").to_pylist()
+        out = ([], [], [], [])
+        if rows.num_rows and leaves.num_rows:
+            weight = rows.column("n").to_numpy()
+            for back, count, masks in _tree_masks(_matrix(rows), leaves):
+                totals = np.bincount(back, weight, count)
+                for leaf, path, mask in masks:
+                    if len(path) <= DENSE_PATH:
+                        sums = np.bincount(mask, totals, 1 << len(path))
+                        hit = np.flatnonzero(sums)
+                        sums = sums[hit]
+                    else:
+                        hit, place = np.unique(mask, return_inverse=True)
+                        sums = np.bincount(place.ravel(), totals)
+                    out[0].append(np.full(len(hit), trees[leaf]))
+                    out[1].append(np.full(len(hit), numbers[leaf]))
+                    out[2].append(hit)
+                    out[3].append(sums)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        columns = [pa.array(np.concatenate(c) if c else [], k, safe=False) for c, k in zip(out, kinds)]
+        return pa.Table.from_arrays(columns, ["tree", "leaf", "hit", "n"])
+
+    met = _meet(inputs, inputs.count(), leaves, solve, "tree int, leaf int, hit long, n long", leaf_limit, block_rows)
+    return met.groupBy("tree", "leaf", "hit").agg(F.sum("n").alias("n"))
+
+
 def _weights(size: int) -> tuple[Column, Column]:
     """Shapley weights for a features where only the row is inside and b where only the background is:
     for each of the former a gain of (a-1)! b! / (a+b)!, for each of the latter a loss of
@@ -169,79 +261,84 @@ def _weights(size: int) -> tuple[Column, Column]:
     return doubles(gain)[place], doubles(loss)[place]
 
 
-def _contributions(
-    rows: DataFrame, background: DataFrame, n_background: int, leaves: Sequence[Leaf], features: Sequence[str]
-) -> DataFrame:
-    """Per (leaf, mask) that occurs in the rows: what each feature gets from the leaf."""
-    frame = _leaf_frame(rows.sparkSession, leaves, len(features))
-    trees = sorted({leaf.tree for leaf in leaves})
-    size = max(leaf.path.bit_count() for leaf in leaves)
-    seen = (
-        _hits(background, frame, trees, features)
-        .groupBy("leaf", F.col("hit").alias("seen"))
-        .agg((F.count("*") / F.lit(n_background)).alias("share"))
-    )
-    own = _hits(rows, frame, trees, features).select("leaf", "leaf_value", "path", "hit").distinct()
+def _contributions(own: DataFrame, seen: DataFrame, n_background: int, leaves: DataFrame, size: int) -> DataFrame:
+    """The leaves with hits and phis: the masks that occur in the rows, ascending, and what each condition of the path
+    gets for them, mask after mask."""
     gain, loss = _weights(size)
-    amount = F.col("leaf_value") * F.col("share")
+    amount = F.col("leaf_value") * F.col("n") / F.lit(n_background)
+    full = leaves.selectExpr("tree", "leaf", "leaf_value", "shiftleft(1L, size(path)) - 1 AS path")
     pairs = (
-        own.join(seen, "leaf")
+        own.select("tree", "leaf", "hit")
+        .join(full, ["tree", "leaf"])
+        .join(seen.selectExpr("tree", "leaf", "hit AS seen", "n"), ["tree", "leaf"])
         .where("hit | seen = path")
-        .selectExpr("leaf", "hit", "leaf_value", "share", "hit & ~seen AS ours", "seen & ~hit AS theirs")
+        .selectExpr("tree", "leaf", "hit", "leaf_value", "n", "hit & ~seen AS ours", "seen & ~hit AS theirs")
         .selectExpr("*", "bit_count(ours) AS a", "bit_count(theirs) AS b")
-        .select("leaf", "hit", "ours", "theirs", (amount * gain).alias("gain"), (amount * loss).alias("loss"))
+        .select("tree", "leaf", "hit", "ours", "theirs", (amount * gain).alias("gain"), (amount * loss).alias("loss"))
     )
-    shares = [
-        F.expr(f"sum(CASE WHEN ours & {1 << i}L != 0 THEN gain WHEN theirs & {1 << i}L != 0 THEN loss ELSE 0.0D END)")
-        for i in range(len(features))
+    sums = [
+        F.expr(f"sum(CASE WHEN ours & {1 << i}L != 0 THEN gain WHEN theirs & {1 << i}L != 0 THEN loss ELSE 0.0D END)").alias(f"p{i}")
+        for i in range(size)
     ]
-    return pairs.groupBy("leaf", "hit").agg(*[share.alias(f"phi_{i}") for i, share in enumerate(shares)])
+    summed = pairs.groupBy("tree", "leaf", "hit").agg(*sums) if sums else pairs.select("tree", "leaf", "hit").distinct()
+    phi = f"array({', '.join(f'p{i}' for i in range(size))})" if size else "CAST(array() AS array<double>)"
+    listed = summed.selectExpr("tree", "leaf", f"struct(hit, {phi} AS phi) AS h").groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    return leaves.join(listed, ["tree", "leaf"]).selectExpr(
+        "tree", "leaf", "path", "h.hit AS hits", "flatten(transform(h.phi, p -> slice(p, 1, size(path)))) AS phis"
+    )
 
 
 def forest_shap(
     rows: DataFrame,
     background: DataFrame,
-    leaves: Sequence[Leaf],
+    leaves: Leaves,
     id_col: str,
     features: Sequence[str],
     leaf_limit: int = LEAF_LIMIT,
-    pair_limit: int = PAIR_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Shapley values (id, feature, feature_value, shap_value) of every row against the background."""
-    if len(features) > 62:
-        raise ValueError("at most 62 features fit a mask")
+    """Shapley values (id, feature, feature_value, shap_value) of every row against the background. Paths may
+    have up to 62 features; tables may have any number."""
+    leaves = _table(rows.sparkSession, leaves)
     n_background = background.count()
     if n_background == 0:
         raise ValueError("the background is empty")
-    names = [f"phi_{i}" for i in range(len(features))]
-    rows, background = rows.select(id_col, *features), background.select(*features)
-    n_rows = None
-    whole = None
-    for group in _leaf_sets(leaves, leaf_limit):
-        contributions = _contributions(rows, background, n_background, group, features)
-        bound = sum(leaf.pairs for leaf in group)
-        if bound > pair_limit:
-            n_rows = rows.count() if n_rows is None else n_rows
-            bound = sum(min(leaf.pairs, n_rows) for leaf in group)
-        if bound <= pair_limit:
-            contributions = F.broadcast(contributions)
-        frame = _leaf_frame(rows.sparkSession, group, len(features))
-        found = (
-            _hits(rows, frame, sorted({leaf.tree for leaf in group}), features)
-            .select(id_col, "leaf", "hit")
-            .join(contributions, ["leaf", "hit"])
-            .groupBy(id_col)
-            .agg(*[F.sum(n).alias(n) for n in names])
-        )
-        whole = found if whole is None else whole.unionByName(found)
-    if len(leaves) > leaf_limit:
-        whole = whole.groupBy(id_col).agg(*[F.sum(n).alias(n) for n in names])
+    size = leaves.agg(F.max(F.size("path"))).first()[0] or 0
+    if size > 62:
+        raise ValueError("at most 62 features on a path")
+    seen = mask_counts(background, leaves, features, leaf_limit, block_rows)
+    own = mask_counts(rows, leaves, features, leaf_limit, block_rows)
+    known = staged(_contributions(own, seen, n_background, leaves, size), "contributions")
+    explained = rows.select(F.col(quoted(id_col)).alias("id"), _inputs(rows, features).alias("x"))
+    width = len(features)
+    names = [f"phi_{i}" for i in range(width)]
+
+    def solve(rows: pa.Table, leaves: pa.Table) -> pa.Table:
+        total = np.zeros((rows.num_rows, width))
+        if rows.num_rows and leaves.num_rows:
+            hits, phis = leaves.column("hits").combine_chunks(), leaves.column("phis").combine_chunks()
+            for back, count, masks in _tree_masks(_matrix(rows), leaves):
+                sums = np.zeros((width, count))
+                for leaf, path, mask in masks:
+                    if path:
+                        known_hits = hits[leaf].values.to_numpy()
+                        place = np.minimum(np.searchsorted(known_hits, mask), len(known_hits) - 1)
+                        met = known_hits[place] == mask  # a mask that no background completes gets nothing
+                        values = phis[leaf].values.to_numpy().reshape(-1, len(path))[place]
+                        for i, f in enumerate(path):
+                            sums[f] += np.where(met, values[:, i], 0.0)
+                total += sums.T[back]
+        return pa.Table.from_arrays([rows.column("id"), *[pa.array(c) for c in total.T]], ["id", *names])
+
+    kind = explained.schema["id"].dataType.simpleString()
+    parts = _meet(explained, rows.count(), known, solve, f"id {kind}, " + ", ".join(f"{n} double" for n in names), leaf_limit, block_rows)
+    whole = parts.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).withColumnRenamed("id", id_col)
     return to_rows(
-        rows.join(whole, id_col, "left"),
+        rows.select(id_col, *[quoted(c) for c in features]).join(whole, id_col, "left"),
         [
             {
                 "feature": F.lit(c),
-                "feature_value": F.col(c),
+                "feature_value": F.col(quoted(c)),
                 "shap_value": F.coalesce(F.col(names[i]), F.lit(0.0)),
             }
             for i, c in enumerate(features)
@@ -251,35 +348,39 @@ def forest_shap(
 
 
 def forest_output(
-    rows: DataFrame, leaves: Sequence[Leaf], id_col: str, features: Sequence[str], leaf_limit: int = LEAF_LIMIT
+    rows: DataFrame, leaves: Leaves, id_col: str, features: Sequence[str], leaf_limit: int = LEAF_LIMIT, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The ensemble output of every row, from the leaf boxes."""
-    whole = None
-    for group in _leaf_sets(leaves, leaf_limit):
-        frame = _leaf_frame(rows.sparkSession, group, len(features))
-        hits = _hits(rows.select(id_col, *features), frame, sorted({leaf.tree for leaf in group}), features)
-        part = hits.groupBy(id_col).agg(
-            F.sum(F.when(F.col("hit") == F.col("path"), F.col("leaf_value")).otherwise(0.0)).alias("output")
-        )
-        whole = part if whole is None else whole.unionByName(part)
-    return whole.groupBy(id_col).agg(F.sum("output").alias("output"))
-
-
-def forest_base_value(
-    background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], leaf_limit: int = LEAF_LIMIT
-) -> float:
+    leaves = _table(rows.sparkSession, leaves)
+    inputs = rows.select(F.col(quoted(id_col)).alias("id"), _inputs(rows, features).alias("x"))
+
+    def solve(rows: pa.Table, leaves: pa.Table) -> pa.Table:
+        total = np.zeros(rows.num_rows)
+        if rows.num_rows and leaves.num_rows:
+            values = leaves.column("leaf_value").to_numpy()
+            for back, count, masks in _tree_masks(_matrix(rows), leaves):
+                sums = np.zeros(count)
+                for leaf, path, mask in masks:
+                    sums[mask == (1 << len(path)) - 1] += values[leaf]
+                total += sums[back]
+        return pa.Table.from_arrays([rows.column("id"), pa.array(total)], ["id", "output"])
+
+    kind = inputs.schema["id"].dataType.simpleString()
+    parts = _meet(inputs, rows.count(), leaves, solve, f"id {kind}, output double", leaf_limit, block_rows)
+    return parts.groupBy(F.col("id").alias(id_col)).agg(F.sum("output").alias("output"))
+
+
+def forest_base_value(background: DataFrame, leaves: Leaves, features: Sequence[str], leaf_limit: int = LEAF_LIMIT) -> float:
     """The mean ensemble output over the background: the base value of ``forest_shap``."""
-    total = 0.0
-    for group in _leaf_sets(leaves, leaf_limit):
-        frame = _leaf_frame(background.sparkSession, group, len(features))
-        hits = _hits(background.select(*features), frame, sorted({leaf.tree for leaf in group}), features)
-        total += hits.where(F.col("hit") == F.col("path")).agg(F.sum("leaf_value")).first()[0] or 0.0
-    return total / background.count()
+    leaves = _table(background.sparkSession, leaves)
+    counts = mask_counts(background, leaves, features, leaf_limit).join(leaves, ["tree", "leaf"])
+    inside = counts.where("hit = shiftleft(1L, size(path)) - 1")
+    return (inside.agg(F.expr("sum(leaf_value * n)")).first()[0] or 0.0) / background.count()
 
 
 def forest_partial_dependence(
     rows: DataFrame,
-    leaves: Sequence[Leaf],
+    leaves: Leaves,
     features: Sequence[str],
     grids: Mapping[str, Sequence[float]],
     leaf_limit: int = LEAF_LIMIT,
@@ -289,27 +390,18 @@ def forest_partial_dependence(
     Per leaf and examined feature it is enough to know how many rows satisfy all other path
     conditions; grid points then meet these model-sized counts.
     """
+    leaves = _table(rows.sparkSession, leaves)
+    counts = mask_counts(rows, leaves, features, leaf_limit).join(leaves, ["tree", "leaf"])
     index = {f: i for i, f in enumerate(features)}
+    asked = [
+        {"feature": F.lit(f), "place": F.expr(f"array_position(path.feature, {index[f]}) - 1"), "grid": doubles(values)}
+        for f, values in grids.items()
+    ]
+    met = to_rows(counts, asked, ["tree", "leaf", "leaf_value", "path", "hit", "n"])
+    all_others = met.where("hit | CASE WHEN place >= 0 THEN shiftleft(1L, int(place)) ELSE 0L END = shiftleft(1L, size(path)) - 1")
+    weights = all_others.withColumn("c", F.expr("CASE WHEN place >= 0 THEN get(path, int(place)) END"))
+    weights = weights.groupBy("feature", "grid", "c.low", "c.high").agg(F.expr("sum(leaf_value * n)").alias("w"))
+    points = weights.withColumn("value", F.explode("grid"))
+    inside = F.expr("(low IS NULL OR value > low) AND (high IS NULL OR value <= high)")
     total = rows.count()
-    whole = None
-    for group in _leaf_sets(leaves, leaf_limit):
-        frame = _leaf_frame(rows.sparkSession, group, len(features))
-        hits = _hits(rows.select(*features), frame, sorted({leaf.tree for leaf in group}), features)
-        counts = hits.groupBy("leaf").agg(
-            *[F.expr(f"count_if((hit | {1 << index[f]}L) & path = path)").alias(f"n_{index[f]}") for f in grids]
-        )
-        per_feature = [
-            {
-                "feature": F.lit(f),
-                "low": F.col(f"lo_{index[f]}"),
-                "high": F.col(f"hi_{index[f]}"),
-                "weight": F.col("leaf_value") * F.col(f"n_{index[f]}"),
-                "grid": doubles(values),
-            }
-            for f, values in grids.items()
-        ]
-        met = to_rows(counts.join(F.broadcast(frame), "leaf"), per_feature).withColumn("value", F.explode("grid"))
-        inside = F.col("value").between(F.col("low"), F.col("high"))
-        part = met.groupBy("feature", "value").agg(F.sum(F.when(inside, F.col("weight")).otherwise(0.0)).alias("w"))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole.groupBy("feature", "value").agg((F.sum("w") / F.lit(total)).alias("average_score"))
+    return points.groupBy("feature", "value").agg((F.sum(F.when(inside, F.col("w")).otherwise(0.0)) / F.lit(total)).alias("average_score"))

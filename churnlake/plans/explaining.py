@@ -281,7 +281,7 @@ def top_features(spark, folder):
 def _shap_of_test(spark, folder):
     """Every test customer explained against all training customers."""
     fitted, train, test = _fitted_forest(spark, folder)
-    leaves = forest.model_leaves(spark, fitted.learner)
+    leaves = forest.leaf_table(spark, fitted.learner)
     explained, background = (staged(forest.feature_rows(fitted, part, ID), "inputs") for part in (test, train))
     names = fitted.preparation.features
     return fitted, test, explained, background, leaves, forest.forest_shap(explained, background, leaves, ID, names)
@@ -333,7 +333,7 @@ def model_dependence(spark, folder):
     equals scoring every row with every value."""
     fitted, _, test = _fitted_forest(spark, folder)
     features = ["balance", "num_products", "est_spend"]
-    leaves = forest.model_leaves(spark, fitted.learner)
+    leaves = forest.leaf_table(spark, fitted.learner)
     rows = staged(forest.feature_rows(fitted, test, ID), "inputs")
     names = fitted.preparation.features
     grids = explain.dependence_grid(rows, features)

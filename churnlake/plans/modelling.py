@@ -104,7 +104,7 @@ def _scores_of_leaves(spark, folder, kind: str) -> DataFrame:
     train, test = _parts(spark, folder)
     fitted = _fit(train, kind)
     rows = staged(forest.feature_rows(fitted, test, ID), "inputs")
-    outputs = forest.forest_output(rows, forest.model_leaves(spark, fitted.learner), ID, fitted.preparation.features)
+    outputs = forest.forest_output(rows, forest.leaf_table(spark, fitted.learner), ID, fitted.preparation.features)
     output = F.col("output")
     if kind != "random_forest":  # boosted trees add up to half the log-odds
         output = F.lit(1.0) / (F.lit(1.0) + F.exp(output * -2))

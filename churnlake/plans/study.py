@@ -75,7 +75,7 @@ def explain_forest(
     """Importances, Shapley tables of a sample explained against itself, partial dependence."""
     spark = test.sparkSession
     names = fitted.preparation.features
-    leaves = forest.model_leaves(spark, fitted.learner)
+    leaves = forest.leaf_table(spark, fitted.learner)
     sample = staged(uniform_sample(test, spec.id, sample_size), "sample")
     rows = forest.feature_rows(fitted, sample, spec.id)
     base = forest.forest_base_value(rows, leaves, names)

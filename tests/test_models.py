@@ -86,10 +86,10 @@ def test_logistic_regression_solves_the_penalised_objective(parts, fitted):
 def test_saved_model_scores_alike(spark, parts, fitted):
     path = new_path(spark, "saved")
     models.save_model(fitted["random_forest"], path)
-    pipeline, features = models.load_model(spark, path)
-    assert tuple(features) == fitted["random_forest"].preparation.features
+    again = models.load_model(spark, path)
+    assert again.preparation.features == fitted["random_forest"].preparation.features
     before = fitted["random_forest"].score(parts[1]).select(ID, F.col("score").alias("a"))
-    after = models.with_score(pipeline.transform(parts[1])).select(ID, F.col("score").alias("b"))
+    after = again.score(parts[1]).select(ID, F.col("score").alias("b"))
     assert before.join(after, ID).where("a = b").count() == 2000
 
 
@@ -226,3 +226,47 @@ def test_linear_dependence_is_linear_in_the_margin(bank):
 def test_segments_cover_the_bank(bank):
     rows, profile = scoring.segments(bank, SPEC, models.fit_preparation(bank, SPEC), 3)
     assert rows.count() == 10000 and profile.agg(F.sum("n")).first()[0] == 10000
+
+
+@pytest.mark.parametrize("width", [80, 300])
+def test_forest_shap_of_wide_tables(spark, width):
+    rng = np.random.default_rng(width)
+    points = rng.integers(0, 2, size=(400, width)).astype(float)
+    points[5, 3] = np.nan
+    label = (np.nan_to_num(points[:, :6]).sum(1) + np.nan_to_num(points[:, width - 4 :]).sum(1) > 5).astype(float)
+    names = [f"segment.{i} 'x'" for i in range(width)]
+    kind = "id long, " + ", ".join(f"`{n}` double" for n in names)
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], kind)
+    from pyspark.ml.linalg import Vectors
+
+    vectors = spark.createDataFrame([(Vectors.dense(p), float(y)) for p, y in zip(np.nan_to_num(points), label)], ["features", "label"])
+    learner = models.make_classifier("random_forest", 400, maxDepth=5, numTrees=5).fit(vectors)
+    leaves = forest.leaf_table(spark, learner)
+    shap = forest.forest_shap(rows.where("id < 6"), rows.where("id >= 300"), leaves, "id", names, 10, 40)
+    table = {}
+    for r in shap.collect():
+        table.setdefault(r["id"], {})[r["feature"]] = r["shap_value"]
+    used = sorted({c["feature"] for r in leaves.collect() for c in r["path"]})
+    listed = forest.model_leaves(spark, learner)
+
+    def output(row):
+        above = lambda f, c: np.isnan(row[f]) or row[f] > c
+        return sum(
+            leaf.value for leaf in listed if all(above(f, c) for f, c in leaf.low.items()) and not any(above(f, c) for f, c in leaf.high.items())
+        )
+
+    base = np.mean([output(p) for p in points[300:]])
+    assert len(used) > 20 and max(used) > 62
+    for i in range(6):
+        assert sum(table[i].values()) + base == pytest.approx(output(points[i]), abs=1e-12)
+        assert all(table[i][names[f]] == 0 for f in range(width) if f not in used)
+    # one leaf at a time is small enough for the definition
+    leaf = max(listed, key=lambda x: len({*x.low, *x.high}))
+    place = sorted({*leaf.low, *leaf.high})
+    inside = lambda row, f: not (f in leaf.low and row[f] <= leaf.low[f]) and not (f in leaf.high and not row[f] <= leaf.high[f])
+    one = forest.forest_shap(rows.where("id < 3"), rows.where("id >= 300"), [leaf], "id", names).collect()
+    one = {(r["id"], r["feature"]): r["shap_value"] for r in one}
+    flags = np.array([[float(inside(p, f)) for f in place] for p in points])
+    for i in range(3):
+        expected = shapley_by_definition(lambda v: leaf.value * float(all(v)), flags[i], flags[300:])
+        assert np.allclose([one[(i, names[f])] for f in place], expected, atol=1e-12)
