@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import order_key, ratio
-from churnlake.operators.ranking import running_totals
+from churnlake.operators.ranking import descending_totals
 from churnlake.operators.selection import SMALL, row_cuts
 
 
 def score_steps(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
-    """Positives and negatives per distinct score, with running totals from the highest score down.
+    """Positives and negatives per distinct score, with running totals from the highest score down, the totals of
+    the group and the step that follows.
 
     Ties collapse before anything is ordered, so a score shared by a third of all rows is one row.
     """
@@ -23,11 +24,7 @@ def score_steps(df: DataFrame, by: Sequence[str] = (), label: str = "label", sco
         .groupBy(*by, F.col(score).alias("threshold"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    return running_totals(ties, by, [F.desc("threshold")], ["pos", "neg"])
-
-
-def _totals(steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    return steps.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return descending_totals(ties, by, "threshold", ["pos", "neg"])
 
 
 def area_from_steps(steps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -46,51 +43,19 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "label", score:
 
 
 def points_from_steps(steps: DataFrame, by: Sequence[str] = (), drop_collinear: bool = False) -> DataFrame:
-    """ROC points per distinct score, plus the origin (threshold NULL)."""
-    totals = _totals(steps, by)
-    if by:
-        tagged = steps.join(totals, list(by))
-    else:
-        row = totals.first()
-        tagged = steps.withColumns({"_p": F.lit(row["_p"]), "_n": F.lit(row["_n"])})
-    points = tagged.select(
-        *by,
-        "threshold",
-        F.col("cum_neg").alias("fp"),
-        F.col("cum_pos").alias("tp"),
-        "pos",
-        "neg",
-        ratio(F.col("cum_neg"), F.nullif(F.col("_n"), F.lit(0))).alias("fpr"),
-        ratio(F.col("cum_pos"), F.nullif(F.col("_p"), F.lit(0))).alias("tpr"),
-    )
-    if drop_collinear:
-        points = _drop_collinear(points, by)
-    zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
-    origin = totals.select(
-        *by,
-        F.lit(None).cast("double").alias("threshold"),
-        zero.alias("fp"),
-        zero.alias("tp"),
-        none.alias("fpr"),
-        none.alias("tpr"),
-    )
-    return points.drop("pos", "neg").unionByName(origin)
-
+    """ROC points per distinct score, plus the origin (threshold NULL), which the first step brings along.
 
-def _drop_collinear(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Drop points whose step up the curve equals the following step; the first and last one stay.
-
-    Points are numbered by a running total and matched with their follower by number, so no window
-    spans a whole curve.
+    ``drop_collinear`` drops points whose step up the curve equals the following step; the first and last one stay.
     """
-    numbered = running_totals(points.withColumn("_at", F.lit(1).cast("bigint")), by, [F.desc("threshold")], ["_at"])
-    following = numbered.select(
-        *by,
-        (F.col("cum__at") - 1).alias("cum__at"),
-        F.struct("pos", "neg").alias("_next"),
+    first = "cum_pos = pos AND cum_neg = neg"
+    if drop_collinear:
+        steps = steps.where(f"following IS NULL OR {first} OR following <> struct(pos, neg)")
+    point = (
+        "struct(CAST(threshold AS double) AS threshold, cum_neg AS fp, cum_pos AS tp,"
+        " cum_neg / nullif(CAST(all_neg AS double), 0D) AS fpr, cum_pos / nullif(CAST(all_pos AS double), 0D) AS tpr)"
     )
-    bend = F.col("_next").isNull() | (F.col("cum__at") == 1) | (F.struct("pos", "neg") != F.col("_next"))
-    return numbered.join(following, [*by, "cum__at"], "left").where(bend).select(*points.columns)
+    origin = "struct(CAST(NULL AS double) AS threshold, 0L AS fp, 0L AS tp, 0D AS fpr, 0D AS tpr)"
+    return steps.select(*by, F.expr(f"inline(IF({first}, array({origin}, {point}), array({point})))"))
 
 
 def roc_points(

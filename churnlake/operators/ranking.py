@@ -1,53 +1,81 @@
-"""Running totals over a globally ordered table, without a single-task window.
+"""Running totals from the highest value down, without a single-task window.
 
-The table is range-partitioned on (groups, order) into even slices and written once, so slice
-numbers are fixed. Slice totals (one row per slice and group) give each slice its offset; the
-window then runs inside slices only.
+The table is written once and cut into slices of some ``SLICE_ROWS`` rows by borders that a sketch proposes; a row's
+slice is a comparison with constants. Each slice has a summary: its totals and its first row. Summaries are few, and
+put together in order they carry to each slice what stands before it, the first row after it and the totals of
+all. The window then runs inside slices only, over one exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.session import slice_count, staged
+from churnlake.functions.expressions import double_sql, quoted
+from churnlake.session import staged
 
+#: Rows of a slice, and the number of slices beyond which slices grow.
+SLICE_ROWS, MOST_SLICES = 500_000, 1024
 
-def in_slices(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    spread = df.repartitionByRange(slice_count(df.sparkSession), *[F.col(c) for c in by], *order)
-    return staged(spread.withColumn("_slice", F.spark_partition_id()), "slices")
 
+def slice_borders(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> list[float]:
+    """Ascending values between slices of about ``slice_rows`` rows."""
+    slices = min(MOST_SLICES, -(-df.count() // slice_rows))
+    if slices < 2:
+        return []
+    shares = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    found = df.selectExpr(f"percentile_approx(CAST({quoted(order)} AS double), array({shares}), {max(10_000, 10 * slices)})").first()[0]
+    return sorted(set(found or []))
 
-def running_totals(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    sums: Sequence[str],
-) -> DataFrame:
-    """Add ``cum_<column>``, the inclusive running sum in the given order within each group.
 
-    The order must be unique within a group, else equal rows may straddle two slices.
+def slice_number(order: str, borders: Sequence[float]) -> str:
+    """How many borders lie above the value, as a tree of comparisons: 0 for the slice of the highest values."""
+
+    def among(least: int, most: int) -> str:
+        if least == most:
+            return str(len(borders) - least)
+        middle = (least + most + 1) // 2
+        return f"IF({quoted(order)} >= {double_sql(borders[middle - 1])}, {among(middle, most)}, {among(least, middle - 1)})"
+
+    return among(0, len(borders))
+
+
+def descending_totals(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add to each row, by falling ``order`` within each group: ``cum_<column>``, the running sum up to and with the row,
+    ``all_<column>``, the sum over the group, and ``following``, the columns of the next row as a struct, null at the end.
+
+    The order must be numeric and unique within a group.
     """
-    sliced = in_slices(df, by, order)
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*by, "_slice")
-        .agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(
-            *by,
-            "_slice",
-            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
-        )
+    whole = staged(df, "ranked")
+    sliced = whole.withColumn("_slice", F.expr(slice_number(order, slice_borders(whole, order, slice_rows))))
+    row = F.struct(*[F.col(quoted(c)) for c in sums])
+    summary = sliced.groupBy(*by, "_slice").agg(
+        *[F.sum(quoted(c)).alias(f"_t_{c}") for c in sums], F.max_by(row, F.col(quoted(order))).alias("_first")
+    )
+    group = Window.partitionBy(*by)
+    downward = group.orderBy("_slice")
+    before = downward.rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.select(
+        *by,
+        "_slice",
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in sums],
+        F.lead("_first").over(downward).alias("_next"),
     )
-    within = (
-        Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.desc(quoted(order)))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = sliced.select(
+        *by,
+        "_slice",
+        *[F.col(quoted(c)) for c in df.columns if c not in by],
+        *[F.sum(quoted(c)).over(upto).alias(f"_c_{c}") for c in sums],
+        F.lead(row).over(inside).alias("_row"),
     )
-    return (
-        sliced.join(offsets, [*by, "_slice"])
-        .select(
-            *df.columns,
-            *[(F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
-        )
+    return within.join(carried, [*by, "_slice"]).select(
+        *df.columns,
+        *[(F.col(f"_c_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
+        *[f"all_{c}" for c in sums],
+        F.coalesce("_row", "_next").alias("following"),
     )
