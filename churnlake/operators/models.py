@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 import json
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -22,11 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import quoted, ratio, text_sql
-from churnlake.operators.metrics import outcome_counts, with_rates
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
-from churnlake.operators.split import stratified_folds
 from churnlake.schema import CustomerTable
-from churnlake.session import staged, use_checkpoints
+from churnlake.session import use_checkpoints
 
 MODEL_KINDS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "boosted_deep")
 
@@ -70,7 +65,7 @@ class Preparation:
         ]
 
 
-def _raw_expressions(
+def raw_expressions(
     spec: CustomerTable, levels: Mapping[str, Sequence[str]], fills: Mapping[str, object], feature_set: str
 ) -> dict[str, str]:
     def number(column: str) -> str:
@@ -116,7 +111,7 @@ def fit_preparation(
     """
     levels = levels or fit_levels(train, spec.categorical, level_limit)
     fills = fit_imputation(train, spec.numeric, spec.categorical) if fill_missing else {}
-    raw = _raw_expressions(spec, levels, fills, feature_set)
+    raw = raw_expressions(spec, levels, fills, feature_set)
     row = train.agg(
         *[
             F.expr(f"{f}({e}) AS {short}{i}")
@@ -222,91 +217,6 @@ def majority_baseline(train: DataFrame, test: DataFrame, label: str) -> DataFram
     )
 
 
-def _fold_accuracies(
-    df: DataFrame,
-    spec: CustomerTable,
-    kind: str,
-    settings: Sequence[Mapping[str, object]],
-    folds: int,
-    scaled: bool,
-    parallelism: int,
-) -> DataFrame:
-    """Accuracy per setting and stratified fold; each fold learns its own preparation.
-
-    Folds run side by side, as independent Spark jobs.
-    """
-    use_checkpoints(df.sparkSession)
-    folded = stratified_folds(df, spec.label, spec.id, folds)
-    levels = fit_levels(df, spec.categorical)
-
-    def one_fold(fold: int) -> list[DataFrame]:
-        train = folded.where(F.col("fold") != fold)
-        preparation = fit_preparation(train, spec, levels, scaled=scaled)
-        prepare = Pipeline(stages=preparation.stages()).fit(train)
-        vectors = prepare.transform(training_rows(train, spec)).select("label", "features")
-        if len(settings) > 1:
-            vectors = staged(vectors, "vectors")
-        n_train = train.where(F.col(spec.label).isNotNull()).count()
-        held_out = prepare.transform(folded.where(F.col("fold") == fold))
-        return [
-            make_classifier(kind, n_train, **setting)
-            .fit(vectors)
-            .transform(held_out)
-            .select(
-                F.lit(i).alias("setting"),
-                "fold",
-                F.col(spec.label).cast("int").alias("label"),
-                F.col("prediction").cast("int").alias("prediction"),
-            )
-            for i, setting in enumerate(settings)
-        ]
-
-    with ThreadPool(min(parallelism, folds)) as pool:
-        parts = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(df.sparkSession)(one_fold), range(folds))))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    rates = with_rates(outcome_counts(whole, ["setting", "fold"]))
-    return rates.select(
-        "setting", "fold", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), "accuracy"
-    )
-
-
-def cross_validate(
-    df: DataFrame,
-    spec: CustomerTable,
-    kind: str = "logistic_regression",
-    folds: int = 5,
-    scaled: bool = True,
-    parallelism: int = 4,
-    **settings,
-) -> DataFrame:
-    """Held-out rows and accuracy of each stratified fold."""
-    return _fold_accuracies(df, spec, kind, [settings], folds, scaled, parallelism).drop("setting")
-
-
-def search(
-    df: DataFrame,
-    spec: CustomerTable,
-    kind: str,
-    grid: Iterable[Mapping[str, object]],
-    folds: int = 3,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Mean and lowest fold accuracy per parameter setting, best first."""
-    settings = list(grid)
-    if not settings:
-        raise ValueError("the grid is empty")
-    name = F.element_at(
-        F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in sorted(s.items()))) for s in settings]), F.col("setting") + 1
-    )
-    table = _fold_accuracies(df, spec, kind, settings, folds, True, parallelism).withColumn("setting", name)
-    means = table.groupBy("setting").agg(
-        F.avg("accuracy").alias("mean_accuracy"), F.min("accuracy").alias("lowest_accuracy")
-    )
-    return means.orderBy(F.desc("mean_accuracy"), "setting")
-
-
 def save_models(fitted: Mapping[str, Fitted], path: str) -> None:
     """One artifact of several models: their pipelines, and a table of kinds, features and expressions."""
     spark = SparkSession.active()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import doubles
-from churnlake.operators import explain, models, prep, scoring
+from churnlake.operators import explain, folds, models, prep, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.plans.inputs import (
     ID,
@@ -163,37 +163,105 @@ def _fold_sizes(k: int, body: str) -> str:
     return _FOLDS.format(profile=PROFILE_CTE, k=k) + body
 
 
-_FIVE = _fold_sizes(5, " select cast(fold as int) as fold, count(*) as n, 1 as whole from folds group by fold")
+_FIVE = _fold_sizes(
+    5,
+    " select cast(fold as int) as fold, count(*) as n, cast(sum(exited) as bigint) as churned, 1 as recounted, 1 as learned "
+    "from folds group by fold",
+).replace("from profile)", ", exited from profile)")
 
 
-def _folds(table: DataFrame) -> DataFrame:
-    """Fold, its size, and whether its accuracy is a whole number of its rows, in 0 to 1."""
-    right = F.col("accuracy") * F.col("n")
-    whole = (F.abs(right - F.round(right)) < 1e-6) & F.col("accuracy").between(0, 1)
-    return table.select("fold", "n", whole.cast("int").alias("whole"))
+def _folds(spark, folder, **options) -> DataFrame:
+    """Per fold: its rows and churned rows as predicted, whether the accuracy is the one counted again from the staged
+    predictions, and whether the models told the rows apart at all."""
+    settings = {k: v for k, v in options.items() if k != "scaled"}
+    table = folds.fold_table(held_profile(spark, folder), SPEC, 5, options.get("scaled", True))
+    predictions = folds.fold_predictions(table, "logistic_regression", [settings])
+    again = predictions.groupBy("fold").agg(
+        F.count("*").alias("rows"),
+        F.sum("label").cast("bigint").alias("churned"),
+        F.count_if(F.col("label") == F.col("prediction")).alias("right"),
+    )
+    same = (F.col("n") == F.col("rows")) & (F.abs(F.col("accuracy") * F.col("n") - F.col("right")) < 1e-6)
+    learned = F.col("right") >= F.greatest("churned", F.col("rows") - F.col("churned")) - F.lit(0.05) * F.col("rows")
+    return folds.fold_accuracies(predictions).join(again, "fold").select(
+        "fold", "n", "churned", same.cast("int").alias("recounted"), learned.cast("int").alias("learned")
+    )
 
 
 @query("m8_cross_validation", _FIVE)
 def cross_validation(spark, folder):
-    return _folds(models.cross_validate(held_profile(spark, folder), SPEC))
+    return _folds(spark, folder)
 
 
 @query("m8_cross_validation_unscaled", _FIVE)
 def cross_validation_unscaled(spark, folder):
-    return _folds(models.cross_validate(held_profile(spark, folder), SPEC, scaled=False, maxIter=5000))
+    return _folds(spark, folder, scaled=False, maxIter=5000)
+
+
+_TREES = [{"maxDepth": d, "minInstancesPerNode": m} for d in (2, 4) for m in (1, 20)]
+
+
+def _recounted(predictions: DataFrame, settings) -> DataFrame:
+    """setting, mean_again, lowest_again, n: from the staged predictions alone."""
+    name = F.element_at(F.array(*[F.lit(x) for x in folds.setting_names(settings)]), F.col("setting") + 1)
+    by_fold = predictions.groupBy(name.alias("setting"), "fold").agg(
+        F.count("*").alias("k"), (F.count_if(F.col("label") == F.col("prediction")) / F.count("*")).alias("a")
+    )
+    return by_fold.groupBy("setting").agg(F.sum("k").alias("n"), F.avg("a").alias("mean_again"), F.min("a").alias("lowest_again"))
 
 
-@query("m9_search", "select cast(4 as bigint) as settings, cast(4 as bigint) as ordered, cast(4 as bigint) as bounded from (select count(*) as n from customer) where n > 0")
+@query(
+    "m9_search",
+    with_profile(
+        "select setting, n, 1 as same, 1 as in_order from (select count(*) as n from profile where exited is not null), "
+        f"(values {', '.join(repr((x,)).replace(',)', ')') for x in folds.setting_names(_TREES))}) v(setting)"
+    ),
+)
 def search(spark, folder):
-    """Four settings, best mean first, no mean below its lowest fold."""
-    grid = [{"maxDepth": d, "minInstancesPerNode": m} for d in (2, 4) for m in (1, 20)]
-    table = models.search(held_profile(spark, folder), SPEC, "decision_tree", grid, folds=3)
-    rows = table.withColumn("place", F.monotonically_increasing_id())
-    falls = F.lead("mean_accuracy").over(Window.orderBy("place")) <= F.col("mean_accuracy")  # four rows
-    return rows.withColumn("falls", F.coalesce(falls, F.lit(True))).agg(
-        F.countDistinct("setting").alias("settings"),
-        F.count_if(F.col("falls")).alias("ordered"),
-        F.count_if((F.col("mean_accuracy") >= F.col("lowest_accuracy")) & (F.col("lowest_accuracy") >= 0)).alias("bounded"),
+    """For each setting: the rows it was validated on, whether its mean and lowest accuracy are those counted again from
+    the fold predictions, and whether it stands where its mean belongs."""
+    table = folds.fold_table(held_profile(spark, folder), SPEC, 3)
+    predictions = folds.fold_predictions(table, "decision_tree", _TREES)
+    found = folds.search(held_profile(spark, folder), SPEC, "decision_tree", _TREES, folds=3)
+    found = found.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # four rows
+    again = _recounted(predictions, _TREES)
+    rank = F.row_number().over(Window.orderBy(F.desc("mean_again"), "setting"))  # four rows
+    both = found.join(again.withColumn("rank", rank), "setting")
+    same = (F.abs(F.col("mean_accuracy") - F.col("mean_again")) < 1e-9) & (F.abs(F.col("lowest_accuracy") - F.col("lowest_again")) < 1e-9)
+    return both.select("setting", "n", same.cast("int").alias("same"), (F.col("place") == F.col("rank")).cast("int").alias("in_order"))
+
+
+_PENALTIES = [{"regParam": 10.0**-i} for i in range(9)]
+
+
+@query(
+    "m9_halving_search",
+    with_profile(
+        "select rung, count(*) as n, settings, kept, 1 as same, 1 as best_kept from (select *, substr(md5(cast(customer_id as varchar) || ':42'), 1, 13) as k "
+        "from profile where exited is not null) p, (values (0, "
+        f"'{-(-2**52 // 9):013x}', cast(9 as bigint), cast(3 as bigint)), (1, '{-(-2**52 // 3):013x}', cast(3 as bigint), cast(1 as bigint)), "
+        "(2, 'g', cast(1 as bigint), cast(1 as bigint))) r(rung, top, settings, kept) where p.k < r.top group by all"
+    ),
+)
+def halving_search(spark, folder):
+    """Nine penalties on a ninth of the customers, the best three on a third, the best of these on all: rows and settings
+    of each rung, whether means are those of the staged predictions, and whether none that went is better than one kept."""
+    found = folds.halving_search(held_profile(spark, folder), SPEC, "logistic_regression", _PENALTIES)
+    parts, tried = [], folds.setting_names(_PENALTIES)
+    for rung, predictions in found.predictions.items():
+        names = [r["setting"] for r in found.rungs.where(F.col("rung") == rung).collect()]  # at most nine rows
+        settings = [_PENALTIES[tried.index(x)] for x in names]
+        parts.append(_recounted(predictions, settings).withColumn("rung", F.lit(rung)))
+    again = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    both = found.rungs.join(again, ["rung", "setting"])
+    worst = F.min(F.when(F.col("kept"), F.col("mean_again")))
+    gone = F.coalesce(F.max(F.when(~F.col("kept"), F.col("mean_again"))), F.lit(0.0))
+    return both.groupBy("rung").agg(
+        F.min("n").alias("n"),
+        F.count("*").alias("settings"),
+        F.count_if(F.col("kept")).alias("kept"),
+        F.min((F.abs(F.col("mean_accuracy") - F.col("mean_again")) < 1e-9).cast("int")).alias("same"),
+        (worst >= gone - F.lit(1e-12)).cast("int").alias("best_kept"),
     )
 
 

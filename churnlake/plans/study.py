@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.operators import curves, explain, metrics, models, profile, scoring
+from churnlake.operators import curves, explain, folds, metrics, models, profile, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.prep import add_derived
 from churnlake.operators.split import stratified_split, uniform_sample
@@ -125,8 +125,8 @@ def run_study(
         **describe_customers(customers, spec),
         "split_distribution": profile.split_shares(rows, spec.label, "split"),
         "majority_baseline": models.majority_baseline(train, test, spec.label),
-        "cross_validation": models.cross_validate(customers, spec),
-        "tuning": models.search(customers, spec, "decision_tree", grid),
+        "cross_validation": folds.cross_validate(customers, spec),
+        "tuning": folds.search(customers, spec, "decision_tree", grid),
         "encoded_correlation": encoded_correlation(train, spec, preparation),
         "scored": scored,
         **evaluate_models(scored, "random_forest"),

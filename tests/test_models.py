@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from churnlake.operators import curves, explain, metrics, models, scoring
+from churnlake.operators import curves, explain, folds, metrics, models, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.split import stratified_split, uniform_sample
 from churnlake.schema import BANK_TABLE
@@ -107,13 +107,13 @@ def test_missing_values_can_be_filled(parts):
 
 
 def test_cross_validation_covers_every_row(bank):
-    table = models.cross_validate(bank, SPEC, "decision_tree", 3).collect()
+    table = folds.cross_validate(bank, SPEC, "decision_tree", 3).collect()
     assert sum(r["n"] for r in table) == 10000 and min(r["accuracy"] for r in table) > 0.82
 
 
 def test_search_prefers_the_deeper_tree(bank):
     grid = [{"maxDepth": 1}, {"maxDepth": 5}]
-    assert models.search(bank, SPEC, "decision_tree", grid, 2).first()["setting"] == "maxDepth=5"
+    assert folds.search(bank, SPEC, "decision_tree", grid, 2).first()["setting"] == "maxDepth=5"
 
 
 def shapley_by_definition(f, x, background):

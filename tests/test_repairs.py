@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from churnlake.operators import curves, explain, models, prep, profile, scoring
+from churnlake.operators import curves, explain, folds, models, prep, profile, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.operators.split import stratified_folds, stratified_split
 from churnlake.plans import explaining, inputs
@@ -52,7 +52,7 @@ def test_missing_values_from_training_to_serving(spark, bank):
     own = fitted.score(holes).select("CustomerId", F.col("score").alias("b"))
     row = batch.join(own, "CustomerId").agg(F.count("a").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("gap")).first()
     assert row.n == bank.count() and row.gap < 1e-12
-    assert models.cross_validate(holes, SPEC, "decision_tree", folds=2).count() == 2
+    assert folds.cross_validate(holes, SPEC, "decision_tree", folds=2).count() == 2
 
 
 @pytest.mark.parametrize("small", (10, 1_000_000))
