@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import doubles
-from churnlake.operators import explain, folds, models, prep, scoring
+from churnlake.operators import explain, folds, models, newton_boosting, prep, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.plans.inputs import (
     ID,
@@ -127,6 +127,37 @@ def boosted_deep(spark, folder):
     return _scores_of_leaves(spark, folder, "boosted_deep")
 
 
+@query(
+    "m5_newton_boosting",
+    with_split(
+        "select cast(r + 1 as int) as round, count(*) as n, cast(sum(exited) as bigint) as churned, cast(0 as bigint) as wrong_leaves, "
+        "1 as loss_falls from split, range(8) t(r) where split = 'train' and exited is not null group by r"
+    ),
+)
+def newton_boosting_rounds(spark, folder):
+    """For each tree: the training rows in its leaves and their churned rows, the leaves whose weight is not -G / (H + 1) by a
+    fresh count over all training rows, scored from their features, and whether the log-loss fell."""
+    train, _ = _parts(spark, folder)
+    model = newton_boosting.fit_newton_boosting(train, SPEC, rounds=8, depth=3, rate=0.3, penalty=1.0)
+    names = [f"x_{i}" for i in range(len(model.preparation.features))]
+    inputs = train.where(F.col(LABEL).isNotNull()).selectExpr(
+        f"CAST({LABEL} AS double) AS y", *[f"{e} AS {n}" for e, n in zip(model.preparation.expressions, names)]
+    )
+    steps = ", ".join(f"struct({model.margin_sql(r)} AS m, {t.weight_sql(names)} AS w)" for r, t in enumerate(model.trees))
+    told = inputs.selectExpr("y", f"posexplode(array({steps})) AS (r, c)").selectExpr(
+        "r", "y", "c.w AS w", "1D / (1D + exp(-c.m)) AS p"
+    )
+    leaves = told.groupBy("r", "w").agg(
+        F.sum(F.expr("p - y")).alias("g"), F.sum(F.expr("p * (1 - p)")).alias("h"), F.count("*").alias("n"), F.sum("y").alias("y")
+    )
+    falls = doubles([float(b < a) for a, b in zip(model.losses, model.losses[1:])])[F.col("r")].cast("int")
+    return leaves.groupBy("r").agg(
+        F.sum("n").alias("n"),
+        F.sum("y").cast("bigint").alias("churned"),
+        F.count_if(F.abs(F.col("w") + 0.3 * F.col("g") / (F.col("h") + 1.0)) > 1e-9).alias("wrong_leaves"),
+    ).select((F.col("r") + 1).alias("round"), "n", "churned", "wrong_leaves", falls.alias("loss_falls"))
+
+
 @query(
     "m6_predicted_class",
     with_split("select count(*) as n, count(*) as agreeing from split where split = 'test'"),
