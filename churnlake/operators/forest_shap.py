@@ -40,7 +40,7 @@ LEAF_LIMIT, BLOCK_ROWS = 2_000, 50_000
 #: Paths of up to so many conditions are counted in arrays with a place for every mask.
 DENSE_PATH = 16
 CONDITION = "struct<feature: int, low: double, high: double>"
-LEAF_SCHEMA = f"tree int, leaf int, leaf_value double, path array<{CONDITION}>"
+LEAF_SCHEMA = f"tree int, leaf long, leaf_value double, path array<{CONDITION}>"
 
 
 @dataclass(frozen=True)
@@ -97,8 +97,8 @@ def leaf_table(spark: SparkSession, learner) -> DataFrame:
     else:
         count = 1 if single else learner.getNumTrees
         value = F.col("impurityStats")[1] / F.expr("aggregate(impurityStats, 0D, (s, x) -> s + x)") / count
-    leaves = flat.where("leftChild < 0").select("tree", F.col("node").alias("leaf"), value.alias("leaf_value"))
-    steps = paths.selectExpr("tree", "node AS leaf", "inline(way)")
+    leaves = flat.where("leftChild < 0").select("tree", F.col("node").cast("long").alias("leaf"), value.alias("leaf_value"))
+    steps = paths.selectExpr("tree", "CAST(node AS long) AS leaf", "inline(way)")
     boxes = steps.groupBy("tree", "leaf", "feature").agg(F.max("low").alias("low"), F.min("high").alias("high"))
     boxes = boxes.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("feature", "low", "high"))).alias("path"))
     whole = leaves.join(boxes, ["tree", "leaf"], "left")
@@ -241,11 +241,11 @@ def mask_counts(
                     out[1].append(np.full(len(hit), numbers[leaf]))
                     out[2].append(hit)
                     out[3].append(sums)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         columns = [pa.array(np.concatenate(c) if c else [], k, safe=False) for c, k in zip(out, kinds)]
         return pa.Table.from_arrays(columns, ["tree", "leaf", "hit", "n"])
 
-    met = _meet(inputs, inputs.count(), leaves, solve, "tree int, leaf int, hit long, n long", leaf_limit, block_rows)
+    met = _meet(inputs, inputs.count(), leaves, solve, "tree int, leaf long, hit long, n long", leaf_limit, block_rows)
     return met.groupBy("tree", "leaf", "hit").agg(F.sum("n").alias("n"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from churnlake.functions.expressions import quoted, ratio, text_sql
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
 from churnlake.schema import CustomerTable
-from churnlake.session import use_checkpoints
+from churnlake.session import staged, use_checkpoints
 
 MODEL_KINDS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "boosted_deep")
 
@@ -143,6 +143,11 @@ def training_rows(df: DataFrame, spec: CustomerTable) -> DataFrame:
     )
 
 
+def training_table(df: DataFrame, spec: CustomerTable) -> DataFrame:
+    """``training_rows`` written once, for any number of fits."""
+    return staged(training_rows(df, spec), "training")
+
+
 @dataclass(frozen=True)
 class Fitted:
     """A fitted pipeline with the feature names behind its vector."""
@@ -179,14 +184,16 @@ def fit_model(
     scaled: bool = True,
     drop_constant: bool = True,
     fill_missing: bool = True,
+    laid_out: DataFrame | None = None,
     **settings,
 ) -> Fitted:
+    """``laid_out``: the ``training_table`` of ``train``, where several models are fitted to the same rows."""
     preparation = preparation or fit_preparation(
         train, spec, feature_set=feature_set, scaled=scaled, drop_constant=drop_constant, fill_missing=fill_missing
     )
     use_checkpoints(train.sparkSession)
-    rows = training_rows(train, spec)
-    n_train = train.where(F.col(spec.label).isNotNull()).count() if kind == "logistic_regression" else 0
+    rows = training_table(train, spec) if laid_out is None else laid_out
+    n_train = rows.count() if kind == "logistic_regression" else 0
     learner = make_classifier(kind, max(n_train, 1), seed, **settings)
     pipeline = Pipeline(stages=[*preparation.stages(), learner]).fit(rows)
     return Fitted(kind, preparation, pipeline)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.functions.expressions import doubles
-from churnlake.operators import explain, folds, models, newton_boosting, prep, scoring
+from churnlake.operators import deep_forest, explain, folds, models, newton_boosting, prep, scoring
 from churnlake.operators import forest_shap as forest
 from churnlake.plans.inputs import (
     ID,
@@ -127,6 +127,29 @@ def boosted_deep(spark, folder):
     return _scores_of_leaves(spark, folder, "boosted_deep")
 
 
+@query(
+    "m3_deep_forest",
+    with_split("select count(*) as n, cast(sum(exited) as bigint) as churned, cast(0 as bigint) as mixed from split where split = 'train' and exited is not null"),
+)
+def deep_forest_leaves(spark, folder):
+    """A forest without a limit of depth, on all training rows: each training row scores the share of churned rows among
+    those that no cut tells from it, which holds if and only if leaves are pure or cannot be split."""
+    train, _ = _parts(spark, folder)
+    known = train.where(F.col(LABEL).isNotNull())
+    forest_ = deep_forest.fit_deep_forest(known, SPEC, trees=10, bootstrap=False)
+    names = forest_.preparation.features
+    rows = staged(forest.feature_rows(forest_, known, ID), "inputs")
+    outputs = forest.forest_output(rows, forest_.leaves, ID, names)
+    told = rows.select(ID, F.expr(forest_.bins_sql([f"`{n}`" for n in names])).alias("bins")).join(known.select(ID, LABEL), ID).join(outputs, ID)
+    alike = told.groupBy("bins").agg(
+        F.count("*").alias("k"), F.sum(LABEL).alias("c"), F.max(F.abs(F.col("output"))).alias("high"), F.min("output").alias("low")
+    )
+    gap = F.greatest(F.abs(F.col("high") - F.col("c") / F.col("k")), F.abs(F.col("low") - F.col("c") / F.col("k")))
+    return alike.agg(
+        F.sum("k").alias("n"), F.sum("c").cast("bigint").alias("churned"), F.sum(F.when(gap > 1e-9, F.col("k")).otherwise(0)).alias("mixed")
+    )
+
+
 @query(
     "m5_newton_boosting",
     with_split(
@@ -305,7 +328,9 @@ def halving_search(spark, folder):
 )
 def scored_models(spark, folder):
     train, test = _parts(spark, folder)
-    fitted = {kind: _fit(train, kind) for kind in ("logistic_regression", "decision_tree")}
+    laid_out, preparation = models.training_table(train, SPEC), models.fit_preparation(train, SPEC)
+    kinds = ("logistic_regression", "decision_tree")
+    fitted = {kind: models.fit_model(train, SPEC, kind, preparation, laid_out=laid_out) for kind in kinds}
     table = models.scored_table(fitted, test, SPEC)
     return table.where(F.col("score").isNotNull()).groupBy("model").agg(
         F.count("*").alias("n"), F.sum("label").cast("bigint").alias("churned")

@@ -112,8 +112,9 @@ def run_study(
     rows = staged(stratified_split(customers, spec.label, spec.id), "split")
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     preparation = models.fit_preparation(train, spec)
+    laid_out = models.training_table(train, spec)
     fitted = {
-        kind: models.fit_model(train, spec, kind, preparation, **(settings or {}).get(kind, {}))
+        kind: models.fit_model(train, spec, kind, preparation, laid_out=laid_out, **(settings or {}).get(kind, {}))
         for kind in models.MODEL_KINDS
     }
     if model_path:
