@@ -20,7 +20,7 @@ from churnlake.plans.inputs import (
 from churnlake.plans.registry import query
 from churnlake.session import new_path, written
 from churnlake.sources.tables import table
-from churnlake.streaming import monitor
+from churnlake.streaming import alerts, monitor
 
 
 def _scored_profile(spark, folder) -> DataFrame:
@@ -196,6 +196,47 @@ def indicator_windows(spark, folder):
     return _readable(monitor.indicator_windows(table(spark, folder, "events")))
 
 
+_ALERTS = """with recursive windows as (
+  select event_type, date_trunc('day', ts) as s, count(*) as n from events group by 1, 2),
+numbered as (select *, row_number() over (partition by event_type order by s) as i, lag(s) over (partition by event_type order by s) as before from windows),
+steps as (
+  select event_type, s, n, i, cast(null as double) as expected, cast(n as double) as level from numbered where i = 1
+  union all
+  select w.event_type, w.s, w.n, w.i,
+    case when w.s - p.s < interval 4 day then p.level end,
+    case when w.s - p.s < interval 4 day then p.level + 0.3e0 * (w.n - p.level) else cast(w.n as double) end
+  from steps p join numbered w on w.event_type = p.event_type and w.i = p.i + 1)
+select event_type as indicator, s as window_start, n, round(expected, 6) as expected, case when n > expected then 'rise' else 'fall' end as kind
+from steps where abs(n - expected) > 1e0 * sqrt(greatest(expected, 1e0))
+union all
+select a.event_type, a.s + interval 1 day, 0, round(a.level, 6), 'silent'
+from steps a left join steps b on b.event_type = a.event_type and b.i = a.i + 1
+where b.s is null or b.s - a.s >= interval 4 day"""
+
+
+@query("f2_change_alerts", _ALERTS)
+def change_alerts(spark, folder):
+    """All events arrive in four parts, each taken up by a restart of the same two streams (events to closed windows, windows
+    to alerts); events far later close all windows, and their own indicator is left out."""
+    events = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        return spark.createDataFrame([], alerts.ALERTS)
+    days = ((high.date() - low.date()).days + 1) / 4
+    part = F.least(F.floor(F.datediff(F.col("ts").cast("date"), F.lit(low.date())) / days), F.lit(3))
+    source, closed, path, counted, progress = (new_path(spark, x) for x in ("arriving-events", "closed", "alerts", "counted", "progress"))
+    last = events.limit(1).select(F.lit(high).cast("timestamp").alias("ts"), F.lit("(end)").alias("event_type"), "value")
+    ends = [last.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {d} DAYS")) for d in (100, 200)]
+    for rows in [*(events.where(part == i) for i in range(4)), *ends]:
+        rows.write.mode("append").parquet(source)
+        windows = monitor.indicator_windows(monitor.read_stream(spark, source, events.schema))
+        monitor.append_to_table(windows, closed, counted, once=True).awaitTermination()
+        found = alerts.change_alerts(monitor.read_stream(spark, closed, windows.schema), width=1.0)
+        monitor.append_to_table(found, path, progress, once=True).awaitTermination()
+    told = spark.read.schema(alerts.ALERTS).parquet(path).where("indicator <> '(end)'")
+    return told.select("indicator", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("expected", 6).alias("expected"), "kind")
+
+
 @query(
     "f2_alert_share",
     f"""with w as ({_WINDOWS})
