@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from churnlake.plans.inputs import (
 from churnlake.plans.registry import query
 from churnlake.session import new_path, written
 from churnlake.sources.tables import table
-from churnlake.streaming import alerts, monitor
+from churnlake.streaming import alerts, monitor, serving
 
 
 def _scored_profile(spark, folder) -> DataFrame:
@@ -177,6 +178,46 @@ def stream_model_scores(spark, folder):
     )
 
 
+@query(
+    "f1_restarted_serving",
+    with_split(
+        "select count(*) as n, count(distinct customer_id) as customers, count(*) as same_score, cast(2 as bigint) as versions "
+        "from split where split = 'test'"
+    ),
+)
+def restarted_serving(spark, folder):
+    """A stream that breaks off after its second batch is written, and is started again with a newer model: every customer is
+    scored once, by the model of its batch."""
+    rows = whole_split(spark, folder)
+    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+    fitted = [fit_model(train, SPEC, "decision_tree", maxDepth=d) for d in (2, 5)]
+    registry, target, progress, source = (new_path(spark, x) for x in ("registry", "served", "progress", "arriving"))
+    test.repartition(4).write.parquet(source)
+    arriving = monitor.read_stream(spark, source, test.schema, files_per_trigger=1)
+
+    def break_off(batch: int) -> None:
+        if batch == 1:
+            raise RuntimeError("stopped after the batch was written, before it was noted as done")
+
+    serving.publish_model(spark, fitted[0], registry)
+    broken = serving.serve_scores(arriving, registry, target, progress, ID, once=True, after_batch=break_off)
+    try:
+        broken.awaitTermination()
+    except StreamingQueryException:
+        pass
+    serving.publish_model(spark, fitted[1], registry)
+    serving.serve_scores(arriving, registry, target, progress, ID, once=True).awaitTermination()
+    served = serving.served_scores(spark, target)
+    own = [m.score(test).select(ID, F.col("score").alias("own"), F.lit(v).alias("version")) for v, m in enumerate(fitted, 1)]
+    both = served.join(own[0].unionByName(own[1]), [ID, "version"], "left")
+    return both.agg(
+        F.count("*").alias("n"),
+        F.countDistinct(ID).alias("customers"),
+        F.count_if(F.col("score") == F.col("own")).alias("same_score"),
+        F.countDistinct("version").alias("versions"),
+    )
+
+
 _WINDOWS = """select date_trunc('day', ts) as window_start, date_trunc('day', ts) + interval 1 day as window_end, event_type,
   count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total from events group by 1, 2, 3"""
 

@@ -190,6 +190,43 @@ _SEGMENTS = {
 }
 
 
+def _searched_sql() -> str:
+    """All segments of one and two dimensions, with the step-up rule."""
+    names = list(_SEGMENTS)
+    one = [(f"'{d}=' || coalesce({_SEGMENTS[d]}, '(none)')", d) for d in names]
+    two = [
+        (f"'{a}=' || coalesce({_SEGMENTS[a]}, '(none)') || ' & {b}=' || coalesce({_SEGMENTS[b]}, '(none)')", f"{a}, {b}")
+        for i, a in enumerate(names)
+        for b in names[i + 1 :]
+    ]
+    counts = union_all(
+        *[f"select {label} as segment, count(*) as n, cast(sum(exited) as bigint) as churned from known group by {by}" for label, by in one + two]
+    )
+    t = "(1e0 / (1e0 + 0.2316419e0 * abs(z)))"
+    terms = " + ".join(f"({c!r}) * pow({t}, {i})" for i, c in enumerate(ops.TAIL_POLYNOMIAL, 1))
+    tail = f"(0.3989422804014327e0 * exp(-z * z / 2) * ({terms}))"
+    return f""", known as (select * from profile where exited is not null),
+base as (select count(*) t, sum(exited) c from known),
+counts as ({counts}),
+rates as (
+  select segment, n, churned, cast(churned as double) / n as churn_rate, cast(c - churned as double) / (t - n) as rest_rate,
+    sqrt((cast(c as double) / t) * (1 - cast(c as double) / t) * (1e0 / n + 1e0 / (t - n))) as spread
+  from counts, base where n >= 30 and n < t),
+scored as (select *, coalesce((churn_rate - rest_rate) / nullif(spread, 0), 0) as z from rates),
+tails as (select *, case when z >= 0 then {tail} else 1 - {tail} end as p from scored),
+ranked as (select *, count(*) over (order by p range unbounded preceding) as rank, count(*) over () as m from tails),
+last as (select max(rank) as last from ranked where p <= 0.05e0 * rank / m)
+select segment, n, churned, round(churn_rate, 6) as churn_rate, round(rest_rate, 6) as rest_rate, round(z, 5) as z, round(p, 6) as p_value, rank,
+  cast(coalesce(rank <= last, false) as int) as found
+from ranked, last"""
+
+
+@query("a7_segment_search", with_profile(_searched_sql()))
+def segment_search(spark, folder):
+    found = ops.segment_search(profile(spark, folder), "exited", list(_SEGMENTS))
+    return rounded(rounded(found, 6, "churn_rate", "rest_rate", "p_value"), 5, "z")
+
+
 @query(
     "a7_segment_churn",
     with_profile(
