@@ -219,14 +219,15 @@ def _fold_sizes(k: int, body: str) -> str:
 
 _FIVE = _fold_sizes(
     5,
-    " select cast(fold as int) as fold, count(*) as n, cast(sum(exited) as bigint) as churned, 1 as recounted, 1 as learned "
+    " select cast(fold as int) as fold, count(*) as n, cast(sum(exited) as bigint) as churned, 1 as recounted, 1 as calibrated "
     "from folds group by fold",
 ).replace("from profile)", ", exited from profile)")
 
 
 def _folds(spark, folder, **options) -> DataFrame:
     """Per fold: its rows and churned rows as predicted, whether the accuracy is the one counted again from the staged
-    predictions, and whether the models told the rows apart at all."""
+    predictions, and whether the fold's model gives its training rows their churn rate on average, as the minimum with a
+    free intercept does."""
     settings = {k: v for k, v in options.items() if k != "scaled"}
     table = folds.fold_table(held_profile(spark, folder), SPEC, 5, options.get("scaled", True))
     predictions = folds.fold_predictions(table, "logistic_regression", [settings])
@@ -236,9 +237,18 @@ def _folds(spark, folder, **options) -> DataFrame:
         F.count_if(F.col("label") == F.col("prediction")).alias("right"),
     )
     same = (F.col("n") == F.col("rows")) & (F.abs(F.col("accuracy") * F.col("n") - F.col("right")) < 1e-6)
-    learned = F.col("right") >= F.greatest("churned", F.col("rows") - F.col("churned")) - F.lit(0.05) * F.col("rows")
+    weights = folds.fit_logistic_folds(table, [settings])
+    sums = []
+    for k, p in table.preparations.items():
+        w = weights[(0, k)]
+        margin = " + ".join([f"{float(w[-1])!r}D", *[f"({float(a)!r}D) * ({e})" for a, e in zip(w, p.expressions)]])
+        sums.append(F.expr(f"avg(CASE WHEN fold <> {k} THEN 1D / (1D + exp(-({margin}))) - label END)"))
+    gaps = table.rows.agg(*sums).first()
+    calibrated = F.lit(0)
+    for k, gap in zip(table.preparations, gaps):
+        calibrated = F.when(F.col("fold") == k, int(abs(gap) < 1e-6)).otherwise(calibrated)
     return folds.fold_accuracies(predictions).join(again, "fold").select(
-        "fold", "n", "churned", same.cast("int").alias("recounted"), learned.cast("int").alias("learned")
+        "fold", "n", "churned", same.cast("int").alias("recounted"), calibrated.alias("calibrated")
     )
 
 
