@@ -29,7 +29,7 @@ from churnlake.llm.repeated_windows import BYTE_CODES, mix
 from churnlake.session import staged
 
 #: Runs of words that a task adds up before it passes them on.
-BLOCK_RUNS = 4_000_000
+BLOCK_RUNS = 2_000_000
 #: Parts of a language's phrases that are ranked by themselves before the best of all parts are.
 SHARES = 64
 #: For each byte value: the lower-cased byte; whether it parts words; whether it also ends a piece.
@@ -79,7 +79,10 @@ class _Texts:
         return " ".join(self.data[a:b].tobytes().decode("utf-8", "replace") for a, b in words)
 
 
-def _added_up(codes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> pa.RecordBatch:
+def _added_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Sums of the runs in ``held``, which is emptied."""
+    codes, keys, checks = (np.concatenate(c) for c in zip(*held))
+    held.clear()
     order = np.argsort(codes, kind="stable")
     codes, keys, checks = codes[order], keys[order], checks[order]
     new = codes[1:] != codes[:-1]
@@ -106,10 +109,10 @@ def _counts(rows: DataFrame, n: int, least: int, below: np.ndarray | None) -> Da
                 held.append((code, batch.column(0).to_numpy()[texts.owner[start]], texts.checks(start, n)))
                 total += len(start)
             if total > BLOCK_RUNS:
-                yield _added_up(*(np.concatenate(c) for c in zip(*held)))
-                held, total = [], 0
+                yield _added_up(held)
+                total = 0
         if held:
-            yield _added_up(*(np.concatenate(c) for c in zip(*held)))
+            yield _added_up(held)
 
     met = rows.select("key", "lang", "text").mapInArrow(run, "code long, n long, key long, check long").repartition("code")
     sums = met.groupBy("code").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("check").alias("low"), F.max("check").alias("high"))

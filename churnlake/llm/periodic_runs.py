@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import pick, slices
+from churnlake.llm.common import by_bytes, pick, slices
 from churnlake.llm.fingerprints import words_of
 from churnlake.llm.repeated_windows import mix
 from churnlake.session import staged
@@ -142,7 +142,7 @@ def _texts_with_tiles(rows: DataFrame) -> DataFrame:
     periods: row, octave -1, first (the period), borders (the first and last place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in by_bytes(batches, 2):
             texts = batch.column(2).to_pylist()
             words = [(text or b"").split() for text in texts]
             counts = np.array([len(w) for w in words], np.int64)
