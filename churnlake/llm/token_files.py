@@ -216,7 +216,10 @@ def write_token_files(
             coded = [ids[: SAMPLE_IDS * width] for ids, _ in serialize(tokenizer, batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["ids"])
 
-    chosen = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select("text")
+    mark = F.xxhash64("doc_id", "text")
+    last = rows.select(mark.alias("mark")).orderBy("mark").limit(SAMPLE_DOCS).agg(F.max("mark")).first()[0]
+    # only texts up to the last mark travel; the limit counts where repeated rows share it
+    chosen = rows.where(mark <= F.lit(last).cast("long")).limit(SAMPLE_DOCS).select("text")
     trained = train_dictionary([bytes(r["ids"]) for r in chosen.mapInArrow(sample, "ids binary").collect()])
     digest = hashlib.sha256(trained).digest()
     system, path = open_folder(folder)

@@ -74,7 +74,7 @@ def test_pieces_equal_whole_texts(tokenizer, library):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.characters()), max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.characters(codec="utf-8")), max_size=40), max_size=5))
 def test_any_text(tokenizer, library, texts):
     same(tokenizer, library, texts)
 
