@@ -1,31 +1,31 @@
 """Exact Jaccard join of documents over word n-grams, with set-relation skipping.
 
-A document's set holds hashes of its distinct n-grams. All sets are ordered alike: n-grams that many
-documents share come last, by the size class of their count, others by their hash. Two sets that link
-share an n-gram among the first ``n - ceil(t n) + 1`` of each, so only these enter the index lists.
-
-*Answers from similar sets.* Equal sets of a task enter the lists once. In each list the sets of one size
-class are compared with one leader; a set that links with a leader takes over its answers, and from then
-on its list entries are those of the leader's cluster. What a member may have beyond its leader (the
-n-grams it adds) bounds how far its answers can differ: a pair of clusters is compared by its leaders, is done
-if they link, is skipped if the overlap of the leaders and all that members add cannot make a link, and
-only otherwise falls back to the members that share a list.
-
-*Skipping in the lists.* The remaining lists are cut into blocks by set size. A block carries the sizes, the
-furthest reach (n-grams from the entry's position to the end of its set) and the components of its entries.
-An entry skips a block of its own component, of sizes out of ratio, or whose reach cannot give the overlap
-that a link needs; only what is left is enumerated.
+A document's set holds hashes of its distinct n-grams, in the order of the hashes. Sets of like size are cut at the
+same hashes into more parts than two linked sets can have differences, so linked sets agree in at least one
+whole part. The index lists hold the sets with an equal part; a list of single n-grams would grow with the
+square of a corpus whose words are few, a list of parts holds sets that have several n-grams in common.
+
+*Answers from similar sets.* Equal sets of a task enter the lists once. In each list the sets are compared with
+one leader; a set that links with a leader takes over its answers, and from then on its list entries
+are those of the leader's cluster. Lists that still hold several components are contracted in ``ROUNDS`` further
+rounds, each against one leader of a list. What a member may have beyond its leader (the n-grams it adds) bounds how far its
+answers can differ: a pair of clusters is compared by its leaders, is done if they link, is skipped if the
+overlap of the leaders and all that members add cannot make a link, and only otherwise falls back to the
+members that share a list.
+
+*Skipping in the lists.* The remaining lists are cut into blocks by position: the n-grams that a set has before the part.
+A block carries the positions, sizes and components of its entries. Two sets differ at least by the distance of
+their positions, and of what follows the part; an entry skips a block of its own component, of sizes out of
+ratio or of positions too far; only what is left is enumerated.
 
 Sets that are known to be connected are never compared again, so a group of thousands of near copies costs a few
-comparisons for each member. The order of n-grams is a hint: the counts come from tasks that each report
-the n-grams that they met ``LOCAL`` times or more, of which the ``FREQUENT`` most frequent are sent to all;
-any order gives the same links.
+comparisons for each member.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +39,11 @@ from churnlake.llm.components import components
 from churnlake.session import staged
 
 NGRAM, PERCENT = 4, 85
-FREQUENT, LOCAL = 1 << 17, 4
-BLOCK_HASHES = 2_000_000
+ROUNDS = 2
+HOT_SHARE = 1e-4
 BITMAP_BITS = 1 << 25
-PART_PAIRS = 5_000
+PART_PAIRS = 500
+BLOCK_PLACES = 32
 CACHE_WORDS = 100_000
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -59,10 +60,10 @@ class WordHashes(dict):
 
 
 def ngram_hashes(text: bytes | None, known: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text; of the whole sequence if it is shorter."""
+    """Sorted distinct hashes (unsigned) of the n-grams of a text; of the whole sequence if it is shorter."""
     words = (text or b"").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     coded = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     total = np.full(len(words) - width + 1, width * MIX & MASK, np.uint64)
@@ -71,48 +72,60 @@ def ngram_hashes(text: bytes | None, known: WordHashes, size: int) -> np.ndarray
         total ^= total >> np.uint64(29)
         total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    return np.unique(total.view(np.int64))
+    return np.unique(total)
 
 
 def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
 
 
-def _frequent(rows: DataFrame, size: int) -> list[tuple[int, int]]:
-    """(hash, count) of the n-grams that many documents share, most frequent first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, total = WordHashes(), [], 0
-
-        def out() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(counts[often], pa.int64())], ["hash", "n"])
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                held.append(ngram_hashes(text, known, size))
-                total += len(held[-1])
-            if total > BLOCK_HASHES:
-                yield out()
-                held, total = [], 0
-        if held:
-            yield out()
-
-    met = rows.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = met.orderBy(F.desc("n"), "hash").limit(FREQUENT)
-    return [(r["hash"], r["n"]) for r in top.collect()]
-
-
-def _entries(rows: DataFrame, size: int, percent: int, frequent) -> DataFrame:
+class Parts:
+    """How sets are cut. A class holds sizes whose ratio may link; a set is cut once for each class that the
+    smaller set of a link can be in."""
+
+    def __init__(self, percent: int):
+        self.percent, self.highs = percent, [1]
+
+    def classes(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, parts, spare) for a set of n. Linked sets differ in fewer than parts - spare n-grams."""
+        while self.highs[-1] < n:
+            low = self.highs[-1] + 1
+            self.highs.append(100 * low // self.percent)
+        found = []
+        for number in range(bisect_left(self.highs, -(-self.percent * n // 100)), bisect_left(self.highs, n) + 1):
+            least = prefix_size(100 * self.highs[number] // self.percent, self.percent)  # of the largest union
+            spare = 1 + least // 16 if least > 1 else 0
+            found.append((number, least + spare, spare))
+        return found
+
+    def cut(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the parts of a set, and the n-grams before each. Empty parts count only in sets that have
+        more of them than spare parts: two linked sets agree in more parts than there are spare ones."""
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own)))
+        keys, places = [], []
+        for number, parts, spare in self.classes(len(own)):
+            part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            bounds = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            first, last = bounds[:-1], bounds[1:]
+            key = sums[last] - sums[first] + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(MIX)
+            key += np.uint64((number + 1) * 0xD6E8FEB86659FD93 & MASK)
+            key ^= key >> np.uint64(32)
+            key *= np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+            full = last > first
+            if parts - full.sum() > spare:
+                full[:] = True
+            keys.append(key[full])
+            places.append(first[full])
+        return np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int64)
+
+
+def _entries(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of two kinds. Documents (token null): doc, n, copy_of (a document of the same task with an equal
-    set). List entries: token, doc, n, reach, often."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    set). List entries: token, doc, n, place (n-grams before the part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.array(sorted(shared.value), np.int64).reshape(-1, 2)
-        hashes, level = pairs[:, 0], np.frexp(pairs[:, 1].astype(float))[1]
-        known, first = WordHashes(), {}
+        known, first, parts = WordHashes(), {}, Parts(percent)
         for batch in slices(batches):
             docs, sizes, copies, out = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -124,49 +137,45 @@ def _entries(rows: DataFrame, size: int, percent: int, frequent) -> DataFrame:
                     mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     copy = first.setdefault(mark, doc)
                     if copy == doc:
-                        at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-                        rank = np.where(hashes[at] == own, level[at], 0) if len(hashes) else np.zeros(n, int)
-                        order = np.lexsort((own, rank))[: prefix_size(n, percent)]
-                        out.append((doc, n, own[order], rank[order] > 0))
+                        out.append((doc, n, *parts.cut(own)))
                 copies.append(copy)
             lengths = [len(tokens) for _, _, tokens, _ in out]
-            n = np.repeat([n for _, n, _, _ in out], lengths).astype(np.int64)
-            tokens = np.concatenate([t for _, _, t, _ in out] or [np.zeros(0, np.int64)])
-            places = np.concatenate([np.arange(k) for k in lengths] or [np.zeros(0, np.int64)])
-            often = np.concatenate([o for _, _, _, o in out] or [np.zeros(0, bool)])
+            tokens, places = (np.concatenate([o[i] for o in out] or [np.zeros(0, np.int64)]) for i in (2, 3))
+            owners, n = (np.repeat(np.array([o[i] for o in out], np.int64), lengths) for i in (0, 1))
             none = len(docs)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(tokens)]),
-                    pa.concat_arrays([pa.array(docs, pa.int64()), pa.array(np.repeat([d for d, *_ in out], lengths).astype(np.int64))]),
+                    pa.concat_arrays([pa.array(docs, pa.int64()), pa.array(owners)]),
                     pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(n)]),
                     pa.concat_arrays([pa.array(copies, pa.int64()), pa.nulls(len(tokens), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(n - places)]),
-                    pa.concat_arrays([pa.nulls(none, pa.bool_()), pa.array(often)]),
+                    pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(places)]),
                 ],
-                ["token", "doc", "n", "copy_of", "reach", "often"],
+                ["token", "doc", "n", "copy_of", "place"],
             )
 
-    return rows.mapInArrow(run, "token long, doc long, n long, copy_of long, reach long, often boolean")
+    return rows.mapInArrow(run, "token long, doc long, n long, copy_of long, place long")
 
 
-def _lists(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries of lists with two sets or more, each with the leader of its size class in its list.
+def _lists(entries: DataFrame) -> DataFrame:
+    """Entries of lists with two sets or more, each with the leader of its list.
 
-    Rare tokens meet in one window. Lists of frequent tokens may hold a third of all sets: their counts and
-    leaders are reduced before the shuffle, and the entries join them, which Spark splits where it is skewed.
+    Lists meet in one window. Keys of more than ``HOT_SHARE`` of all entries (at most 1 / ``HOT_SHARE`` keys, found
+    by mergeable counters) may hold a third of all sets: their leaders are reduced before a shuffle and sent to
+    the entries.
     """
-    columns = ["token", "doc", "n", "reach", "size_class", "leader"]
-    size_class = f"cast(floor(ln(n) / {math.log(100 / percent)!r}D) AS int) AS size_class"
-    packed = entries.selectExpr("token", "doc", "n * 4294967296L + reach AS sizes", "often")  # narrow rows to shuffle
-    unpacked = ["token", "doc", "sizes div 4294967296L AS n", "sizes % 4294967296L AS reach"]
-    whole, same = Window.partitionBy("token"), Window.partitionBy("token", "size_class")
-    rare = packed.where("NOT often").select("token", "doc", "sizes").withColumn("sets", F.count("*").over(whole))
-    rare = rare.where("sets > 1").selectExpr(*unpacked).selectExpr("*", size_class).withColumn("leader", F.min("doc").over(same))
-    often = packed.where("often").selectExpr(*unpacked).selectExpr("*", size_class)
-    leaders = often.groupBy("token", "size_class").agg(F.min("doc").alias("leader"), F.count("*").alias("k"))
-    leaders = leaders.withColumn("sets", F.sum("k").over(whole)).where("sets > 1").drop("k")
-    return rare.select(columns).unionByName(often.join(leaders, ["token", "size_class"]).select(columns))
+    columns = ["token", "doc", "n", "place", "leader"]
+    found = entries.stat.freqItems(["token"], HOT_SHARE).first()[0] or []
+    hot = entries.sparkSession.createDataFrame([(token,) for token in found if token is not None], "token long")
+    packed = entries.selectExpr("token", "doc", "n * 4294967296L + place AS sizes")  # narrow rows to shuffle
+    unpacked = ["token", "doc", "sizes div 4294967296L AS n", "sizes % 4294967296L AS place", "leader"]
+    whole = Window.partitionBy("token")
+    rare = packed.join(F.broadcast(hot), "token", "left_anti")  # bounded by 1 / HOT_SHARE keys
+    rare = rare.withColumn("sets", F.count("*").over(whole)).withColumn("leader", F.min("doc").over(whole)).where("sets > 1")
+    often = packed.join(F.broadcast(hot), "token", "left_semi")
+    leaders = often.groupBy("token").agg(F.min("doc").alias("leader"), F.count("*").alias("sets")).where("sets > 1")
+    often = often.join(F.broadcast(leaders), "token")
+    return rare.selectExpr(*unpacked).unionByName(often.selectExpr(*unpacked)).select(columns)
 
 
 class _Verifier:
@@ -233,32 +242,72 @@ class _Verifier:
         return staged(met.mapInArrow(run, "a long, b long, n_a long, n_b long, shared long, linked boolean"), "overlaps")
 
 
-def _cluster_pairs(lists: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """a, b: clusters of different components that share a list, after skipping blocks."""
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Lists that hold more than one component."""
+    mixed = lists.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return staged(lists.join(mixed.select("token"), "token"), "open-lists")
+
+
+def _open_lists(lists: DataFrame, clusters: DataFrame) -> DataFrame:
+    """token, cluster, component, low and high (sizes), first and last (positions)."""
     joined = lists.join(clusters, "doc", "left").selectExpr(
-        "token", "coalesce(leader_of, doc) AS cluster", "coalesce(component, doc) AS component", "n", "reach", "size_class"
+        "token", "coalesce(leader_of, doc) AS cluster", "coalesce(component, doc) AS component", "n", "place"
     )
     collapsed = joined.groupBy("token", "cluster", "component").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.min("size_class").alias("block")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("place").alias("first"), F.max("place").alias("last")
     )
-    collapsed = staged(collapsed, "collapsed")
-    mixed = collapsed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_lists = staged(collapsed.join(mixed.select("token"), "token"), "open-lists")
-    blocks = open_lists.groupBy("token", "block").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.max("reach").alias("reach"), F.max("component").alias("last")
+    return _mixed(staged(collapsed, "collapsed"))
+
+
+def _fits(percent: int, x: str, y: str) -> str:
+    """Whether entries x and y can hold linked sets. Linked sets of a and b n-grams differ in at most
+    (100 - percent) / (100 + percent) * (a + b)."""
+    apart = f"greatest(0L, {x}.first - {y}.last, {y}.first - {x}.last)"
+    return (
+        f"100L * {x}.high >= {percent}L * {y}.low AND 100L * {y}.high >= {percent}L * {x}.low"
+        f" AND {100 + percent}L * {apart} <= {100 - percent}L * ({x}.high + {y}.high)"
     )
 
-    def fits(x: str, y: str) -> str:
-        return (
-            f"100L * {x}.high >= {percent}L * {y}.low AND 100L * {y}.high >= {percent}L * {x}.low"
-            f" AND {100 + percent}L * least({x}.reach, {y}.reach) >= {percent}L * ({x}.low + {y}.low)"
-        )
 
-    probes = open_lists.alias("x").join(blocks.alias("k"), F.expr(f"x.token = k.token AND x.component < k.last AND {fits('x', 'k')}"))
+def _star_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: each cluster b with the leader a of another component with which it shares most lists."""
+    leaders = open_lists.groupBy("token").agg(F.min(F.struct("component", "cluster", "low", "high", "first", "last")).alias("s"))
+    leaders = leaders.select("token", "s.*")
+    met = open_lists.alias("y").join(
+        leaders.alias("x"), F.expr(f"x.token = y.token AND x.component <> y.component AND {_fits(percent, 'x', 'y')}")
+    )
+    counted = met.selectExpr("x.cluster AS a", "y.cluster AS b").groupBy("a", "b").count()
+    best = counted.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("m"))).alias("s"))
+    return best.selectExpr("-s.m AS a", "b")
+
+
+def _contracted(open_lists: DataFrame, linked: DataFrame) -> DataFrame:
+    """The lists that are still open once the components of linked clusters are one."""
+    of = staged(open_lists.select("cluster", "component").distinct(), "cluster-components")
+    a, b = (of.selectExpr(f"cluster AS {x}", f"component AS {y}") for x, y in (("a", "u"), ("b", "v")))
+    joined = components(linked.join(a, "a").join(b, "b").selectExpr("u AS a", "v AS b"))
+    moved = open_lists.join(joined.selectExpr("node AS component", "component AS whole"), "component", "left")
+    columns = ["token", "cluster", "coalesce(whole, component) AS component", "low", "high", "first", "last"]
+    return _mixed(staged(moved.selectExpr(*columns), "contracted"))
+
+
+def _cluster_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: clusters of different components that share a list, after skipping blocks."""
+    open_lists = open_lists.withColumn("block", F.expr(f"first div {BLOCK_PLACES}"))
+    blocks = open_lists.groupBy("token", "block").agg(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.max("component").alias("most"),
+    )
+    probes = open_lists.alias("x").join(
+        blocks.alias("k"), F.expr(f"x.token = k.token AND x.component < k.most AND {_fits(percent, 'x', 'k')}")
+    )
     probes = probes.selectExpr("x.*", "k.block AS other_block")
     met = probes.alias("x").join(
         open_lists.alias("y"),
-        F.expr(f"x.token = y.token AND x.other_block = y.block AND x.component < y.component AND {fits('x', 'y')}"),
+        F.expr(f"x.token = y.token AND x.other_block = y.block AND x.component < y.component AND {_fits(percent, 'x', 'y')}"),
     )
     return met.selectExpr("x.cluster AS a", "y.cluster AS b").distinct()
 
@@ -278,10 +327,10 @@ def jaccard_components(
     """
     rows = pick(docs, doc=id_col, text=text_col)
     rows = rows.select(rows.doc.cast("long").alias("doc"), rows.text.cast("binary").alias("text"))
-    entries = staged(_entries(rows, ngram, percent, _frequent(rows, ngram)), "entries")
+    entries = staged(_entries(rows, ngram, percent), "entries")
     known = entries.where("token IS NULL")
     copies = known.where("copy_of <> doc").selectExpr("doc AS a", "copy_of AS b")
-    lists = staged(_lists(entries.where("token IS NOT NULL"), percent), "lists")
+    lists = staged(_lists(entries.where("token IS NOT NULL")), "lists")
     verifier = _Verifier(rows, ngram, percent)
 
     # Each set and the leader with which it shares most lists.
@@ -301,8 +350,17 @@ def jaccard_components(
         "clusters",
     )
 
-    # Leaders of different components; what their members may add decides whether members must be looked at.
-    met = verifier.overlaps(_cluster_pairs(lists, clusters, percent))
+    # Open lists are contracted round by round, each cluster against one leader.
+    open_lists = _open_lists(lists, clusters)
+    for _ in range(ROUNDS):
+        if open_lists.isEmpty():
+            break
+        linked = verifier.overlaps(_star_pairs(open_lists, percent)).where("linked").select("a", "b")
+        links = links.unionAll(linked)
+        open_lists = _contracted(open_lists, linked)
+
+    # Leaders of components that are still apart; what their members may add decides whether members must be looked at.
+    met = verifier.overlaps(_cluster_pairs(open_lists, percent))
     linked = met.where("linked").select("a", "b")
     members = lists.select("doc", "n").distinct().join(clusters, "doc").groupBy("leader_of")
     spread = members.agg(F.min("n").alias("low"), F.max("added").alias("most"), F.count("*").alias("k"))
