@@ -40,7 +40,8 @@ from churnlake.session import staged
 
 NGRAM, PERCENT = 4, 85
 ROUNDS = 2
-HOT_SHARE = 1e-4
+HOT_SHARE, LOCAL = 1e-4, 4
+BLOCK_ENTRIES = 1_000_000
 BITMAP_BITS = 1 << 25
 PART_PAIRS = 500
 BLOCK_PLACES = 32
@@ -157,16 +158,48 @@ def _entries(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "token long, doc long, n long, copy_of long, place long")
 
 
+def _hot_keys(entries: DataFrame) -> list[int]:
+    """Keys that hold more than ``HOT_SHARE`` of all entries; at most 1 / ``HOT_SHARE``. A key with twice that share
+    is always among them, or else no block of entries holds it ``LOCAL`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= max(LOCAL, HOT_SHARE * total)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(keys[often])]),
+                    pa.concat_arrays([pa.array([total], pa.int64()), pa.array(counts[often], pa.int64())]),
+                ],
+                ["token", "k"],
+            )
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            total += batch.num_rows
+            if total >= BLOCK_ENTRIES:
+                yield out()
+                held, total = [], 0
+        if held:
+            yield out()
+
+    counted = staged(entries.select("token").mapInArrow(run, "token long, k long").groupBy("token").agg(F.sum("k").alias("k")), "key-counts")
+    total = counted.where("token IS NULL").first()
+    if total is None:
+        return []
+    return [r["token"] for r in counted.where(F.col("token").isNotNull() & (F.col("k") > HOT_SHARE * total["k"])).collect()]
+
+
 def _lists(entries: DataFrame) -> DataFrame:
     """Entries of lists with two sets or more, each with the leader of its list.
 
-    Lists meet in one window. Keys of more than ``HOT_SHARE`` of all entries (at most 1 / ``HOT_SHARE`` keys, found
-    by mergeable counters) may hold a third of all sets: their leaders are reduced before a shuffle and sent to
-    the entries.
+    Lists meet in one window. Hot keys may hold a third of all sets: their leaders are reduced before a shuffle
+    and sent to the entries.
     """
     columns = ["token", "doc", "n", "place", "leader"]
-    found = entries.stat.freqItems(["token"], HOT_SHARE).first()[0] or []
-    hot = entries.sparkSession.createDataFrame([(token,) for token in found if token is not None], "token long")
+    hot = entries.sparkSession.createDataFrame([(token,) for token in _hot_keys(entries)], "token long")
     packed = entries.selectExpr("token", "doc", "n * 4294967296L + place AS sizes")  # narrow rows to shuffle
     unpacked = ["token", "doc", "sizes div 4294967296L AS n", "sizes % 4294967296L AS place", "leader"]
     whole = Window.partitionBy("token")
