@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from churnlake.llm.components import components
-from churnlake.llm.ngram_jaccard import jaccard_components, prefix_size
+from churnlake.llm.ngram_jaccard import Parts, jaccard_components, prefix_size
 
 
 def brute(rows, size=4, percent=85):
@@ -107,6 +108,16 @@ def test_prefix_size(n, percent):
     assert prefix_size(n, percent) == n - -(-percent * n // 100) + 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60), st.sampled_from((50, 80, 85, 100)), st.integers(0, 1 << 32))
+def test_linked_sets_share_a_part(common, left, right, percent, seed):
+    hashes = np.random.default_rng(seed).integers(0, 1 << 64, common + left + right, np.uint64)
+    a, b = np.unique(hashes[: common + left]), np.unique(np.concatenate((hashes[:common], hashes[common + left :])))
+    if 100 * common >= percent * (common + left + right):
+        cut = Parts(percent)
+        assert set(cut.cut(a)[0]) & set(cut.cut(b)[0])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(70)] + [(100, 200), (200, 100), (300, 300)] + [(1000, 1001 + i) for i in range(50)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
