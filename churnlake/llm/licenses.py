@@ -1,12 +1,14 @@
 """License scans with a positional index of rare tokens.
 
-Each template is a run of words. The corpus tells how rare the licence words are (one pass that counts, for
-every licence word, the documents that hold it). The ``RARE`` words of highest IDF of each template are its
-postings: (word, template, position). A file whose words meet no posting is done; the words of any other
-file look up the postings, and every meeting proposes a start of the template: the word's position in the
-file less its position in the template. A start on which enough postings agree is a candidate; the words that
-stand there are compared with the template, and the template's mandatory phrases must stand at their
-places word for word. Every place of every template is found; there is no limit on words or places.
+Each template is a run of words with mandatory phrases in it. The corpus tells how rare the words of the phrases are
+(one pass that counts, for every such word, the documents that hold it). The ``RARE`` words of highest IDF among a
+template's phrases are its postings: (word, template, position). A file whose words meet no posting is done; in any
+other file each posting word looks up the postings, and every meeting proposes a start of the template: the word's
+position in the file less its position in the template. Where the phrases stand, all postings of the template agree,
+whatever the words around them; so a start is a candidate only if all agree, and then the mandatory phrases must stand
+at their places word for word. Every place of every template is found, also where the words before or after the phrases
+differ or are cut off by the end of the text; which places a file has depends on no other file. There is no limit on
+words or places.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from churnlake.llm.common import NO_WORD, lower_ascii, pick
 
-RARE, AGREE = 3, 2
+RARE = 3
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,59 @@ NOTICES = (
         "this is free and unencumbered software released into the public domain",
         ("free and unencumbered software",),
     ),
+    Template(
+        "lgpl",
+        "under the terms of the gnu lesser general public license as published by the free software foundation",
+        ("gnu lesser general public license",),
+    ),
+    Template(
+        "agpl-3.0",
+        "under the terms of the gnu affero general public license as published by the free software foundation",
+        ("gnu affero general public license",),
+    ),
+    Template(
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation",
+        ("free software you can redistribute it and or modify it", "gnu general public license"),
+    ),
+    Template(
+        "bsd-endorsement",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+        " derived from this software without specific prior written permission",
+        ("endorse or promote products derived from this software", "prior written permission"),
+    ),
+    Template(
+        "boost",
+        "distributed under the boost software license version 1 0",
+        ("boost software license",),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable"
+        " for any damages arising from the use of this software",
+        ("provided as is without any express or implied warranty", "in no event will the authors be held liable"),
+    ),
+    Template(
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+        ("eclipse public license 2 0",),
+    ),
+    Template(
+        "cc0-1.0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        ("waived all copyright and related or neighboring rights",),
+    ),
+    Template(
+        "cc-by-sa-4.0",
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        ("creative commons attribution sharealike 4 0 international",),
+    ),
+    Template(
+        "cc-by-nc-4.0",
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        ("creative commons attribution noncommercial 4 0 international",),
+    ),
 )
 
 
@@ -94,14 +149,22 @@ def document_counts(docs: DataFrame, vocabulary: Sequence[str], text_col: str =
     return {word: counts.get(word, 0) for word in vocabulary}
 
 
+def phrase_places(template: Template) -> list[tuple[int, list[str]]]:
+    """Where each mandatory phrase stands in its template, and its words."""
+    own, places = template.text.split(), []
+    for phrase in template.phrases:
+        parts = phrase.split()
+        places.append((next(i for i in range(len(own)) if own[i : i + len(parts)] == parts), parts))
+    return places
+
+
 def rare_postings(templates: Sequence[Template], counts: dict[str, int]) -> list[tuple[str, str, int]]:
-    """(word, template, position): the rarest words of each template that occur at all; of equal ones the first.
-    A word that no text holds finds nothing, so it is taken last."""
+    """(word, template, position): the rarest words of each template's phrases; of equal ones the first."""
     postings = []
     for template in templates:
-        words = template.text.split()
-        rarest = sorted(range(len(words)), key=lambda i: (not counts[words[i]], counts[words[i]], i))[:RARE]
-        postings += [(words[i], template.label, i) for i in rarest]
+        mandatory = sorted({(at + i, word) for at, parts in phrase_places(template) for i, word in enumerate(parts)})
+        rarest = sorted(mandatory, key=lambda m: (counts[m[1]], m[0]))[:RARE]
+        postings += [(word, template.label, position) for position, word in rarest]
     return postings
 
 
@@ -111,13 +174,8 @@ def _template_table(spark, templates: Sequence[Template], postings) -> DataFrame
     known = {t.label: t for t in templates}
     for word, label, position in postings:
         template = known[label]
-        own = template.text.split()
-        phrases = []
-        for phrase in template.phrases:
-            parts = phrase.split()
-            phrases.append((next(i for i in range(len(own)) if own[i : i + len(parts)] == parts), parts))
-        agree = min(AGREE, sum(p[1] == label for p in postings))
-        rows.append((word, label, position, own, phrases, agree, template.base))
+        agree = sum(p[1] == label for p in postings)
+        rows.append((word, label, position, template.text.split(), phrase_places(template), agree, template.base))
     kind = "word string, label string, position int, own array<string>, phrases array<struct<at: int, words: array<string>>>, agree int, base boolean"
     return spark.createDataFrame(rows, kind)
 
@@ -130,8 +188,9 @@ def scan_licenses(
 ) -> DataFrame:
     """doc_id, n_words, places array<struct<start, label, base, score>>, score of every row.
 
-    places: every verified place of every template, ascending by its first word (counted from 0); score
-    of a place: the share of the template's words that stand there; of a row: the largest, or 0.
+    places: every place where the phrases of a template stand, ascending by its first word (counted from 0; a
+    template whose first words would lie before the text starts at 0); score of a place: the share of the template's
+    words that stand there; of a row: the largest, or 0.
 
     Null and empty texts have no words and no places. Repeated rows and null ids are rows like any other;
     an empty table gives no rows. Other columns are ignored.
@@ -139,37 +198,44 @@ def scan_licenses(
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         "doc_id", words_of(F.col("text").cast("string")).alias("words")
     )
-    vocabulary = sorted({word for t in templates for word in t.text.split()})
+    vocabulary = sorted({word for t in templates for phrase in t.phrases for word in phrase.split()})
     counts = document_counts(docs, vocabulary, text_col)
     # A template with a mandatory word that no text holds cannot stand anywhere.
     templates = [t for t in templates if all(counts[word] for phrase in t.phrases for word in phrase.split())]
     postings = rare_postings(templates, counts)
-    meets = F.arrays_overlap("words", _array(sorted({p[0] for p in postings})))
+    words_met = _array(sorted({p[0] for p in postings}))
+    meets = F.arrays_overlap("words", words_met)
     none = F.expr("CAST(array() AS array<struct<start: bigint, label: string, base: boolean, score: double>>)")
     plain = rows.where(~meets).select(
         "doc_id", F.size("words").cast("long").alias("n_words"), none.alias("places"), F.lit(0.0).alias("score")
     )
     index = F.broadcast(_template_table(docs.sparkSession, templates, postings))
+    numbered = F.transform("words", lambda word, at: F.struct(at.alias("at"), word.alias("word")))
     met = (
         rows.where(meets)
         .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.posexplode("words").alias("at", "word"))
-        .join(index, "word", "left")
+        .select(
+            "row", "doc_id", F.size("words").cast("long").alias("n_words"), "words",
+            F.explode(F.filter(numbered, lambda x: F.array_contains(words_met, x["word"]))).alias("x"),
+        )
+        .select("row", "doc_id", "n_words", "words", "x.at", "x.word")
+        .join(index, "word")
         .selectExpr(
             "row", "doc_id", "n_words", "label", "at - position AS start",
-            "CASE WHEN at >= position THEN slice(words, at - position + 1, size(own)) END AS region",
+            "concat(array_repeat(cast(null AS string), greatest(0, position - at)),"
+            " slice(words, greatest(0, at - position) + 1, size(own) - greatest(0, position - at))) AS region",
             "own", "phrases", "agree", "base",
         )
     )
     proposed = met.groupBy("row", "doc_id", "n_words", "label", "start").agg(
-        F.count("label").alias("met"), *[F.first(c).alias(c) for c in ("region", "own", "phrases", "agree", "base")]
+        F.count("*").alias("met"), *[F.first(c).alias(c) for c in ("region", "own", "phrases", "agree", "base")]
     )
     same = "size(filter(sequence(1, size(own)), i -> get(region, i - 1) = own[i - 1])) / size(own)"
     stands = "forall(phrases, p -> slice(region, p.at + 1, size(p.words)) = p.words)"
-    verified = f"label IS NOT NULL AND region IS NOT NULL AND met >= agree AND {stands}"
     checked = proposed.selectExpr(
         "row", "doc_id", "n_words",
-        f"CASE WHEN {verified} THEN struct(cast(start AS bigint) AS start, label, base, {same} AS score) END AS place",
+        f"CASE WHEN met = agree AND {stands} THEN"
+        f" struct(cast(greatest(0, start) AS bigint) AS start, label, base, {same} AS score) END AS place",
     )
     scanned = (
         checked.groupBy("row", "doc_id", "n_words")
