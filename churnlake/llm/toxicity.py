@@ -2,8 +2,10 @@
 
 Token scores are log-odds between toxic and other labelled documents with a Dirichlet prior (in how many
 documents a token occurs, so one document that repeats a line counts once). Tokens are words; a word that
-the fit has not met scores as its longest known beginning. Only tokens whose log-odds stand out by
-``Z_MIN`` standard errors score; any other token costs ``DRIFT``. Every occurrence of a token scores.
+the fit has not met scores as its longest known beginning. Tokens whose log-odds, of either sign, stand out by
+``Z_MIN`` standard errors score them: those of toxic texts gain, those of other texts cost. Any other token costs
+``DRIFT``. Every occurrence of a token scores. A token needs evidence in sampled documents to stand out, so the number of
+scores is bounded by the sample, and none is left out.
 
 A linear scan (after Ruzzo and Tompa) yields all maximal-scoring segments of a text. Their scores are
 calibrated as extreme values: for a text of n tokens from other documents the best score S follows
@@ -32,7 +34,6 @@ from churnlake.llm.common import WORD_BYTES, kept, pick, share, slices
 from churnlake.llm.decontamination import character_spans
 
 FIT_ROWS = 20_000
-MAX_WEIGHTS = 100_000
 PRIOR, FLOOR = 10_000.0, 0.5
 Z_MIN, ODDS_MIN, DRIFT = 2.5, 1.0, 0.2
 BEGINNINGS = (6, 5, 4)
@@ -88,7 +89,7 @@ class Weights(dict):
 def maximal_segments(places: list[int], values: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """(first token, token after the last, score) of all maximal-scoring segments, left to right.
 
-    places, values: ascending tokens with their positive scores; all others cost ``drift``. Every kept
+    places, values: ascending tokens with their scores, of either sign; all others cost ``drift``. Every kept
     segment remembers the nearest one before it that begins lower, so the search skips what lies between
     and the scan stays linear.
     """
@@ -97,6 +98,8 @@ def maximal_segments(places: list[int], values: list[float], drift: float = DRIF
     for place, value in zip(places, values):
         before = total - drift * (place - done)
         total, done = before + value, place + 1
+        if value <= 0:
+            continue
         first = place
         j = len(kept) - 1
         while True:
@@ -198,10 +201,9 @@ def fit_toxicity(
         prior = f"({FLOOR}D + {PRIOR}D * ({of_toxic!r}D * t + {of_other!r}D * o) / {every!r}D)"
         whole = f"{PRIOR + FLOOR * n_tokens}D"
         odds = f"ln((t + {prior}) / ({n_toxic} + {whole} - t - {prior})) - ln((o + {prior}) / ({n_other} + {whole} - o - {prior}))"
-        scored = counted.where("t > 0").selectExpr("token", f"{odds} AS odds", f"sqrt(1 / (t + {prior}) + 1 / (o + {prior})) AS error")
-        scored = scored.where(f"odds >= {ODDS_MIN} AND odds >= {Z_MIN} * error")
-        top = scored.orderBy(F.desc(F.col("odds") / F.col("error")), "token").limit(MAX_WEIGHTS)
-        weights = {bytes(r["token"]): r["odds"] for r in top.select("token", "odds").collect()}
+        scored = counted.selectExpr("token", f"{odds} AS odds", f"sqrt(1 / (t + {prior}) + 1 / (o + {prior})) AS error")
+        scored = scored.where(f"abs(odds) >= {ODDS_MIN} AND abs(odds) >= {Z_MIN} * error")
+        weights = {bytes(r["token"]): r["odds"] for r in scored.select("token", "odds").collect()}
     shared = share(docs.sparkSession.sparkContext, weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +217,7 @@ def fit_toxicity(
             )
 
     held = rows.where("fold = 0").select("text", "toxic").mapInArrow(measure, "toxic int, n long, scores array<double>")
-    held = held.orderBy("toxic", "n", "scores").collect()  # a quarter of 2 * FIT_ROWS rows
+    held = sorted(held.collect(), key=lambda r: (r["toxic"], r["n"], r["scores"]))  # a quarter of 2 * FIT_ROWS rows
     stand = np.array([stands_for[r["toxic"]] for r in held])
     part = float(stand @ [r["toxic"] for r in held] / stand.sum()) if held else 0.0
     if part in (0.0, 1.0) or not weights:

@@ -1,7 +1,6 @@
 import random
 import re
 
-
 from churnlake.llm.licenses import BASE, NOTICES, Template, phrase_places, rare_postings, scan_licenses
 
 

@@ -1,5 +1,9 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ def by_definition(scores):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from((0, 0, 0, 3, 5, 11)), max_size=25))
+@given(st.lists(st.sampled_from((0, 0, 0, 3, 5, 11, -1, -7)), max_size=25))
 def test_maximal_segments(values):
     drift = 2.0
     scores = [float(v) if v else -drift for v in values]
@@ -40,6 +44,66 @@ def test_maximal_segments(values):
     assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
 
 
+def odds_by_definition(texts, toxic):
+    """Log-odds of all words and beginnings with a Dirichlet prior of the whole sample, and their standard errors."""
+    counts = Counter(), Counter()
+    for text, label in zip(texts, toxic):
+        own = set(text.split())
+        counts[label].update(own | {w[:n] + "*" for w in own for n in (6, 5, 4) if len(w) > n})
+    n = [sum(c.values()) for c in counts]
+    every = set(counts[0]) | set(counts[1])
+    prior = {w: 0.5 + 10_000 * (counts[0][w] + counts[1][w]) / sum(n) for w in every}
+    whole = sum(prior.values())
+    of = lambda w, k: math.log((counts[k][w] + prior[w]) / (n[k] + whole - counts[k][w] - prior[w]))
+    error = lambda w: math.sqrt(sum(1 / (counts[k][w] + prior[w]) for k in (0, 1)))
+    told = {w: (of(w, 1) - of(w, 0), error(w)) for w in every}
+    return {w.encode(): odds for w, (odds, e) in told.items() if abs(odds) >= max(1.0, 2.5 * e)}
+
+
+def test_weights_and_scores_against_brute_force(spark, documents):
+    """Both signs: calm words stand only in texts that are not toxic."""
+    rows, labels = corpus(3, 2400)
+    rows = [(i, t if i % 6 == 0 else t + " kindly") for i, t in rows]
+    docs = documents(rows).repartition(4)
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit_toxicity(docs, told)
+    fold = {r.doc_id: r.fold for r in told.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)).alias("fold")).collect()}
+    own = [(t, labels[i][2]) for i, t in rows if fold[i]]
+    expected = odds_by_definition(*zip(*own))
+    assert set(model.weights) == set(expected) and min(expected.values()) < 0 < max(expected.values())
+    assert all(model.weights[w] == pytest.approx(v) for w, v in expected.items())
+
+    def facts(text):
+        words, values = text.split(), []
+        for w in words:
+            heads = [w, *[w[:n] + "*" for n in (6, 5, 4) if len(w) > n]]
+            values.append(next((expected[h.encode()] for h in heads if h.encode() in expected), -0.2))
+        found = [s for *_, s in by_definition(values)]
+        chances = [-math.expm1(-math.exp(model.log_k + math.log(len(words)) - model.rate * s)) for s in found]
+        known = [-math.log(max(c, 1e-300)) for c in chances]
+        return max(found, default=0.0), len(words), max(known, default=0.0), sum(known)
+
+    # The extreme-value fit: two quantiles of the best scores of calibration texts that are not toxic.
+    best, size = np.array([facts(t)[:2] for i, t in rows if not fold[i] and not labels[i][2]]).T
+    middle, high = np.quantile(best, [0.5, 0.9])
+    rate = min(max((math.log(math.log(2)) - math.log(-math.log(0.9))) / max(high - middle, 1e-6), 0.2), 2.0)
+    assert model.rate == pytest.approx(rate)
+    assert model.log_k == pytest.approx(np.median(rate * best - np.log(size)) + math.log(math.log(2)))
+    # The curve: no better one nearby for the calibration texts.
+    held = [(*facts(t)[2:], labels[i][2]) for i, t in rows if not fold[i]]
+    loss = lambda c: sum(
+        math.log1p(math.exp(-(2 * y - 1) * (c[0] + c[1] * b + c[2] * math.log1p(s)))) for b, s, y in held
+    ) + 0.5 * (1e-6 * c[0] ** 2 + 1e-2 * (c[1] ** 2 + c[2] ** 2))
+    for k in range(3):
+        for step in (-1e-2, 1e-2):
+            assert loss(model.curve) <= loss([c + step * (j == k) for j, c in enumerate(model.curve)]) + 1e-9
+    text = dict(rows)
+    for r in score_toxicity(docs, model).where("doc_id < 200").collect():
+        _, _, top, total = facts(text[r.doc_id])
+        a, b, c = model.curve
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * top + c * math.log1p(total)))), abs=1e-6)
+
+
 def corpus(seed, n=900):
     pick = random.Random(seed)
     rows, labels = [], []
