@@ -85,6 +85,25 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20
             start = end
 
 
+def keep_rows(docs: DataFrame, text_col: str, make_test: Callable[[], Callable[[bytes], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text passes a test, with all their columns, in one narrow pass.
+
+    make_test is called once in each task and gives the test; a null text is tested as the empty one.
+    Rows are told apart by position only, so ids and names of other columns may be null, repeated or alike.
+    """
+    names = docs.columns
+    at = names.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make_test()
+        for batch in slices(batches):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([test(text or b"") for text in texts], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def list_column(values, lengths, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values and the length of each list."""
     offsets = [0]

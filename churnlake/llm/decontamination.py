@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import WORD_BYTES, kept, pick, share, slices
+from churnlake.llm.common import WORD_BYTES, keep_rows, kept, pick, share, slices
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -137,6 +137,30 @@ def find_contamination(
     return state
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The rows without any window of an item, with all their columns: those that ``find_contamination`` gives no
+    hits. Each row is judged by its own text; a text is left at its first match."""
+    context, clean = docs.sparkSession.sparkContext, docs
+    for block in _blocks(benchmark, item_col, item_text_col):
+        clean = keep_rows(clean, text_col, _no_match(share(context, block), window))
+    return clean
+
+
+def _no_match(shared, window: int):
+    def make_test():
+        windows = kept(shared, lambda items: WindowAutomaton(items, window))
+        return lambda text: next(windows.matches(text.translate(WORD_BYTES).split()), None) is None
+
+    return make_test
+
+
 def _scanner(shared, window: int, last: bool):
     """A pass over texts with the automaton of one block: adds hit ranges and items; the last one finishes."""
 

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlake.llm.bitmaps import marked
 from churnlake.llm.common import pick, slices
 from churnlake.llm.components import components
 from churnlake.session import staged
@@ -429,3 +430,22 @@ def jaccard_components(
     return known.join(final, known.doc == final.node, "left").selectExpr(
         "doc AS doc_id", "n AS n_shingles", "coalesce(component, doc) AS component_id"
     )
+
+
+def drop_near_copies(
+    docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows whose id is the smallest of its component, with all their columns.
+
+    Rows without id, or without words, belong to no group and stay; of rows that repeat an id all stay or go, and of
+    equal texts the one with the smallest id stays. Only ids of rows that go, and rows that a bitmap of such ids holds,
+    are shuffled; where the bitmap fills up more rows travel, and the result stays the same.
+    """
+    groups = jaccard_components(docs, ngram, percent, id_col, text_col)
+    gone = staged(groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near-copies")
+    names = docs.columns
+    key = F.col(f"c{names.index(id_col)}").cast("long")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = marked(plain, F.xxhash64(key), gone.select(F.xxhash64("gone_id").alias("code")), "may_go")
+    looked_at = rows.where("may_go").join(gone, key == gone["gone_id"], "left_anti")
+    return rows.where("NOT may_go").unionAll(looked_at).drop("may_go").toDF(*names)

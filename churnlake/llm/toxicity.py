@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import WORD_BYTES, kept, pick, share, slices
+from churnlake.llm.common import WORD_BYTES, keep_rows, kept, pick, share, slices
 from churnlake.llm.decontamination import character_spans
 
 FIT_ROWS = 20_000
@@ -268,3 +268,20 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         run,
         "doc_id long, score double, passages array<struct<start: bigint, end: bigint, score: double, p_value: double>>",
     )
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns; the same scores as ``score_toxicity``, in one
+    narrow pass without a join by id. Each row is judged by its own text; null and empty texts hold no token."""
+    shared = share(docs.sparkSession.sparkContext, (model.weights, model.rate, model.log_k, model.curve))
+
+    def make_test():
+        model, known = kept(shared, lambda data: (ToxicityModel(*data), Weights(data[0])))
+
+        def passes(text: bytes) -> bool:
+            words = text.translate(WORD_BYTES).split()
+            return model.probability(*model.evidence([s for _, _, s in segments_of(words, known)], len(words))) < threshold
+
+        return passes
+
+    return keep_rows(docs, text_col, make_test)
