@@ -13,31 +13,29 @@ from churnlake.session import new_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5. The score learns from the labelled documents of this stage's input;
-    a document without id is scored like any other and goes if one of the rows without id is toxic."""
+    """Documents that score below 0.5. The score learns from the labelled documents of this stage's input. Each row is
+    judged by its own text, rows without id and rows that repeat one too; null and empty texts score as texts
+    without any toxic word."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), train=id_remainder(F.col("doc_id")) != 0)
-    rejected = toxicity.score_toxicity(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["gone_id"]), "left_anti")
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
-    Documents without id, or without words, belong to no group and stay; of rows that repeat an id all stay
-    or go."""
-    groups = ngram_jaccard.jaccard_components(docs, ngram=5, percent=80)
-    extra = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["gone_id"], "left_anti")
+    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id, also
+    among equal texts. Documents without id, or without words, belong to no group and stay; of rows that repeat an id
+    all stay or go."""
+    return ngram_jaccard.drop_near_copies(docs, ngram=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of ten words of a benchmark item."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["gone_id"]), "left_anti")
+    """Documents without any window of ten words of a benchmark item. Each row is judged by its own text; null and
+    empty texts hold no window and stay."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of the text that they spell."""
+    """doc_id, n_tokens, ids and the digest of the text that they spell, of every row; a null text counts as the empty
+    one, which has no ids."""
     coded = bpe.encode_decode(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", sha256_text(F.col("decoded")).alias("decoded_sha256")
