@@ -16,7 +16,8 @@ members that share a list.
 *Skipping in the lists.* The remaining lists are cut into blocks by position: the n-grams that a set has before the part.
 A block carries the positions, sizes and components of its entries. Two sets differ at least by the distance of
 their positions, and of what follows the part; an entry skips a block of its own component, of sizes out of
-ratio or of positions too far; only what is left is enumerated.
+ratio or of positions too far; only what is left is enumerated. Linked sets agree in all parts but as many as they
+have differences, so a pair is compared only if it shares that many lists of a size class.
 
 Sets that are known to be connected are never compared again, so a group of thousands of near copies costs a few
 comparisons for each member.
@@ -49,6 +50,7 @@ BLOCK_PLACES = 32
 CACHE_WORDS = 100_000
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+CLASS_MASK = np.uint64(63)  # the last bits of a key tell size classes that lie side by side apart
 
 
 class WordHashes(dict):
@@ -95,11 +97,15 @@ class Parts:
             self.highs.append(100 * low // self.percent)
         found = []
         for number in range(bisect_left(self.highs, -(-self.percent * n // 100)), bisect_left(self.highs, n) + 1):
-            least = prefix_size(100 * self.highs[number] // self.percent, self.percent)  # of the largest union
+            least = self.least(number)
             spare = 1 + least // 16 if least > 1 else 0
             found.append((number, least + spare, spare))
         return found
 
+    def least(self, number: int) -> int:
+        """One more than the differences of linked sets whose smaller one is in the class."""
+        return prefix_size(100 * self.highs[number] // self.percent, self.percent)
+
     def cut(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the parts of a set, and the n-grams before each. Empty parts count only in sets that have
         more of them than spare parts: two linked sets agree in more parts than there are spare ones."""
@@ -114,6 +120,7 @@ class Parts:
             key ^= key >> np.uint64(32)
             key *= np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
+            key = key & ~CLASS_MASK | np.uint64(number) & CLASS_MASK
             full = last > first
             if parts - full.sum() > spare:
                 full[:] = True
@@ -303,6 +310,27 @@ def _fits(percent: int, x: str, y: str) -> str:
     )
 
 
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of ``met`` that share as many lists of one size class as linked sets must.
+
+    met: a row for each list that a and b share, with the range of their sizes (low_a, high_a, low_b, high_b). Sets that
+    differ in d n-grams differ in d parts at most, and at most the spare parts are equal but not listed; so linked
+    sets share at least (``Parts.least`` of the class of the smaller one) - d lists of that class.
+    """
+    parts = Parts(percent)
+    parts.classes(1 << 40)
+    highs = ",".join(f"{high}L" for high in parts.highs)
+    leasts = ",".join(f"{parts.least(i)}L" for i in range(len(parts.highs)))
+    shared = met.groupBy("a", "b", F.expr(f"token & {int(CLASS_MASK)}L").alias("class")).agg(
+        F.count("*").alias("lists"), F.expr("min(least(low_a, low_b))").alias("low"), F.expr("max(high_a + high_b)").alias("sizes")
+    )
+    least = f"element_at(array({leasts}), size(filter(array({highs}), h -> h < low)) + 1)"
+    return shared.where(f"lists >= {least} - {100 - percent}L * sizes div {100 + percent}L").select("a", "b").distinct()
+
+
+_RANGES = "x.token AS token", "x.low AS low_a", "x.high AS high_a", "y.low AS low_b", "y.high AS high_b"
+
+
 def _star_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     """a, b: each cluster b with the leader a of another component with which it shares most lists."""
     leaders = open_lists.groupBy("token").agg(F.min(F.struct("component", "cluster", "low", "high", "first", "last")).alias("s"))
@@ -310,7 +338,8 @@ def _star_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     met = open_lists.alias("y").join(
         leaders.alias("x"), F.expr(f"x.token = y.token AND x.component <> y.component AND {_fits(percent, 'x', 'y')}")
     )
-    counted = met.selectExpr("x.cluster AS a", "y.cluster AS b").groupBy("a", "b").count()
+    met = met.selectExpr("x.cluster AS a", "y.cluster AS b", *_RANGES)
+    counted = met.groupBy("a", "b").count().join(_enough(met, percent), ["a", "b"])
     best = counted.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("m"))).alias("s"))
     return best.selectExpr("-s.m AS a", "b")
 
@@ -326,7 +355,7 @@ def _contracted(open_lists: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _cluster_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: clusters of different components that share a list, after skipping blocks."""
+    """a, b: clusters of different components that share enough lists, after skipping blocks."""
     open_lists = open_lists.withColumn("block", F.expr(f"first div {BLOCK_PLACES}"))
     blocks = open_lists.groupBy("token", "block").agg(
         F.min("low").alias("low"),
@@ -343,7 +372,7 @@ def _cluster_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
         open_lists.alias("y"),
         F.expr(f"x.token = y.token AND x.other_block = y.block AND x.component < y.component AND {_fits(percent, 'x', 'y')}"),
     )
-    return met.selectExpr("x.cluster AS a", "y.cluster AS b").distinct()
+    return _enough(met.selectExpr("x.cluster AS a", "y.cluster AS b", *_RANGES), percent)
 
 
 def jaccard_components(
@@ -422,10 +451,9 @@ def jaccard_components(
             .join(right, F.expr("b = y.cluster AND x.token = y.token"))
             .where(f"100L * x.n >= {percent}L * y.n AND 100L * y.n >= {percent}L * x.n AND (x.doc <> a OR y.doc <> b)")
             .where(f"{100 + percent}L * (shared + x.added + y.added) >= {percent}L * (x.n + y.n)")
-            .selectExpr("x.doc AS a", "y.doc AS b")
-            .distinct()
+            .selectExpr("x.doc AS a", "y.doc AS b", "x.token AS token", "x.n AS low_a", "x.n AS high_a", "y.n AS low_b", "y.n AS high_b")
         )
-        linked = linked.unionAll(verifier.overlaps(pairs).where("linked").select("a", "b"))
+        linked = linked.unionAll(verifier.overlaps(_enough(pairs, percent)).where("linked").select("a", "b"))
     final = components(links.unionAll(linked))
     return known.join(final, known.doc == final.node, "left").selectExpr(
         "doc AS doc_id", "n AS n_shingles", "coalesce(component, doc) AS component_id"

@@ -115,7 +115,21 @@ def test_linked_sets_share_a_part(common, left, right, percent, seed):
     a, b = np.unique(hashes[: common + left]), np.unique(np.concatenate((hashes[:common], hashes[common + left :])))
     if 100 * common >= percent * (common + left + right):
         cut = Parts(percent)
-        assert set(cut.cut(a)[0]) & set(cut.cut(b)[0])
+        shared = set(cut.cut(a)[0]) & set(cut.cut(b)[0])
+        number = min(c[0] for c in cut.classes(min(len(a), len(b))) if cut.highs[c[0]] >= min(len(a), len(b)))
+        assert shared
+        assert sum(int(key) & 63 == number & 63 for key in shared) >= cut.least(number) - (left + right)
+
+
+def test_passages_that_many_short_texts_share(spark, documents):
+    """Texts of a common passage and words of their own, some pairs just over the least similarity, some below it."""
+    pick, rows = random.Random(6), []
+    passage = [f"p{i}" for i in range(60)]
+    for doc in range(150):
+        own = [f"o{pick.randrange(6)}x{i}" for i in range(pick.randrange(2, 16))]
+        rows.append((doc, " ".join(passage + own)))
+    assert ours(documents(rows).repartition(4)) == brute(rows)
+    assert ours(documents(rows).repartition(4), ngram=5, percent=80) == brute(rows, 5, 80)
 
 
 def test_components(spark):
