@@ -59,3 +59,24 @@ def test_best_split_by_hand():
     positive = np.array([[4.0, 0.0, 0.0], [0.0, 4.0, 0.0]])
     assert best_split(weight, positive, np.array([1, 0]), 1) == (0, 0)  # the first feature in order has one bin only
     assert best_split(weight[1:], positive[1:], np.array([0]), 1) is None
+
+
+def test_levels_write_no_rows_and_rows_travel_once_a_tree(bank, monkeypatch):
+    from churnlake.operators import deep_forest
+
+    kept, staged = [], deep_forest.staged
+
+    def counted(df, label="stage"):
+        kept.append((label, staged(df, label)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(deep_forest, "staged", counted)
+    rows = bank.where("CustomerId % 8 = 0")
+    found = fit_deep_forest(rows, SPEC, trees=3, bootstrap=False, node_rows=200, max_bins=32)
+    assert sum(df.count() for label, df in kept if "leaves" not in label and "forest" not in label) == rows.count()
+    inputs = forest.feature_rows(found, rows, SPEC.id)
+    names = found.preparation.features
+    whole = forest.forest_output(inputs, found.leaves.drop("cell"), SPEC.id, names).toPandas().set_index(SPEC.id)["output"]
+    celled = forest.forest_output(inputs, found.leaves, SPEC.id, names, leaf_limit=50, block_rows=300).toPandas().set_index(SPEC.id)["output"]
+    assert len(celled) == rows.count() and np.allclose(celled.sort_index(), whole.sort_index(), atol=1e-12)
+    assert found.leaves.select("tree", "cell").distinct().count() > 10
