@@ -29,7 +29,7 @@ from churnlake.operators.prep import dummy_name, fit_levels
 from churnlake.operators.selection import exact_quantiles
 from churnlake.operators.split import stratified_folds
 from churnlake.schema import CustomerTable
-from churnlake.session import staged, use_checkpoints
+from churnlake.session import ordered_by, staged, use_checkpoints
 
 # Functions of this module travel to the executors with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,11 +76,11 @@ class FoldTable:
 
 
 def fold_table(df: DataFrame, spec: CustomerTable, folds: int = 5, scaled: bool = True) -> FoldTable:
-    """Stratified folds in one layout that depends on ids only, with the preparations of all folds."""
+    """Stratified folds in one layout that depends on ids and the number of cores only, with the preparations of all folds."""
     folded = stratified_folds(df, spec.label, spec.id, folds).where(F.col(quoted(spec.label)).isNotNull())
     columns = [F.col(quoted(c)) for c in (spec.id, *spec.numeric, *spec.categorical)]
     rows = folded.select(*columns, F.col(quoted(spec.label)).cast("double").alias("label"), "fold")
-    rows = staged(rows.repartitionByRange(F.col(quoted(spec.id))).sortWithinPartitions(F.col(quoted(spec.id))), "folds")
+    rows = staged(ordered_by(rows, F.col(quoted(spec.id))), "folds")
     return with_preparations(rows, spec, fit_levels(df, spec.categorical), scaled)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from churnlake.functions.expressions import quoted, ratio, text_sql
 from churnlake.operators.prep import dummy_name, fit_imputation, fit_levels
 from churnlake.schema import CustomerTable
-from churnlake.session import staged, use_checkpoints
+from churnlake.session import ordered_by, staged, use_checkpoints
 
 MODEL_KINDS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "boosted_deep")
 
@@ -133,14 +133,11 @@ def fit_preparation(
 
 
 def training_rows(df: DataFrame, spec: CustomerTable) -> DataFrame:
-    """Labelled rows in a layout that depends on ids only, so bootstrap samples repeat."""
+    """Labelled rows in a layout that depends on ids and the number of cores only, so bootstrap samples repeat."""
     label = F.col(quoted(spec.label)).cast("double").alias("label")
-    return (
-        df.where(F.col(quoted(spec.label)).isNotNull())
-        .select(*[F.col(quoted(c)) for c in (spec.id, *spec.numeric, *spec.categorical)], label)
-        .repartitionByRange(F.col(quoted(spec.id)))
-        .sortWithinPartitions(F.col(quoted(spec.id)))
-    )
+    known = df.where(F.col(quoted(spec.label)).isNotNull())
+    columns = [F.col(quoted(c)) for c in (spec.id, *spec.numeric, *spec.categorical)]
+    return ordered_by(known.select(*columns, label), F.col(quoted(spec.id)))
 
 
 def training_table(df: DataFrame, spec: CustomerTable) -> DataFrame:

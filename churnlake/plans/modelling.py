@@ -284,9 +284,10 @@ def _recounted(predictions: DataFrame, settings) -> DataFrame:
 def search(spark, folder):
     """For each setting: the rows it was validated on, whether its mean and lowest accuracy are those counted again from
     the fold predictions, and whether it stands where its mean belongs."""
-    table = folds.fold_table(held_profile(spark, folder), SPEC, 3)
+    rows = held_profile(spark, folder)
+    table = folds.fold_table(rows, SPEC, 3)
     predictions = folds.fold_predictions(table, "decision_tree", _TREES)
-    found = folds.search(held_profile(spark, folder), SPEC, "decision_tree", _TREES, folds=3)
+    found = folds.search(rows, SPEC, "decision_tree", _TREES, folds=3)
     found = found.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # four rows
     again = _recounted(predictions, _TREES)
     rank = F.row_number().over(Window.orderBy(F.desc("mean_again"), "setting"))  # four rows
