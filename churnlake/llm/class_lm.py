@@ -1,17 +1,18 @@
 """Language-model scoring with Brown classes.
 
-The model is a class bigram: P(word | word before) = P(class | class before) * P(word | class). The
-``CLUSTERED`` most frequent words (of those met ``CLUSTER_COUNT`` times) get one of ``CLASSES`` classes by
-exchange; all other words, those that training never met included, share one more class, whose weight is
-that of rare words, and the end of a text is a class of its own.
+The model is a class bigram: P(word | word before) = P(class | class before) * P(word | class). Every word
+that training met ``CLUSTER_COUNT`` times gets one of ``CLASSES`` classes by exchange; rarer words stand for those that
+training never met and share one more class with them, and the end of a text is a class of its own.
 
-Counts cover all training texts. Each pass of the exchange reads them again and adds up, for every
-clustered word, how often each class stands before and after it (combined within a task, then by word).
-A word then goes to the class that raises the likelihood of all class bigrams most, the others staying;
-half of the words are reconsidered in each pass, so neighbours do not swap back and forth.
+Counts cover all training texts. Each pass of the exchange adds up, for every clustered word, how often each class
+stands before and after it. The ``CLUSTERED`` most frequent words are counted in arrays where the texts lie; bigrams
+with any other word are counted once as a table, which each pass joins with the classes of that time, so the number of
+clustered words has no bound. A word then goes to the class that raises the likelihood of all class bigrams most, the
+others staying; half of the words are reconsidered in each pass, so neighbours do not swap back and forth.
 
 The ``LISTED`` most frequent words (of at most ``LISTED_BYTES`` bytes each, which bounds the broadcast) are
-scored where their text lies. The rare rest of each text meets the exact counts of all words by a join.
+scored where their text lies. Bigrams of each text with another word meet the exact counts and classes of all words by a
+join.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlake.functions.expressions import doubles
 from churnlake.llm.common import pick, slices
 from churnlake.session import staged
 
@@ -53,10 +55,12 @@ class Vocabulary:
 @dataclass(frozen=True)
 class ClassModel:
     vocabulary: Vocabulary
-    classes: np.ndarray  # class of each clustered word, then of the rest, then of the end
+    classes: np.ndarray  # class of each word counted in arrays, then of the rest, then of the end
     transitions: np.ndarray  # log10 P(class | class before)
-    emissions: np.ndarray  # log10 P(word | class) of the clustered words
+    emissions: np.ndarray  # log10 P(word | class) of the words counted in arrays
     rest: float  # log10 of what divides (count + 0.5) for a word of the rest class
+    words: DataFrame  # word, n, class (null: the rest) of every training word that is not counted in arrays
+    weight: np.ndarray  # tokens of each class
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -138,18 +142,65 @@ def _sequences(batches: Iterator[pa.RecordBatch], listed: list[bytes], column: i
         yield np.concatenate(held)
 
 
+def _outer_bigrams(texts: DataFrame, shared, units: int) -> DataFrame:
+    """left, left_word, right, right_word, n: all bigrams with a word that has no number; ``left`` and ``right`` are numbers
+    where a side has one (the last is the end), else null."""
+    names = ["left", "left_word", "right", "right_word", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {word: i for i, word in enumerate(shared.value[0])}
+        known: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            sides = list(zip(*known))
+            columns = []
+            for side in sides:
+                columns.append(pa.array([x if isinstance(x, int) else None for x in side], pa.int32()))
+                columns.append(pa.array([None if isinstance(x, int) else x for x in side], pa.binary()))
+            batch = pa.RecordBatch.from_arrays([*columns, pa.array(known.values(), pa.int64())], names)
+            known.clear()
+            return batch
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                unit = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+                open_ = np.flatnonzero(unit < 0)
+                if len(open_):
+                    tokens = [units - 1, *words, units - 1]
+                    beside = np.concatenate((open_ - 1, open_ + 1))
+                    beside = beside[(beside >= 0) & (beside < len(unit))]
+                    for i in beside[unit[beside] >= 0].tolist():
+                        tokens[i + 1] = int(unit[i])
+                    known.update((tokens[i], tokens[i + 1]) for i in np.unique(np.concatenate((open_, open_ + 1))).tolist())
+            if len(known) > FLUSH_WORDS:
+                yield out()
+        if known:
+            yield out()
+
+    made = texts.mapInArrow(run, "left int, left_word binary, right int, right_word binary, n long")
+    summed = made.groupBy(*names[:4]).agg(F.sum("n").alias("n"))
+    return summed.withColumns({c: F.col(c).cast("string") for c in ("left_word", "right_word")})
+
+
+def _context_names(classes: int) -> list[str]:
+    return [f"before_{c}" for c in range(classes)] + [f"after_{c}" for c in range(classes)]
+
+
 def _neighbour_classes(texts: DataFrame, shared, units: int, classes: int) -> DataFrame:
-    """unit, before_0.., after_0..: how often each class stands before and after each unit, summed over all texts."""
-    names = [f"before_{c}" for c in range(classes)] + [f"after_{c}" for c in range(classes)]
+    """unit, before_0.., after_0..: how often each class stands before and after each unit, over all bigrams of units that
+    have numbers."""
+    names = _context_names(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, of_unit = shared.value
         counts = np.zeros((2, units * classes), np.int64)
         for sequence in _sequences(batches, listed):
             unit = np.where(sequence < 0, units - 1, np.minimum(sequence, units - 2))
-            kind = of_unit[unit]
-            counts[0] += np.bincount(unit[1:] * classes + kind[:-1], minlength=units * classes)
-            counts[1] += np.bincount(unit[:-1] * classes + kind[1:], minlength=units * classes)
+            pair = (unit[1:] != units - 2) & (unit[:-1] != units - 2)
+            left, right = unit[:-1][pair], unit[1:][pair]
+            counts[0] += np.bincount(right * classes + of_unit[left], minlength=units * classes)
+            counts[1] += np.bincount(left * classes + of_unit[right], minlength=units * classes)
         table = np.concatenate(counts.reshape(2, units, classes), axis=1)
         met = np.flatnonzero(table.any(axis=1))
         for start in range(0, len(met), 8192):
@@ -157,23 +208,56 @@ def _neighbour_classes(texts: DataFrame, shared, units: int, classes: int) -> Da
             columns = [pa.array(part, pa.int32()), *[pa.array(c, pa.int64()) for c in table[part].T]]
             yield pa.RecordBatch.from_arrays(columns, ["unit", *names])
 
-    made = texts.mapInArrow(run, "unit int, " + ", ".join(f"{n} long" for n in names))
-    return made.groupBy("unit").agg(*[F.sum(n).alias(n) for n in names])
+    return texts.mapInArrow(run, "unit int, " + ", ".join(f"{n} long" for n in names))
 
 
-def _class_table(contexts: DataFrame, shared, classes: int) -> np.ndarray:
-    """How often each class follows each class, from the contexts of all units: one row for each class."""
-    names = [f"after_{c}" for c in range(classes)]
+def _contexts(texts: DataFrame, outer: DataFrame, tail: DataFrame, shared, units: int, classes: int) -> DataFrame:
+    """unit or word, own (its class), before_0.., after_0..: the neighbouring classes of everything that has a class. Words
+    outside ``tail`` are the unit of the rest."""
+    names, rest = _context_names(classes), units - 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_unit, table = shared.value[1], np.zeros((classes, classes), np.int64)
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_unit = shared.value[1]
+        for batch in batches:
+            unit = batch.column("unit").fill_null(-1).to_numpy()
+            own = np.where(unit < 0, batch.column("own").fill_null(-1).to_numpy(), of_unit[unit])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.int32()), *batch.columns[3:]], batch.schema.names)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        known = tail.select(F.col("word").alias(f"{name}_word"), F.col("class").alias(f"{name}_class"))
+        df = df.join(known, f"{name}_word", "left")
+        lost = F.col(f"{name}_word").isNotNull() & F.col(f"{name}_class").isNull()
+        return df.withColumns({name: F.when(lost, rest).otherwise(F.col(name)), f"{name}_word": F.when(~lost, F.col(f"{name}_word"))})
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_unit = shared.value[1]
         for batch in batches:
-            np.add.at(table, of_unit[batch.column(0).to_numpy()], np.stack([c.to_numpy() for c in batch.columns[1:]], 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes), pa.int32()), *map(pa.array, table.T)], ["class", *names])
+            kinds = []
+            for unit, kind in (("left", "left_class"), ("right", "right_class")):
+                number = batch.column(unit).fill_null(-1).to_numpy()
+                kinds.append(pa.array(np.where(number < 0, batch.column(kind).fill_null(-1).to_numpy(), of_unit[number]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *kinds, batch.column("n")], batch.schema.names)
+
+    columns = ["left", "left_word", "right", "right_word", "left_class", "right_class", "n"]
+    met = side(side(outer, "left"), "right").select(*[F.col(c).cast("int") if c in ("left", "right", "left_class", "right_class") else F.col(c) for c in columns])
+    met = met.mapInArrow(filled, "left int, left_word string, right int, right_word string, left_class int, right_class int, n long")
+    sides = met.selectExpr(
+        "inline(array(struct(right AS unit, right_word AS word, right_class AS own, left_class AS kind, n), "
+        f"struct(left AS unit, left_word AS word, left_class AS own, right_class + {classes} AS kind, n)))"
+    )
+    sides = sides.groupBy("unit", "word", "own").agg(
+        *[F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).cast("long").alias(c) for i, c in enumerate(names)]
+    )
+    schema = "unit int, word string, own int, " + ", ".join(f"{n} long" for n in names)
+    near = _neighbour_classes(texts, shared, units, classes).groupBy("unit").agg(*[F.sum(n).alias(n) for n in names])
+    near = near.selectExpr("unit", "CAST(NULL AS string) AS word", "CAST(NULL AS int) AS own", *names).mapInArrow(numbered, schema)
+    return near.unionByName(sides).groupBy("unit", "word", "own").agg(*[F.sum(n).alias(n) for n in names])
+
 
-    rows = contexts.select("unit", *names).mapInArrow(run, "class int, " + ", ".join(f"{n} long" for n in names))
+def _class_table(contexts: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each class, from the contexts of all units and words: one row for each class."""
     table = np.zeros((classes, classes))
-    for row in rows.groupBy("class").agg(*[F.sum(n) for n in names]).collect():
+    for row in contexts.groupBy("own").agg(*[F.sum(f"after_{c}") for c in range(classes)]).collect():
         table[row[0]] = row[1:]
     return table
 
@@ -201,21 +285,20 @@ def best_classes(before: np.ndarray, after: np.ndarray, now: np.ndarray, table:
     return np.argmax(gain[:, :movable], axis=1)
 
 
-def _exchange(contexts: DataFrame, shared, table: np.ndarray, classes: int, half: int) -> dict[int, int]:
-    """New classes of the words of one half: at most ``CLUSTERED`` numbers reach the driver."""
+def _exchange(contexts: DataFrame, table: np.ndarray, classes: int, units: int, half: int) -> DataFrame:
+    """unit or word, class: the new classes of one half of the words."""
     movable = classes - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_unit = shared.value[1]
         for batch in batches:
-            unit = batch.column(0).to_numpy()
-            counts = np.stack([batch.column(1 + c).to_numpy() for c in range(2 * classes)], 1).astype(float)
-            best = best_classes(counts[:, :classes], counts[:, classes:], of_unit[unit], table, movable)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.int32())], ["unit", "class"])
+            own = batch.column("own").to_numpy()
+            counts = np.stack([batch.column(3 + c).to_numpy() for c in range(2 * classes)], 1).astype(float)
+            best = best_classes(counts[:, :classes], counts[:, classes:], own, table, movable)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(best, pa.int32())], ["unit", "word", "class"])
 
-    units = len(shared.value[1])
-    mine = contexts.where((F.col("unit") < units - 2) & (F.col("unit") % 2 == half))
-    return {r["unit"]: r["class"] for r in mine.mapInArrow(run, "unit int, class int").collect()}
+    turn = F.coalesce(F.col("unit"), F.xxhash64("word"))
+    mine = contexts.where(F.col("unit").isNull() | (F.col("unit") < units - 2)).where(F.pmod(turn, F.lit(2)) == half)
+    return mine.mapInArrow(run, "unit int, word string, class int")
 
 
 def fit_class_model(
@@ -240,25 +323,47 @@ def fit_class_model(
     of_unit = np.arange(units) % classes
     of_unit[-2:] = classes, classes + 1
     head = vocabulary.listed[:clustered]
+    others = _without(vocabulary.counts, head, vocabulary.listed_counts[:clustered])
+    start = F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(classes)).cast("int").alias("class")
+    tail = staged(others.where(F.col("n") >= CLUSTER_COUNT).select("word", "n", start), "tail")
     table = np.zeros((kinds, kinds))
+    if vocabulary.tokens:
+        outer = staged(_outer_bigrams(texts, context.broadcast((head, of_unit)), units), "outer-bigrams")
     for number in range(passes + 1 if vocabulary.tokens else 0):
         shared = context.broadcast((head, of_unit))
-        contexts = staged(_neighbour_classes(texts, shared, units, kinds), "contexts")
-        table = _class_table(contexts, shared, kinds)
+        contexts = staged(_contexts(texts, outer, tail, shared, units, kinds), "contexts")
+        table = _class_table(contexts, kinds)
         if number < passes:
+            moved = staged(_exchange(contexts, table, kinds, units, number % 2), "moved")
             of_unit = of_unit.copy()
-            for unit, kind in _exchange(contexts, shared, table, kinds, number % 2).items():
-                of_unit[unit] = kind
+            for r in moved.where("unit IS NOT NULL").collect():  # at most ``CLUSTERED`` rows
+                of_unit[r["unit"]] = r["class"]
+            new = moved.where("word IS NOT NULL").select("word", F.col("class").alias("new"))
+            tail = staged(tail.join(new, "word", "left").select("word", "n", F.coalesce("new", "class").alias("class")), "tail")
     weight = np.zeros(kinds)
     np.add.at(weight, of_unit[:clustered], vocabulary.listed_counts[:clustered])
+    n_tail = 0
+    for r in tail.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        weight[r["class"]] += r["n"]
+        n_tail += r["k"]
     weight[-1] = vocabulary.ends
     weight[-2] = vocabulary.tokens - weight.sum()
     prior = (weight + 0.5) / (weight + 0.5).sum()
     transitions = np.log10((table + BACK_OFF * prior) / (table.sum(1, keepdims=True) + BACK_OFF))
     counts = np.array(vocabulary.listed_counts[:clustered], float)
     emissions = np.log10(counts / weight[of_unit[:clustered]]) if clustered else counts
-    rest_words = vocabulary.distinct - clustered - (vocabulary.ends > 0)
-    return ClassModel(vocabulary, of_unit, transitions, emissions, math.log10(weight[-2] + 0.5 * (rest_words + 1)))
+    rest_words = vocabulary.distinct - clustered - n_tail - (vocabulary.ends > 0)
+    words = staged(others.join(tail.select("word", "class"), "word", "left").select("word", "n", "class"), "words")
+    rest = math.log10(weight[-2] + 0.5 * (rest_words + 1))
+    return ClassModel(vocabulary, of_unit, transitions, emissions, rest, words, weight)
+
+
+def _without(counts: DataFrame, head: list[bytes], head_counts: list[int]) -> DataFrame:
+    """The words that are not among the first of the list, which is ordered by falling count and then by bytes."""
+    if not head:
+        return counts
+    last, n = F.lit(head[-1].decode()), F.col("n")
+    return counts.where((F.octet_length("word") > LISTED_BYTES) | (n < head_counts[-1]) | ((n == head_counts[-1]) & (F.col("word") > last)))
 
 
 def score_texts(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,33 +375,50 @@ def score_texts(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text
     A null or empty text is the end alone. Repeated rows and null ids are scored each; an empty table gives
     no rows. Other columns are ignored.
     """
-    known = model.vocabulary
+    known, kinds = model.vocabulary, len(model.transitions)
     divisor = math.log10(known.tokens + 0.5 * (known.distinct + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (known.listed, np.array(known.listed_counts, float), known.ends, model.classes, model.transitions, model.emissions, model.rest)
-    )
+    size, head = len(known.listed), len(model.emissions)
+    counts = np.array(known.listed_counts, float)
+    kind = np.full(size + 2, model.classes[-2])
+    kind[:head], kind[-1] = model.classes[:-2], model.classes[-1]
+    place = {word: i for i, word in enumerate(known.listed)}
+    least = known.listed_counts[-1] if size else 0
+    numbered = model.words.where(F.col("class").isNotNull() & (F.col("n") >= least) & (F.octet_length("word") <= LISTED_BYTES))
+    for r in numbered.select("word", "class").collect():  # listed words, at most ``LISTED``
+        kind[place[r["word"].encode()]] = r["class"]
+    plain = np.append(np.log10(counts + 0.5), [0.0, math.log10(known.ends + 0.5)])  # by word, unlisted, end
+    alone = kind[:size] == model.classes[-2]
+    given = np.where(alone, plain[:size] - model.rest, np.log10(np.maximum(counts, 1) / np.maximum(model.weight[kind[:size]], 1)))
+    given = np.append(given, [0.0, 0.0])
+    shared = docs.sparkSession.sparkContext.broadcast((known.listed, known.ends, kind, plain, given, model.transitions))
+    side = pa.struct([("left", pa.int32()), ("left_word", pa.binary()), ("right", pa.int32()), ("right_word", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, counts, ends, of_unit, transitions, emissions, rest = shared.value
-        size, units = len(listed), len(of_unit)
+        listed, ends, kind, plain, given, transitions = shared.value
+        size = len(listed)
         number = {word: i for i, word in enumerate(listed)}
-        plain = np.append(np.log10(counts + 0.5), [0.0, math.log10(ends + 0.5)])  # by word, unlisted, end
-        given = np.append(np.concatenate([emissions, plain[len(emissions) : size] - rest]), [-rest, 0.0])
-        kind = np.full(size + 2, of_unit[-2])
-        kind[: units - 2], kind[-1] = of_unit[:-2], of_unit[-1]
         for batch in slices(batches):
-            tokens, met, base, score, tails = [], [], [], [], []
+            tokens, met, base, score, outer = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 sequence = np.fromiter(map(number.get, words, repeat(size)), np.int64, len(words))
                 unlisted = np.flatnonzero(sequence == size)
                 sequence = np.append(sequence, size + 1)
-                path = np.concatenate(([of_unit[-1]], kind[sequence]))
+                path = np.concatenate(([kind[-1]], kind[sequence]))
+                steps = transitions[path[:-1], path[1:]]
+                found = []
+                if len(unlisted):  # bigrams with an unlisted word are scored where its class is known
+                    open_, open_steps = set(unlisted.tolist()), np.unique(np.concatenate((unlisted, unlisted + 1)))
+                    steps[open_steps] = 0.0
+                    for i in open_steps.tolist():
+                        left, right = i - 1 in open_, i in open_
+                        found.append((None if left else int(path[i]), words[i - 1] if left else None,
+                                      None if right else int(path[i + 1]), words[i] if right else None))
                 tokens.append(len(sequence))
                 met.append(len(words) - len(unlisted) + (ends > 0))
                 base.append(plain[sequence].sum() - divisor * len(sequence))
-                score.append(given[sequence].sum() + transitions[path[:-1], path[1:]].sum())
-                tails.append(b" ".join([words[i] for i in unlisted.tolist()]))
+                score.append(given[sequence].sum() + steps.sum())
+                outer.append([dict(zip(("left", "left_word", "right", "right_word"), x)) for x in found])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -304,20 +426,32 @@ def score_texts(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text
                     pa.array(met, pa.int64()),
                     pa.array(base, pa.float64()),
                     pa.array(score, pa.float64()),
-                    pa.array(tails, pa.binary()),
+                    pa.array(outer, pa.list_(side)),
                 ],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score", "outer"],
             )
 
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, tail binary"
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, "
+    schema += "outer array<struct<left: int, left_word: binary, right: int, right_word: binary>>"
     scored = _rows(docs, id_col, text_col).mapInArrow(run, schema)
     scored = staged(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
-    tail = scored.where(F.octet_length("tail") > 0).select("row", F.explode(F.split(F.col("tail").cast("string"), " ")).alias("word"))
-    tail = tail.join(known.counts, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("met")
+    steps = scored.where(F.size("outer") > 0).select("row", F.inline("outer"))
+    for name in ("left", "right"):
+        told = model.words.select(F.col("word").alias(f"{name}_word"), F.col("n").alias(f"{name}_n"), F.col("class").alias(f"{name}_class"))
+        steps = steps.withColumn(f"{name}_word", F.col(f"{name}_word").cast("string")).join(told, f"{name}_word", "left")
+    rest_class = F.lit(int(model.classes[-2]))
+    left, right = (F.coalesce(n, f"{n}_class", rest_class) for n in ("left", "right"))
+    step = doubles(model.transitions.ravel().tolist())[left * kinds + right]
+    count, unlisted = F.coalesce("right_n", F.lit(0)), F.col("right_word").isNotNull()
+    in_class = F.log10(F.col("right_n") / doubles(np.maximum(model.weight, 1).tolist())[F.coalesce("right_class", rest_class)])
+    emission = F.when(F.col("right_class").isNotNull(), in_class).otherwise(F.log10(count + 0.5) - F.lit(model.rest))
+    tail = steps.groupBy("row").agg(
+        F.sum(step + F.when(unlisted, emission).otherwise(0.0)).alias("steps"),
+        F.sum(F.when(unlisted, F.log10(count + 0.5))).alias("more"),
+        F.count("right_n").alias("met"),
     )
     more, met = F.coalesce("more", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    score = F.col("score") + more
+    score = F.col("score") + F.coalesce("steps", F.lit(0.0))
     return scored.join(tail, "row", "left").select(
         "doc_id",
         "n_tokens",

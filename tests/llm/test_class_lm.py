@@ -77,3 +77,33 @@ def test_empty(spark, documents):
     assert score_texts(documents([]), fit_class_model(documents([]))).collect() == []
     row = score_texts(documents([(1, "a b")]), fit_class_model(documents([]))).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score < 0
+
+
+@pytest.mark.parametrize("listed,arrays", [(1 << 17, 12), (20, 12), (20, 0)])
+def test_words_beyond_the_arrays_get_classes_too(spark, documents, listed, arrays, monkeypatch):
+    monkeypatch.setattr(class_lm, "LISTED", listed)
+    monkeypatch.setattr(class_lm, "CLUSTERED", arrays)
+    rows = [(i, " ".join(f"w{(i * j) % 53}" for j in range(1, 20)) + f" once{i}") for i in range(90)] + [(900, None), (901, "w1 new w2")]
+    model = fit_class_model(documents(rows).repartition(3), F.col("doc_id") < 900, classes=4, passes=3)
+    counts, bigrams = Counter(), Counter()
+    for i, t in rows:
+        if i < 900:
+            counts.update(words(t))
+    of = {w: int(k) for w, k in zip(model.vocabulary.listed, model.classes[:-2])}
+    of |= {r["word"].encode(): r["class"] for r in model.words.collect() if r["class"] is not None}
+    assert set(of) == {w for w, n in counts.items() if n >= class_lm.CLUSTER_COUNT} and len(of) > 40
+    path = lambda t: [5, *(of.get(w, 4) for w in words(t)), 5]
+    for i, t in rows:
+        if i < 900:
+            bigrams.update(zip(path(t), path(t)[1:]))
+    table = np.array([[bigrams[a, b] for b in range(6)] for a in range(6)], float)
+    weight = np.array([sum(n for w, n in counts.items() if of.get(w, 4) == k) for k in range(5)] + [90.0])
+    prior = (weight + 0.5) / (weight + 0.5).sum()
+    log = np.log10((table + class_lm.BACK_OFF * prior) / (table.sum(1, keepdims=True) + class_lm.BACK_OFF))
+    assert np.allclose(log, model.transitions)
+    divisor = weight[4] + 0.5 * (sum(w not in of for w in counts) + 1)
+    for r in score_texts(documents(rows), model).collect():
+        t = dict(rows)[r.doc_id]
+        expected = sum(log[a, b] for a, b in zip(path(t), path(t)[1:]))
+        expected += sum(math.log10(counts[w] / weight[of[w]]) if w in of else math.log10((counts[w] + 0.5) / divisor) for w in words(t))
+        assert r.score == pytest.approx(expected, abs=1e-9)
