@@ -6,18 +6,20 @@ whole part. The index lists hold the sets with an equal part; a list of single n
 square of a corpus whose words are few, a list of parts holds sets that have several n-grams in common.
 
 *Answers from similar sets.* Equal sets of a task enter the lists once. In each list the sets are compared with
-one leader; a set that links with a leader takes over its answers, and from then on its list entries
-are those of the leader's cluster. Lists that still hold several components are contracted in ``ROUNDS`` further
-rounds, each against one leader of a list. What a member may have beyond its leader (the n-grams it adds) bounds how far its
-answers can differ: a pair of clusters is compared by its leaders, is done if they link, is skipped if the
-overlap of the leaders and all that members add cannot make a link, and only otherwise falls back to the
-members that share a list.
+one leader; sets that link are one component from then on, and a set that equals its leader leaves its list entries to
+it. Lists that still hold several components are contracted in ``ROUNDS`` further rounds: each list draws a leader by a
+hash of that round, and a set is compared with the leader that is nearest by its sketch.
+
+*Sketches.* A sketch holds, for each of ``SKETCH_BITS`` buckets of hashes, whether the set has an odd number of n-grams there.
+An n-gram that only one of two sets has flips one bit, so two sketches never differ in more bits than their sets differ in
+n-grams: pairs whose sketches are too far apart for a link are skipped without their texts, and no link is lost. Long sets
+fill their sketches up, which then skip less.
 
 *Skipping in the lists.* The remaining lists are cut into blocks by position: the n-grams that a set has before the part.
 A block carries the positions, sizes and components of its entries. Two sets differ at least by the distance of
 their positions, and of what follows the part; an entry skips a block of its own component, of sizes out of
-ratio or of positions too far; only what is left is enumerated. Linked sets agree in all parts but as many as they
-have differences, so a pair is compared only if it shares that many lists of a size class.
+ratio or of positions too far, and an entry of a block whose sketch is too far; only what is left is enumerated. Linked sets
+agree in all parts but as many as they have differences, so a pair is compared only if it shares that many lists of a size class.
 
 Sets that are known to be connected are never compared again, so a group of thousands of near copies costs a few
 comparisons for each member.
@@ -47,6 +49,8 @@ BLOCK_ENTRIES = 1_000_000
 BITMAP_BITS = 1 << 25
 PART_PAIRS = 500
 BLOCK_PLACES = 32
+SKETCH_BITS = 512
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 CACHE_WORDS = 100_000
 MIX = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -79,6 +83,12 @@ def ngram_hashes(text: bytes | None, known: WordHashes, size: int) -> np.ndarray
     return np.unique(total)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes in each bucket, as 64-bit words."""
+    odd = np.bincount((own & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1  # n - ceil(t n) + 1
 
@@ -131,12 +141,13 @@ class Parts:
 
 def _entries(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows of two kinds. Documents (token null): doc, n, copy_of (a document of the same task with an equal
-    set). List entries: token, doc, n, place (n-grams before the part)."""
+    set), and the sketch of a set that is no copy. List entries: token, doc, n, place (n-grams before the part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first, parts = WordHashes(), {}, Parts(percent)
         for batch in slices(batches):
             docs, sizes, copies, out = [], [], [], []
+            sketches, sketched = np.zeros((batch.num_rows, len(SKETCH)), np.int64), np.zeros(batch.num_rows, bool)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = ngram_hashes(text, known, size)
                 n, copy = len(own), None
@@ -146,6 +157,7 @@ def _entries(rows: DataFrame, size: int, percent: int) -> DataFrame:
                     mark = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     copy = first.setdefault(mark, doc)
                     if copy == doc:
+                        sketches[len(docs) - 1], sketched[len(docs) - 1] = sketch(own), True
                         out.append((doc, n, *parts.cut(own)))
                 copies.append(copy)
             lengths = [len(tokens) for _, _, tokens, _ in out]
@@ -159,11 +171,32 @@ def _entries(rows: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(n)]),
                     pa.concat_arrays([pa.array(copies, pa.int64()), pa.nulls(len(tokens), pa.int64())]),
                     pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(places)]),
+                    *[pa.concat_arrays([pa.array(c, mask=~sketched), pa.nulls(len(tokens), pa.int64())]) for c in sketches.T],
                 ],
-                ["token", "doc", "n", "copy_of", "place"],
+                ["token", "doc", "n", "copy_of", "place", *SKETCH],
             )
 
-    return rows.mapInArrow(run, "token long, doc long, n long, copy_of long, place long")
+    schema = "token long, doc long, n long, copy_of long, place long, "
+    return rows.mapInArrow(run, schema + ", ".join(f"{c} long" for c in SKETCH))
+
+
+def _sketches(known: DataFrame) -> DataFrame:
+    """doc, n (the largest), sketch of each document that has list entries. Of an id with several texts only those words
+    are told that all of them have in common, the others are null."""
+    same = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in SKETCH]
+    return known.where("copy_of = doc").groupBy("doc").agg(F.max("n").alias("n"), *same)
+
+
+def _flips(x: str, y: str) -> str:
+    """In how many n-grams the sets x and y differ at least."""
+    return "(" + " + ".join(f"coalesce(bit_count({x}.{c} ^ {y}.{c}), 0)" for c in SKETCH) + ")"
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sketches leave a link possible, with ``flips``."""
+    met = pairs.join(sketches.alias("x"), F.expr("a = x.doc")).join(sketches.alias("y"), F.expr("b = y.doc"))
+    met = met.selectExpr("a", "b", "x.n + y.n AS sizes", f"{_flips('x', 'y')} AS flips")
+    return met.where(f"{100 + percent}L * flips <= {100 - percent}L * sizes").select("a", "b", "flips")
 
 
 def _hot_keys(entries: DataFrame) -> list[int]:
@@ -331,17 +364,17 @@ def _enough(met: DataFrame, percent: int) -> DataFrame:
 _RANGES = "x.token AS token", "x.low AS low_a", "x.high AS high_a", "y.low AS low_b", "y.high AS high_b"
 
 
-def _star_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: each cluster b with the leader a of another component with which it shares most lists."""
-    leaders = open_lists.groupBy("token").agg(F.min(F.struct("component", "cluster", "low", "high", "first", "last")).alias("s"))
-    leaders = leaders.select("token", "s.*")
+def _star_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int, number: int) -> DataFrame:
+    """a, b: each cluster b with the nearest leader a of another component. Each round draws other leaders, so a group whose
+    members link with few of the others is not left to one of them."""
+    drawn = F.struct(F.xxhash64(F.lit(number), "token", "cluster").alias("h"), "component", "cluster", "low", "high", "first", "last")
+    leaders = open_lists.groupBy("token").agg(F.min(drawn).alias("s")).select("token", "s.*")
     met = open_lists.alias("y").join(
         leaders.alias("x"), F.expr(f"x.token = y.token AND x.component <> y.component AND {_fits(percent, 'x', 'y')}")
     )
-    met = met.selectExpr("x.cluster AS a", "y.cluster AS b", *_RANGES)
-    counted = met.groupBy("a", "b").count().join(_enough(met, percent), ["a", "b"])
-    best = counted.groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("m"))).alias("s"))
-    return best.selectExpr("-s.m AS a", "b")
+    near = _near(met.selectExpr("x.cluster AS a", "y.cluster AS b").distinct(), sketches, percent)
+    best = near.groupBy("b").agg(F.min(F.struct("flips", "a")).alias("s"))
+    return best.selectExpr("s.a AS a", "b")
 
 
 def _contracted(open_lists: DataFrame, linked: DataFrame) -> DataFrame:
@@ -354,8 +387,9 @@ def _contracted(open_lists: DataFrame, linked: DataFrame) -> DataFrame:
     return _mixed(staged(moved.selectExpr(*columns), "contracted"))
 
 
-def _cluster_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: clusters of different components that share enough lists, after skipping blocks."""
+def _cluster_pairs(open_lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b: clusters of different components whose sketches are near and that share enough lists, after skipping blocks."""
+    open_lists = open_lists.join(sketches.withColumnRenamed("doc", "cluster").drop("n"), "cluster")
     open_lists = open_lists.withColumn("block", F.expr(f"first div {BLOCK_PLACES}"))
     blocks = open_lists.groupBy("token", "block").agg(
         F.min("low").alias("low"),
@@ -370,7 +404,10 @@ def _cluster_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     probes = probes.selectExpr("x.*", "k.block AS other_block")
     met = probes.alias("x").join(
         open_lists.alias("y"),
-        F.expr(f"x.token = y.token AND x.other_block = y.block AND x.component < y.component AND {_fits(percent, 'x', 'y')}"),
+        F.expr(
+            f"x.token = y.token AND x.other_block = y.block AND x.component < y.component AND {_fits(percent, 'x', 'y')}"
+            f" AND {100 + percent}L * {_flips('x', 'y')} <= {100 - percent}L * (x.high + y.high)"
+        ),
     )
     return _enough(met.selectExpr("x.cluster AS a", "y.cluster AS b", *_RANGES), percent)
 
@@ -396,64 +433,34 @@ def jaccard_components(
     lists = staged(_lists(entries.where("token IS NOT NULL")), "lists")
     verifier = _Verifier(rows, ngram, percent)
 
+    sketches = staged(_sketches(known), "sketches")
+
     # Each set and the leader with which it shares most lists.
     stars = lists.where("leader <> doc").groupBy("doc", "leader").count()
     best = stars.groupBy("doc").agg(F.max(F.struct("count", (-F.col("leader")).alias("m"))).alias("s"))
-    compared = verifier.overlaps(best.selectExpr("-s.m AS a", "doc AS b"))
+    compared = verifier.overlaps(_near(best.selectExpr("-s.m AS a", "doc AS b"), sketches, percent).select("a", "b"))
     links = staged(copies.unionAll(compared.where("linked").select("a", "b")), "links")
-    # An id with several texts is a node but no member: its texts differ from the leader in different ways, and
-    # one that does not link with the leader counts as well.
-    led = compared.groupBy("b").agg(
-        F.min("a").alias("a"), F.min(F.expr("n_b - shared")).alias("added"), F.count("*").alias("k"), F.bool_and("linked").alias("linked")
-    ).where("k = 1 AND linked")
+    # A set that equals its leader leaves its entries to it; an id with several texts keeps its own.
+    led = compared.groupBy("b").agg(F.min("a").alias("a"), F.count("*").alias("k"), F.min("shared").alias("shared"), F.max(F.expr("n_a + n_b")).alias("sizes"))
+    led = led.where("k = 1 AND 2 * shared = sizes")
     clusters = staged(
         components(links)
-        .join(led.selectExpr("b AS node", "a AS leader_of", "added"), "node", "left")
-        .selectExpr("node AS doc", "coalesce(leader_of, node) AS leader_of", "component", "coalesce(added, 0) AS added"),
+        .join(led.selectExpr("b AS node", "a AS leader_of"), "node", "left")
+        .selectExpr("node AS doc", "coalesce(leader_of, node) AS leader_of", "component"),
         "clusters",
     )
 
     # Open lists are contracted round by round, each cluster against one leader.
     open_lists = _open_lists(lists, clusters)
-    for _ in range(ROUNDS):
+    for number in range(ROUNDS):
         if open_lists.isEmpty():
             break
-        linked = verifier.overlaps(_star_pairs(open_lists, percent)).where("linked").select("a", "b")
+        linked = verifier.overlaps(_star_pairs(open_lists, sketches, percent, number)).where("linked").select("a", "b")
         links = links.unionAll(linked)
         open_lists = _contracted(open_lists, linked)
 
-    # Leaders of components that are still apart; what their members may add decides whether members must be looked at.
-    met = verifier.overlaps(_cluster_pairs(open_lists, percent))
-    linked = met.where("linked").select("a", "b")
-    members = lists.select("doc", "n").distinct().join(clusters, "doc").groupBy("leader_of")
-    spread = members.agg(F.min("n").alias("low"), F.max("added").alias("most"), F.count("*").alias("k"))
-    a, b = (spread.selectExpr(f"leader_of AS {x}", f"low AS low_{x}", f"most AS most_{x}", f"k AS k_{x}") for x in "ab")
-    near = (
-        met.where("NOT linked")
-        .join(a, "a", "left")
-        .join(b, "b", "left")
-        .where("coalesce(k_a, 1) > 1 OR coalesce(k_b, 1) > 1")
-        .where(
-            f"{100 + percent}L * (shared + coalesce(most_a, 0) + coalesce(most_b, 0))"
-            f" >= {percent}L * (coalesce(low_a, n_a) + coalesce(low_b, n_b))"
-        )
-        .groupBy("a", "b")
-        .agg(F.max("shared").alias("shared"))  # leaders with several texts have several rows
-    )
-    near = staged(near, "near")
-    if not near.isEmpty():
-        of = lists.join(clusters, "doc", "left").selectExpr(
-            "token", "doc", "n", "coalesce(leader_of, doc) AS cluster", "coalesce(added, 0) AS added"
-        )
-        left, right = of.alias("x"), of.alias("y")
-        pairs = (
-            near.join(left, F.expr("a = x.cluster"))
-            .join(right, F.expr("b = y.cluster AND x.token = y.token"))
-            .where(f"100L * x.n >= {percent}L * y.n AND 100L * y.n >= {percent}L * x.n AND (x.doc <> a OR y.doc <> b)")
-            .where(f"{100 + percent}L * (shared + x.added + y.added) >= {percent}L * (x.n + y.n)")
-            .selectExpr("x.doc AS a", "y.doc AS b", "x.token AS token", "x.n AS low_a", "x.n AS high_a", "y.n AS low_b", "y.n AS high_b")
-        )
-        linked = linked.unionAll(verifier.overlaps(_enough(pairs, percent)).where("linked").select("a", "b"))
+    # Sets of components that are still apart.
+    linked = verifier.overlaps(_cluster_pairs(open_lists, sketches, percent)).where("linked").select("a", "b")
     final = components(links.unionAll(linked))
     return known.join(final, known.doc == final.node, "left").selectExpr(
         "doc AS doc_id", "n AS n_shingles", "coalesce(component, doc) AS component_id"

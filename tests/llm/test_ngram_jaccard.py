@@ -6,6 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from churnlake.llm import ngram_jaccard as join
 from churnlake.llm.components import components
 from churnlake.llm.ngram_jaccard import Parts, jaccard_components, prefix_size
 
@@ -132,6 +133,31 @@ def test_passages_that_many_short_texts_share(spark, documents):
     assert ours(documents(rows).repartition(4), ngram=5, percent=80) == brute(rows, 5, 80)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2000), st.integers(0, 300), st.integers(0, 300), st.integers(0, 1 << 32))
+def test_sketches_differ_no_more_than_sets(common, left, right, seed):
+    hashes = np.random.default_rng(seed).integers(0, 1 << 64, common + left + right, np.uint64)
+    a, b = np.unique(hashes[: common + left]), np.unique(np.concatenate((hashes[:common], hashes[common + left :])))
+    apart = sum(int(x).bit_count() for x in (join.sketch(a) ^ join.sketch(b)).view(np.uint64))
+    assert apart <= len(np.setxor1d(a, b)) and (left + right > 20 or apart >= (left + right) / 2)
+
+
+def test_pairs_of_a_group_below_the_least_similarity(spark, documents, monkeypatch):
+    """Texts that share most parts but do not link are not compared pair by pair; those that link are found."""
+    pick, base = random.Random(9), [f"b{i}" for i in range(200)]
+    rows = []
+    for doc in range(80):
+        words = list(base)
+        for place in pick.sample(range(200), 8):
+            words[place] = f"o{doc}x{place}"
+        rows.append((doc, " ".join(words)))
+    rows.append((99, rows[50][1] + " tail"))
+    seen, whole = [], join._Verifier.overlaps
+    monkeypatch.setattr(join._Verifier, "overlaps", lambda self, pairs: seen.append(whole(self, pairs)) or seen[-1])
+    assert ours(documents(rows).repartition(4)) == brute(rows)
+    assert sum(pairs.count() for pairs in seen) < 200  # of 3,240
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(70)] + [(100, 200), (200, 100), (300, 300)] + [(1000, 1001 + i) for i in range(50)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
